@@ -120,7 +120,7 @@ def lists_by_key(
     packed = placed.groupBy(*keys, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *values.values()))).alias("_rows")
     )
-    arrays = [F.transform("_rows", lambda r, c=c: r[c]).alias(name) for name, c in values.items()]
+    arrays = [F.col(f"_rows.{c}").alias(name) for name, c in values.items()]
     return packed.select(*keys, "part", *arrays)
 
 
