@@ -13,7 +13,7 @@ from flowscope.operators.outlier import fit_outliers
 from flowscope.operators.scale import cut_lineage, kth_smallest
 from flowscope.operators.tiles import distinct_points
 
-RADIUS = 0.9
+RADIUS = 1.15
 
 POINTS = """p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
   e AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.id < b.id)"""
@@ -161,8 +161,8 @@ def _(t):
 
 @query("dbscan_vectors", "J11", """
 WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
-  n AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON list_distance(a.x, b.x) <= 0.9),
-  core AS (SELECT u AS id FROM n GROUP BY u HAVING count(*) >= 5),
+  n AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON list_distance(a.x, b.x) <= 1.15),
+  core AS (SELECT u AS id FROM n GROUP BY u HAVING count(*) >= 4),
   ce AS (SELECT u, v FROM n WHERE u IN (SELECT id FROM core) AND v IN (SELECT id FROM core)),
   walk AS (SELECT id, id AS root FROM core UNION SELECT ce.v, walk.root FROM walk JOIN ce ON ce.u = walk.id),
   comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
@@ -171,7 +171,7 @@ WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddin
 SELECT p.id, coalesce(num.label, bor.label, -1)::BIGINT AS label, p.id IN (SELECT id FROM core) AS core
 FROM p LEFT JOIN num ON num.id = p.id LEFT JOIN bor ON bor.id = p.id""")
 def _(t):
-    return dbscan(points(t), eps=0.9, min_samples=5)
+    return dbscan(points(t), eps=1.15, min_samples=4)
 
 
 @query("dbscan_webscan_features", "J11 J10 B8")

@@ -88,8 +88,9 @@ def malicious_statistics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def malicious_urls(scored: DataFrame, keys: Sequence[str], list_rows: int = 100_000) -> DataFrame:
-    """The distinct malicious URLs per key, in parts of bounded length."""
-    return lists_by_key(scored.filter("prediction <> 0"), keys, "seq", {"Malics_urls": "params"}, list_rows)
+    """The distinct malicious URLs per key and how often each occurs, in parts of bounded length."""
+    values = {"Malics_urls": "params", "Malics_counts": "n"}
+    return lists_by_key(scored.filter("prediction <> 0"), keys, "seq", values, list_rows)
 
 
 def bigram_features(texts: DataFrame, column: str = "text", n: int = 2) -> DataFrame:

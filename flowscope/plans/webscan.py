@@ -67,7 +67,8 @@ def webscan_features(
 
     ``flows`` need not be freed of single-flow sources: ``min_source_flows`` drops them after aggregation, which
     spares a join over all flows. URL and size columns describe the whole source (``scope='source'``) or the pair.
-    ``malicious`` holds Sum_xss, Feq_xss and Malics_urls per pair; they are null without it.
+    ``malicious`` holds Sum_xss and Feq_xss per pair; they are null without it. Malics_urls stays null here, see
+    :func:`webscan_features_with_urls`.
     """
     pair = ["src_ip", "dest_ip"]
     status = flows.groupBy(*pair, "status").agg(F.count(F.lit(1)).alias("n"))
@@ -100,12 +101,12 @@ def webscan_features(
             "*",
             F.lit(None).cast("bigint").alias("Sum_xss"),
             F.lit(None).cast("double").alias("Feq_xss"),
-            F.lit(None).cast("array<string>").alias("Malics_urls"),
         )
     else:
         table = table.join(malicious, pair, "left").withColumns(
             {"Sum_xss": F.coalesce("Sum_xss", F.lit(0)), "Feq_xss": F.coalesce("Feq_xss", F.lit(0.0))}
         )
+    table = table.withColumn("Malics_urls", F.lit(None).cast("array<string>"))
     if owner is None:
         table = table.withColumn("is_cloud", F.lit(False))
     else:
@@ -113,6 +114,15 @@ def webscan_features(
     return table.select(*WEBSCAN_COLUMNS, "is_cloud")
 
 
+def webscan_features_with_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """The table with the malicious URLs of each pair and how often each was requested.
+
+    ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`; a pair with a very long list continues
+    in further parts.
+    """
+    return table.drop("Malics_urls").join(urls, ["src_ip", "dest_ip"], "left")
+
+
 def training_features(flows: DataFrame, malicious: DataFrame | None = None, size: int = 20, seconds: int = 1,
                       dense: bool = False) -> DataFrame:
     """Features of fixed 20-row chunks of the cleaned log, for training; URL features look at GET only.
