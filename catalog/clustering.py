@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query
+from flowscope.functions.net import ipv4_to_long
 from flowscope.operators import density, distance
+from flowscope.operators.clean import clean_webscan, defined_features
 from flowscope.operators.components import connected_components
 from flowscope.operators.dbscan import dbscan
 from flowscope.operators.learning import precision_at_outliers, roc_auc, standardise
 from flowscope.operators.outlier import fit_outliers
-from flowscope.operators.scale import cut_lineage, kth_smallest
+from flowscope.operators.scale import cut_lineage, kth_smallest, rank_by
 from flowscope.operators.tiles import distinct_points
+from flowscope.plans.webscan import webscan_features
 
 RADIUS = 1.15
 
@@ -148,14 +151,26 @@ def _(t):
     return density.cluster_summary(halo).drop("centre")
 
 
-@query("density_clusters", "J13 D24 D25 A14")
+DELTA_MIN = 1.2
+CLUSTERS = f""", centres AS (SELECT id, row_number() OVER (ORDER BY id) AS cluster FROM peaks WHERE rho > 0 AND delta > {DELTA_MIN}),
+  up AS (SELECT id, CASE WHEN id IN (SELECT id FROM centres) THEN NULL ELSE nneigh END AS nxt FROM peaks),
+  walk AS (SELECT id, id AS node FROM peaks UNION ALL SELECT walk.id, up.nxt FROM walk JOIN up ON up.id = walk.node WHERE up.nxt IS NOT NULL),
+  ends AS (SELECT walk.id, coalesce(c.cluster, -1) AS cluster FROM walk JOIN up ON up.id = walk.node AND up.nxt IS NULL
+    LEFT JOIN centres c ON c.id = walk.node),
+  lab AS (SELECT peaks.id, rho, delta, cluster FROM peaks JOIN ends USING (id)),
+  bord AS (SELECT cluster, max(m) AS border FROM (SELECT unnest([a.cluster, b.cluster]) AS cluster, (a.rho + b.rho) / 2 AS m
+    FROM e JOIN lab a ON a.id = i JOIN lab b ON b.id = j WHERE d <= (SELECT dc FROM dc) AND a.cluster <> b.cluster) GROUP BY cluster)"""
+
+
+@query("density_clusters", "J13 D24", f"""WITH RECURSIVE {POINTS}{DC}{TWO}{RHO}{PEAKS}{CLUSTERS}
+SELECT id, cluster, CASE WHEN rho < coalesce(border, 0) THEN 0 ELSE cluster END AS halo, round(rho, 6) AS rho, round(delta, 6) AS delta
+FROM lab LEFT JOIN bord USING (cluster)""")
 def _(t):
     p = points(t)
     unique = cut_lineage(distinct_points(p))
     dc = distance.cutoff_distance(unique)
-    scores = cut_lineage(density.density_peaks(p, dc=dc))
-    delta_min = scores.approxQuantile("delta", [0.95], 0.001)[0]
-    clusters = cut_lineage(density.assign_clusters(scores, 0.0, delta_min))
+    scores = density.density_peaks(p, dc=dc)
+    clusters = cut_lineage(density.assign_clusters(scores, 0.0, DELTA_MIN))
     return density.mark_halo(clusters, density.border_density(p, clusters, dc)).select("id", "cluster", "halo", "rho", "delta")
 
 
@@ -174,19 +189,43 @@ def _(t):
     return dbscan(points(t), eps=1.15, min_samples=4)
 
 
-@query("dbscan_webscan_features", "J11 J10 B8")
+BEHAVIOUR = ("Sum_flow", "Feq_sec_flow", "Feq_404_error", "H_status", "Cls_url", "Mean_packets")
+
+
+def _behaviour_sql(steps: int = 25) -> str:
+    """The smallest core number spreads over neighbours step by step; enough steps for these tables."""
+    from catalog.features import _webscan_sql
+    from catalog.scalars import IP_TO_INT
+
+    scaled = ", ".join(
+        f'coalesce(("{c}" - avg("{c}") OVER ()) / nullif(stddev_pop("{c}") OVER (), 0), 0.0)' for c in BEHAVIOUR
+    )
+    order = f"{IP_TO_INT.format('src_ip')}, {IP_TO_INT.format('dest_ip')}"
+    parts = [f"""WITH f AS ({_webscan_sql("source", 1)}), g AS (SELECT * FROM f WHERE "Feq_404_error" <> -1 AND "H_status" <> -1 AND "Mean_packets" <> -1),
+  p AS (SELECT src_ip, dest_ip, row_number() OVER (ORDER BY {order}) AS id, [{scaled}] AS x FROM g),
+  n AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON list_distance(a.x, b.x) <= 1.2),
+  core AS MATERIALIZED (SELECT u AS id FROM n GROUP BY u HAVING count(*) >= 10),
+  ce AS MATERIALIZED (SELECT u, v FROM n WHERE u IN (SELECT id FROM core) AND v IN (SELECT id FROM core)),
+  l0 AS MATERIALIZED (SELECT id, id AS root FROM core)"""]
+    for k in range(steps):
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT u AS id, min(root) AS root FROM ce JOIN l{k} ON l{k}.id = v GROUP BY u)")
+    return ",\n  ".join(parts) + f""",
+  num AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM l{steps}),
+  bor AS (SELECT u AS id, min(label) AS label FROM n JOIN num ON num.id = v WHERE u NOT IN (SELECT id FROM core) GROUP BY u)
+SELECT src_ip, dest_ip, coalesce(num.label, bor.label, -1)::BIGINT AS label, p.id IN (SELECT id FROM core) AS core
+FROM p LEFT JOIN num ON num.id = p.id LEFT JOIN bor ON bor.id = p.id"""
+
+
+@query("dbscan_webscan_features", "J11 J10 B8", _behaviour_sql())
 def _(t):
     """Clusters of the standardised web-scan features, as the published scripts set them up."""
-    from flowscope.operators.clean import clean_webscan, defined_features
-    from flowscope.operators.scale import rank_by
-    from flowscope.plans.webscan import webscan_features
-
-    columns = ["Sum_flow", "Feq_sec_flow", "Feq_404_error", "H_status", "Cls_url", "Mean_packets"]
-    table = defined_features(webscan_features(clean_webscan(t.flows, drop_single=False)))
-    keyed = table.select("src_ip", "dest_ip", *columns).withColumn("_key", F.abs(F.xxhash64("src_ip", "dest_ip")))
-    table = cut_lineage(rank_by(keyed, "_key", "_key", "id", descending=False).drop("_key"))
-    scaled = standardise(table, columns)
-    vectors = scaled.select("id", F.array(*[f"{c}_scaled" for c in columns]).alias("features"))
+    table = defined_features(webscan_features(clean_webscan(t.flows, drop_single=False))).select(
+        "src_ip", "dest_ip", *BEHAVIOUR
+    )
+    keyed = table.withColumns({"_s": ipv4_to_long("src_ip"), "_d": ipv4_to_long("dest_ip")})
+    table = cut_lineage(rank_by(keyed, "_s", "_d", "id", descending=False).drop("_s", "_d"))
+    scaled = standardise(table, BEHAVIOUR)
+    vectors = scaled.select("id", F.array(*[f"{c}_scaled" for c in BEHAVIOUR]).alias("features"))
     return dbscan(vectors, 1.2, 10).join(table, "id").select("src_ip", "dest_ip", "label", "core")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.operators.scale import position_in_group, rank_by, salted_join
 from flowscope.functions.net import ipv4_to_long
+from flowscope.functions.text import trim_host
+from flowscope.operators.scale import rank_by, salted_join
 
 
 def mark_owned(df: DataFrame, owner: DataFrame, column: str = "src_ip", spread: str = "seq") -> DataFrame:
@@ -89,16 +90,15 @@ def append_if_absent(path: str, new: DataFrame, key: str, order: str | None = No
     insert_if_absent(existing, new, key, order).select(*existing.columns).write.mode("append").parquet(path)
 
 
-def labelled_domains(table: DataFrame, truth: DataFrame, count_column: str, host: str = "Hostname") -> DataFrame:
+def labelled_domains(table: DataFrame, truth: DataFrame, count_column: str) -> DataFrame:
     """Domain rows whose host is listed with a positive count."""
-    from flowscope.functions.text import trim_host
-
-    names = truth.filter(F.col(count_column) > 0).select(trim_host("hostname").alias("_name")).distinct()
-    return table.join(names, F.col(host) == F.col("_name"), "left_semi")
+    names = truth.filter(F.col(count_column) > 0).select(trim_host("hostname").alias("Hostname")).distinct()
+    return salted_join(table, names, "Hostname", "dest_ip", "left_semi")
 
 
 def owned_destinations(table: DataFrame, owner: DataFrame) -> DataFrame:
-    return table.join(owner.select(F.col("ip").alias("dest_ip")), "dest_ip", "left_semi")
+    """Domain rows of owned destinations."""
+    return salted_join(table, owner.select(F.col("ip").alias("dest_ip")).distinct(), "dest_ip", "Hostname", "left_semi")
 
 
 def key_batches(keys: DataFrame, column: str = "dest_ip", size: int = 100) -> DataFrame:

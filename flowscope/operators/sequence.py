@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.net import epoch_micros
 from flowscope.operators.aggregate import entropy_of
-from flowscope.operators.scale import lag_in_blocks, position_in_group
+from flowscope.operators.scale import cut_lineage, lag_in_blocks, position_in_group
 
 
 def number_lines(lines: DataFrame, out: str = "seq") -> DataFrame:
     """0-based line number of a file scan, ordered by file name and offset.
 
-    Only one count per file split is gathered; the rows themselves are never moved to the driver or to one task.
+    One count per file split is gathered and stored first, so that its true size decides how it is joined; the rows
+    themselves are never moved to the driver or to one task.
     """
     marked = lines.select(
         "*",
@@ -31,7 +32,7 @@ def number_lines(lines: DataFrame, out: str = "seq") -> DataFrame:
         .drop("_n")
     )
     return (
-        marked.join(offsets, ["_file", "_start"])
+        marked.join(cut_lineage(offsets, "split-offsets"), ["_file", "_start"])
         .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first"))
         .drop("_file", "_start", "_id", "_first", "_offset")
     )

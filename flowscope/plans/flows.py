@@ -22,7 +22,7 @@ def flows_from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
         F.regexp_extract("url", pattern, 1).alias("_h"),
         F.regexp_extract("url", pattern, 2).alias("_q"),
     )
-    number = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
+    number = F.lit(pages.count())
     e = F.col("event_id")
     kind = F.col("event_type")
     source = F.when(e % 101 == 0, F.lit(16943009) + e).otherwise(F.lit(16843009) + F.col("user_id"))
