@@ -124,7 +124,7 @@ def lists_by_key(
     return packed.select(*keys, "part", *arrays)
 
 
-def kth_smallest(df: DataFrame, value: str, k: int, weight: str | None = None, buckets: int = 1000) -> float | None:
+def kth_smallest(df: DataFrame, value: str, k: int, weight: str | None = None, buckets: int = 10_000) -> float | None:
     """Exact k-th smallest (0-based) value, by refining a histogram.
 
     Each pass brings at most ``buckets`` counts to the driver and keeps the one bucket which holds rank ``k``, until
