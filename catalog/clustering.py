@@ -54,8 +54,8 @@ def _(t):
 
 @query("cutoff_distance", "F3", f"WITH {POINTS}{DC} SELECT round(dc, 6) AS dc FROM dc")
 def _(t):
-    dc = distance.cutoff_distance(cut_lineage(distinct_points(points(t))))
-    return t.read("region").limit(1).select(F.lit(dc).alias("dc"))
+    unique = cut_lineage(distinct_points(points(t)))
+    return unique.limit(1).select(F.lit(distance.cutoff_distance(unique)).alias("dc"))
 
 
 @query("cutoff_of_triplets", "F3", f"""

@@ -12,27 +12,29 @@ from flowscope.operators.aggregate import entropy_of
 from flowscope.operators.scale import cut_lineage, lag_in_blocks, position_in_group
 
 
-def number_lines(lines: DataFrame, out: str = "seq") -> DataFrame:
-    """0-based line number of a file scan, ordered by file name and offset.
+def number_lines(lines: DataFrame, *columns, out: str = "seq") -> DataFrame:
+    """The given columns of a file scan with 0-based line numbers, ordered by file name and offset.
 
-    One count per file split is gathered and stored first, so that its true size decides how it is joined; the rows
-    themselves are never moved to the driver or to one task.
+    How a scan is cut into splits may change from job to job, for example when an executor is lost. The parsed rows
+    are therefore stored once, as columns, together with their place in the split; what follows reads that copy.
+    The numbers then need one count per split, and no row moves to the driver or to a single task.
     """
     marked = lines.select(
-        "*",
+        *(columns or ("*",)),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
+    stored = cut_lineage(marked, "lines")
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.groupBy("_file", "_start")
+        stored.groupBy("_file", "_start")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     return (
-        marked.join(cut_lineage(offsets, "split-offsets"), ["_file", "_start"])
+        stored.join(cut_lineage(offsets, "split-offsets"), ["_file", "_start"])
         .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first"))
         .drop("_file", "_start", "_id", "_first", "_offset")
     )

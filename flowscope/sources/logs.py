@@ -27,11 +27,11 @@ def read_flow_log(spark: SparkSession, path, columns: Sequence[str] = FLOW_COLUM
     Short rows are padded with nulls; rows with a wrong number of fields keep their line in ``_corrupt_record``.
     Empty lines do not count.
     """
-    lines = number_lines(spark.read.text(path).filter("value <> ''"))
-    rows = lines.withColumn("_f", F.split("value", "\t", -1))
-    fields = [F.nullif(F.get("_f", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(columns)]
-    broken = F.when(F.size("_f") != len(columns), F.col("value")).alias("_corrupt_record")
-    return rows.select("seq", *fields, broken)
+    parts = F.split("value", "\t", -1)
+    fields = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(columns)]
+    broken = F.when(F.size(parts) != len(columns), F.col("value")).alias("_corrupt_record")
+    rows = number_lines(spark.read.text(path).filter("value <> ''"), *fields, broken)
+    return rows.select("seq", *columns, "_corrupt_record")
 
 
 def typed_flows(log: DataFrame) -> DataFrame:
@@ -58,10 +58,11 @@ def quarantined(log: DataFrame) -> DataFrame:
 
 def read_flow_log_11(spark: SparkSession, path) -> DataFrame:
     """Whitespace-separated log of eleven fields; the destination port is the last field of the line."""
-    lines = number_lines(spark.read.text(path)).filter(F.trim("value") != "")
     fields = F.split(F.trim("value"), r"\s+")
-    parts = [F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(FLOW_COLUMNS_11[:-1])]
-    return lines.withColumn("_f", fields).select("seq", *parts, F.element_at("_f", -1).alias(FLOW_COLUMNS_11[-1]))
+    parts = [F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(FLOW_COLUMNS_11[:-1])]
+    last = F.element_at(fields, -1).alias(FLOW_COLUMNS_11[-1])
+    rows = number_lines(spark.read.text(path).filter(F.trim("value") != ""), *parts, last)
+    return rows.select("seq", *FLOW_COLUMNS_11)
 
 
 def read_access_log(spark: SparkSession, path) -> DataFrame:
