@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +23,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where the body uses it often or in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_ipv4(c) -> Column:
     """True for a dotted quad with four octets 0-255 and no leading zeros."""
     return F.coalesce(_col(c).rlike(IPV4_PATTERN), F.lit(False))
@@ -33,9 +36,7 @@ def is_ipv4(c) -> Column:
 def ipv4_to_long(c) -> Column:
     """Dotted quad to unsigned 32-bit number; null for anything else."""
     octets = F.split(_col(c), r"\.")
-    value = reduce(
-        lambda acc, i: acc * F.lit(256) + octets.getItem(i).cast("bigint"), range(4), F.lit(0).cast("bigint")
-    )
+    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * F.lit(256) + x.cast("bigint"))
     return F.when(is_ipv4(c), value)
 
 
@@ -51,11 +52,14 @@ def _quad(text: str) -> int:
 
 def address_class(c) -> Column:
     """Class 1-4 of an address, 0 outside every range."""
-    value = ipv4_to_long(c)
-    out = F.lit(0)
-    for number, low, high in reversed(ADDRESS_CLASSES):
-        out = F.when((value > F.lit(_quad(low))) & (value <= F.lit(_quad(high))), F.lit(number)).otherwise(out)
-    return out
+
+    def chain(value: Column) -> Column:
+        out = F.lit(0)
+        for number, low, high in reversed(ADDRESS_CLASSES):
+            out = F.when((value > F.lit(_quad(low))) & (value <= F.lit(_quad(high))), F.lit(number)).otherwise(out)
+        return out
+
+    return bound(ipv4_to_long(c), chain)
 
 
 def flow_time(c) -> Column:

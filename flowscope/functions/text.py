@@ -8,12 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowscope.functions import patterns as P
-from flowscope.functions.net import _col
-
-
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, also where the body uses it in a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from flowscope.functions.net import _col, bound
 
 
 def percent_decode(c) -> Column:
