@@ -218,7 +218,7 @@ FROM p LEFT JOIN num ON num.id = p.id LEFT JOIN bor ON bor.id = p.id"""
 
 @query("dbscan_webscan_features", "J11 J10 B8", _behaviour_sql())
 def _(t):
-    """Clusters of the standardised web-scan features, as the published scripts set them up."""
+    """Clusters of the standardised web-scan features."""
     table = defined_features(webscan_features(clean_webscan(t.flows, drop_single=False))).select(
         "src_ip", "dest_ip", *BEHAVIOUR
     )

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, with_parts
 from catalog.scalars import IP_TO_INT
-from flowscope.functions.net import ipv4_to_long, long_to_ipv4
-from flowscope.functions.text import has_traversal
 from flowscope.operators import clean, lookup
 from flowscope.operators.aggregate import flow_counts
 from flowscope.plans.domain import domain_features

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.functions.net import UNRESOLVED, address_class, differs, epoch_micros, is_ipv4, time_bucket
+from flowscope.functions.net import UNRESOLVED, address_class, differs, is_ipv4, time_bucket
 from flowscope.functions.text import has_traversal
 from flowscope.operators.scale import lists_by_key
 

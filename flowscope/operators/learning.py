@@ -101,7 +101,7 @@ def bigram_features(texts: DataFrame, column: str = "text", n: int = 2) -> DataF
 def fit_url_classifier(train: DataFrame, kind: str = "logistic", vocab_size: int = 1 << 16, label: str = "label"):
     """Logistic regression or linear SVM over character-bigram TF-IDF.
 
-    The kernel SVM of the published scripts has no counterpart in Spark ML; the linear one takes its place.
+    Spark ML has no kernel SVM, so the linear one takes its place.
     """
     stages = tfidf_stages(train, "grams", vocab_size, "features")
     ready = PipelineModel(stages=stages).transform(train)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +53,11 @@ def write_assignment(marked: DataFrame, path: str) -> None:
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A cached table: read when it is there, else built and stored; built once."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(hadoop, "_SUCCESS")):
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
