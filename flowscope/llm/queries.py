@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import fertility, repeats, simhash, tokens
+from flowscope.llm import entropy, fertility, grades, mixing, phrases, quotes, repeats, sharding, simhash, tokens
+from flowscope.llm.scale import ID_ROWS, checked_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document: 0 toxic, 1 of low quality, 2 good; selected are the probably good ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    model = grades.train(docs, labels.select("doc_id", grade.alias("grade")), 3)
+    scored = grades.graded(docs, model, tail=2)
+    return scored.select(
+        F.col("id").alias("doc_id"), F.round("expected_grade", 6).alias("expected_grade"),
+        F.round("tail_probability", 6).alias("tail_probability"), "selected")
+
+
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; texts of more than a million characters are spliced from chunks."""
@@ -34,6 +47,85 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("id", "doc_id")
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages as in a mail exchange: each quotes the one before it, and in that the one before."""
+
+    def lines(text: str, mark: str):
+        return F.regexp_replace(F.concat(F.lit(mark), F.coalesce(F.col(text), F.lit(""))), "\n", f"\n{mark}")
+
+    def earlier(n: int, name: str) -> DataFrame:
+        return messages.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(name))
+
+    joined = messages.join(earlier(1, "one"), ["conv_id", "turn"], "left").join(earlier(2, "two"), ["conv_id", "turn"], "left")
+    one, two = F.concat(lines("one", "> "), F.lit("\n")), F.concat(lines("two", ">> "), F.lit("\n"))
+    quoted = F.when(F.col("one").isNull(), "").when(F.col("two").isNull(), one).otherwise(F.concat(two, one))
+    return joined.select("conv_id", "turn", "role", F.concat(quoted, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+OP3_SQL = """WITH RECURSIVE m AS (
+  SELECT conv_id, turn, text, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS norm FROM conversations
+), first_of AS (
+  SELECT conv_id, norm, min(turn) AS turn FROM m WHERE norm <> '' GROUP BY conv_id, norm
+), q AS (
+  SELECT m.conv_id, m.turn, m.text, a.turn AS one, b.turn AS two, f.turn AS parent
+  FROM m LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1
+  LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2 AND a.turn IS NOT NULL
+  LEFT JOIN first_of f ON f.conv_id = a.conv_id AND f.norm = a.norm
+), t AS (
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM q WHERE parent IS NULL
+  UNION ALL
+  SELECT q.conv_id, q.turn, t.root, t.depth + 1 FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent
+)
+SELECT q.conv_id, q.turn, CASE WHEN parent IS NOT NULL THEN q.conv_id END AS parent_conv, parent AS parent_turn, t.root, t.depth,
+  ((one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER)::INTEGER AS n_quotes,
+  ((one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER)::INTEGER AS max_level, md5(q.text) AS own_md5
+FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
+
+
+@query(OP3_SQL)
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply order of all conversations, sent as messages which quote up to two earlier ones."""
+    ordered = quotes.reply_order(quoting(table(spark, sf_dir, "conversations")))
+    return ordered.select(
+        F.col("conv").alias("conv_id"), "turn", "parent_conv", "parent_turn", "root", "depth", "n_quotes", "max_level",
+        F.md5(F.col("own_text").cast("binary")).alias("own_md5"))
+
+
+OP4_SQL = """WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS phrase, least(len(w), 10) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)
+), m AS (
+  SELECT dw.doc_id, i, dw.size, item_id FROM dw JOIN bw ON bw.phrase = dw.phrase AND bw.size = dw.size
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM m) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN held ON held.doc_id = d.doc_id"""
+
+
+@query(OP4_SQL)
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window, and the items they belong to."""
+    found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query()
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints which differ in three bits or fewer."""
@@ -41,6 +133,70 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def _round_of_bisection(i: int) -> str:
+    return f"""r{i + 1} AS (
+  SELECT low + greatest(0.0::DOUBLE, best - 1.0::DOUBLE / 16) * (high - low) AS low, low + best * (high - low) AS high FROM (
+    SELECT any_value(low) AS low, any_value(high) AS high, min(g) AS best FROM (
+      SELECT low, high, n / 16::DOUBLE AS g, low + n / 16::DOUBLE * (high - low) AS a, least, most
+      FROM r{i}, (SELECT min(tokens / total) AS least, max(tokens / total) AS most FROM p), unnest(range(0, 17)) AS u(n))
+    WHERE pow(least, a - 1.0::DOUBLE) / pow(most, a - 1.0::DOUBLE) <= 2.0)
+)"""
+
+
+OP6_SQL = (
+    """WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
+    substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 16) AS h FROM documents
+), p AS (
+  SELECT source, tokens, sum(tokens) OVER () AS total, max(tokens) OVER () AS most, greatest(1, ceil(tokens / 1048576.0))::BIGINT AS n_blocks
+  FROM (SELECT source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source)
+), r0 AS (SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high),
+"""
+    + ",\n".join(_round_of_bisection(i) for i in range(6))
+    + """, q AS (
+  SELECT *, quota // tokens AS passes, quota - quota // tokens * tokens AS rest FROM (
+    SELECT p.*, floor(tokens * pow(tokens / most, high - 1.0::DOUBLE))::BIGINT AS quota FROM p, r6)
+), placed AS (
+  SELECT d.*, q.passes, q.rest, q.quota, q.tokens AS everything, ('0x' || substr(h, 1, 8))::BIGINT % n_blocks AS block FROM d JOIN q USING (source)
+), turns AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, pass ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT *, substr(md5(source || ':' || block || ':' || pass || ':7'), 1, 16) AS o
+    FROM (SELECT source, block, passes, rest, quota, everything, sum(tokens) AS tokens, unnest(range(0, passes + 1)) AS pass
+      FROM placed GROUP BY source, block, passes, rest, quota, everything))
+), copies AS (
+  SELECT placed.doc_id, placed.source, placed.block, t.pass, t.start, t.rest, t.quota, t.everything, placed.tokens,
+    t.pass < t.passes OR (t.rest > 0 AND t.start + t.tokens <= t.rest) AS whole, substr(md5(h || ':' || t.pass), 1, 16) AS turn
+  FROM placed JOIN turns t ON t.source = placed.source AND t.block = placed.block
+  WHERE t.pass < t.passes OR t.start < t.rest
+), taken AS (
+  SELECT * FROM copies WHERE whole
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (used) FROM (SELECT *, sum(tokens) OVER (PARTITION BY source, pass ORDER BY turn) AS used FROM copies WHERE NOT whole)
+  WHERE used <= rest - start
+)
+SELECT doc_id, source, pass::BIGINT AS pass, block::BIGINT AS block, round((pass * everything + start) / greatest(quota, 1), 6) AS progress FROM taken"""
+)
+
+
+@query(OP6_SQL)
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattest mix of the sources in which none is passed over more than twice and no document is lost."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.Mix(docs).realise(docs, carry=["doc_id", "source"])
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "pass", "block", F.round("progress", 6).alias("progress"))
+
+
+@query()
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of the good documents, minus that under a model of the corpus."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good")).distinct()
+    marked = docs.select("doc_id", "text").join(checked_broadcast(good, good.count(), ID_ROWS), "doc_id", "left")
+    scored = entropy.cross_entropy_difference(marked, F.col("good"))
+    return scored.select(
+        F.col("id").alias("doc_id"), "n_words", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "difference")])
+
+
 @query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, measures of tokeniser fertility and the verdict of every document."""
@@ -53,6 +209,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = """WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS k FROM documents
+), up AS (
+  SELECT depth, k >> (32 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows
+  FROM (SELECT *, unnest(range(0, 33))::INTEGER AS depth FROM d) GROUP BY ALL
+), leaf AS (
+  SELECT d.doc_id, min({'depth': depth, 'prefix': prefix, 'shard_bytes': shard_bytes, 'shard_rows': shard_rows}) AS l
+  FROM d JOIN up ON up.prefix = d.k >> (32 - up.depth) WHERE shard_bytes <= 67108864 OR shard_rows = 1 GROUP BY d.doc_id
+)
+SELECT d.doc_id, n_bytes, 'p' || CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 64, '0'), l.depth) END AS shard,
+  l.depth AS depth, l.shard_bytes AS shard_bytes, l.shard_rows AS shard_rows, l.shard_bytes > 67108864 AS oversize
+FROM d JOIN leaf ON leaf.doc_id = d.doc_id"""
+
+
+@query(OP9_SQL)
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, with at most 64 MiB of text each."""
+    return sharding.shards(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 @query()
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without 13-word windows of earlier documents."""
