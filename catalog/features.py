@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query, with_parts
-from catalog.scalars import TRAVERSAL_SQL
+from catalog.scalars import TRAVERSAL_SQL, WORDS_SQL
+from flowscope.functions import text as X
 from flowscope.operators import aggregate as A
 from flowscope.operators import impute, sequence
-from flowscope.operators.clean import defined_features
+from flowscope.operators import learning as L
+from flowscope.operators.clean import clean_webscan, defined_features
 from flowscope.operators.scale import rank_by
 from flowscope.plans import domain as domain_plan
 from flowscope.plans import webscan as webscan_plan
+from flowscope.plans.detection import malicious_by_rule
 
 PAIR = ["src_ip", "dest_ip"]
 FW = "FLOWS WEBSCAN"
@@ -176,6 +179,14 @@ def _(t):
     return A.source_destination_counts(t.flows)
 
 
+@query("source_destination_vectors", "D15", with_parts("FLOWS", """
+SELECT src_ip, 0::BIGINT AS part, list(dest_ip ORDER BY dest_ip) AS peers, list(n ORDER BY dest_ip) AS counts
+FROM (SELECT src_ip, dest_ip, count(*) AS n FROM flows GROUP BY ALL) GROUP BY src_ip"""))
+def _(t):
+    vectors = A.source_destination_vectors(t.flows)
+    return vectors.select("src_ip", "part", F.map_keys("peers").alias("peers"), F.map_values("peers").alias("counts"))
+
+
 @query("source_destination_matrix", "D15", with_parts("FLOWS", "SELECT src_ip, "
        + ", ".join(f"count(*) FILTER (dest_ip = '203.0.113.{k}') AS \"203.0.113.{k}\"" for k in range(7))
        + " FROM flows GROUP BY src_ip"))
@@ -183,32 +194,57 @@ def _(t):
     return A.source_destination_matrix(t.flows)
 
 
-def _webscan_sql(scope, seconds, condition="true"):
+# A fixed linear rule over URL statistics, in hundredths, in place of a fitted model.
+RULE_SQL = f"""(2 * length(params) + 25 * len(regexp_extract_all(params, '[<>,/]'))
+  + 100 * len(regexp_extract_all(params, '(?i){WORDS_SQL}')) + 100 * regexp_matches(params, '(?i)https?://')::INTEGER >= 300)"""
+
+
+def attack_rule():
+    return (2 * F.length("params") + 25 * X.suspicious_char_count("params") + 100 * X.suspicious_word_count("params")
+            + 100 * X.has_embedded_url("params")) >= 300
+
+
+def _webscan_sql(scope, seconds, condition="true", lists=False):
+    urls = """, l."Malics_urls", l."Malics_counts", coalesce(l.url_parts, 0)::BIGINT AS url_parts""" if lists else ""
     key = "src_ip" if scope == "source" else "src_ip, dest_ip"
     return with_parts("FLOWS WEBSCAN OWNER", f""", st AS ({STATUS_SQL.format(key='src_ip, dest_ip', source='webscan')}),
   bu AS ({_burst_sql(seconds, 'webscan', 'src_ip, dest_ip')}),
   di AS ({_dir_sql('webscan', key, condition)}),
-  so AS (SELECT {key}, count(DISTINCT params) AS "Cls_url", {SIZE_SQL} FROM webscan GROUP BY {key})
-SELECT n AS "Sum_flow", "Sum_sec_flow", "Feq_sec_flow", NULL::BIGINT AS "Sum_xss", NULL::DOUBLE AS "Feq_xss", "Sum_dir",
-  "Feq_dir", "Sum_404_error", "Feq_404_error", "H_status", "Cls_url", "Sum_packets", "Mean_packets", src_ip, dest_ip,
-  NULL::VARCHAR[] AS "Malics_urls", src_ip IN (SELECT ip FROM owner) AS is_cloud
+  so AS (SELECT {key}, count(DISTINCT params) AS "Cls_url", {SIZE_SQL} FROM webscan GROUP BY {key}),
+  xs AS (SELECT src_ip, dest_ip, count(*) FILTER ({RULE_SQL}) AS sx, round(count(*) FILTER ({RULE_SQL}) / count(*), 6) AS fx
+    FROM webscan0 WHERE method = 'GET' GROUP BY ALL),
+  l AS (SELECT src_ip, dest_ip, list(params ORDER BY seq) AS "Malics_urls", list(n ORDER BY seq) AS "Malics_counts", 1 AS url_parts
+    FROM (SELECT src_ip, dest_ip, params, min(seq) AS seq, count(*) AS n FROM webscan0 WHERE method = 'GET' AND {RULE_SQL} GROUP BY ALL)
+    GROUP BY src_ip, dest_ip)
+SELECT n AS "Sum_flow", "Sum_sec_flow", "Feq_sec_flow", coalesce(sx, 0)::BIGINT AS "Sum_xss", coalesce(fx, 0.0)::DOUBLE AS "Feq_xss",
+  "Sum_dir", "Feq_dir", "Sum_404_error", "Feq_404_error", "H_status", "Cls_url", "Sum_packets", "Mean_packets", src_ip, dest_ip,
+  src_ip IN (SELECT ip FROM owner) AS is_cloud{urls}
 FROM (SELECT src_ip, dest_ip, count(*) AS n FROM webscan GROUP BY ALL) JOIN st USING (src_ip, dest_ip)
-  JOIN bu USING (src_ip, dest_ip) JOIN di USING ({key}) JOIN so USING ({key})""")
+  JOIN bu USING (src_ip, dest_ip) JOIN di USING ({key}) JOIN so USING ({key})
+  LEFT JOIN xs USING (src_ip, dest_ip) LEFT JOIN l USING (src_ip, dest_ip)""")
 
 
-@query("webscan_features", "D16", _webscan_sql("source", 1))
+@query("webscan_features", "D16 D10", _webscan_sql("source", 1))
 def _(t):
-    from flowscope.operators.clean import clean_webscan
-
-    return webscan_plan.webscan_features(clean_webscan(t.flows, drop_single=False), t.owner)
+    flows = clean_webscan(t.flows, drop_single=False)
+    malicious, _lists = malicious_by_rule(flows, attack_rule(), PAIR)
+    return webscan_plan.webscan_features(flows, t.owner, malicious).drop("Malics_urls")
 
 
-@query("webscan_features_pair", "D16", _webscan_sql("pair", 3600, "method = 'GET'"))
+@query("webscan_features_pair", "D16 D10", _webscan_sql("pair", 3600, "method = 'GET'"))
 def _(t):
-    from flowscope.operators.clean import clean_webscan
+    flows = clean_webscan(t.flows, drop_single=False)
+    malicious, _lists = malicious_by_rule(flows, attack_rule(), PAIR)
+    table = webscan_plan.webscan_features(flows, t.owner, malicious, scope="pair", methods=["GET"], burst_seconds=3600)
+    return table.drop("Malics_urls")
+
 
+@query("webscan_features_with_urls", "D16 D10", _webscan_sql("source", 1, lists=True))
+def _(t):
+    """The sixteen columns with the malicious URLs of each pair."""
     flows = clean_webscan(t.flows, drop_single=False)
-    return webscan_plan.webscan_features(flows, t.owner, scope="pair", methods=["GET"], burst_seconds=3600)
+    malicious, lists = malicious_by_rule(flows, attack_rule(), PAIR)
+    return webscan_plan.webscan_features_with_urls(webscan_plan.webscan_features(flows, t.owner, malicious), lists)
 
 
 @query("defined_features", "B8", "SELECT src_ip, dest_ip, \"Sum_flow\" FROM (" + _webscan_sql("source", 1)
@@ -221,7 +257,8 @@ def _(t):
 @query("model_columns", "B7", "SELECT \"Sum_sec_flow\", \"Feq_sec_flow\", \"Feq_xss\", \"Feq_dir\", \"Feq_404_error\", \"H_status\" FROM ("
        + _webscan_sql("source", 1) + ")")
 def _(t):
-    return webscan_plan.webscan_features(t.webscan, t.owner).select(*webscan_plan.MODEL_COLUMNS)
+    malicious, _lists = malicious_by_rule(t.webscan, attack_rule(), PAIR)
+    return webscan_plan.webscan_features(t.webscan, t.owner, malicious).select(*webscan_plan.MODEL_COLUMNS)
 
 
 @query("domain_features", "D17", with_parts("FLOWS DOMAIN OWNER", f"""
@@ -241,26 +278,26 @@ def _(t):
 
 
 def _train_sql(line):
-    return with_parts(FW, f""", cut AS (
-  SELECT * FROM (SELECT *, ({line}) // 20 AS chunk FROM webscan)
-  WHERE chunk < (SELECT count(*) // 20 FROM webscan)),
+    return with_parts(FW, f""", cut AS (SELECT *, ({line}) // 20 AS chunk FROM webscan),
+  si AS (SELECT chunk, count(*) AS chunk_rows FROM cut GROUP BY chunk),
   st AS ({STATUS_SQL.format(key='chunk', source='cut')}), bu AS ({_burst_sql(3600, 'cut', 'chunk')}),
   di AS ({_dir_sql('cut', 'chunk', "method = 'GET'")})
-SELECT * FROM bu JOIN st USING (chunk) JOIN di USING (chunk)""")
+SELECT * FROM bu JOIN st USING (chunk) JOIN di USING (chunk) JOIN si USING (chunk)""")
 
 
-@query("training_features", "D18 E3", _train_sql("seq"))
+@query("training_features", "D18 E3", _train_sql("row_number() OVER (ORDER BY seq) - 1"))
 def _(t):
     return webscan_plan.training_features(t.webscan, seconds=3600)
 
 
-@query("training_features_dense", "D18 E3", _train_sql("row_number() OVER (ORDER BY seq) - 1"))
+@query("training_features_by_line", "D18 E3", _train_sql("seq"))
 def _(t):
-    return webscan_plan.training_features(t.webscan, seconds=3600, dense=True)
+    """Chunks by original line number; cleaned-away lines leave gaps, and no row is left out."""
+    return webscan_plan.training_features(t.webscan, seconds=3600, dense=False)
 
 
 @query("row_chunks", "E3", with_parts(FW, """
-SELECT seq, seq // 20 AS chunk FROM webscan WHERE seq // 20 < (SELECT count(*) // 20 FROM webscan)"""))
+SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 20 AS chunk FROM webscan"""))
 def _(t):
     return sequence.chunks(t.webscan).select("seq", "chunk")
 
@@ -273,14 +310,14 @@ def _(t):
     return sequence.similar_neighbours(t.webscan)
 
 
-@query("basic_scan_vector", "D19", with_parts("FLOWS BASIC", """
+@query("basic_scan_vector", "D19 D20", with_parts("FLOWS BASIC", f"""
 , p AS (SELECT *, lag(lower(params)) OVER (PARTITION BY src_ip, dest_ip ORDER BY seq) AS v FROM basic)
-SELECT src_ip, NULL::DOUBLE AS "P_malicious_urls",
+SELECT src_ip, round(count(*) FILTER ({RULE_SQL}) / count(*), 6) AS "P_malicious_urls",
   CASE WHEN count(v) = 0 THEN -1 ELSE count(*) FILTER (levenshtein(lower(params), v) < 5) END AS "C_similar_url",
   round(count(*) FILTER (status = '404') / count(*), 6) AS num_404, round(entropy(status), 6) AS "H_status"
 FROM p GROUP BY src_ip"""))
 def _(t):
-    return webscan_plan.basic_scan_vector(t.basic)
+    return webscan_plan.basic_scan_vector(t.basic, L.score_urls_by(t.basic, attack_rule(), ["src_ip"]))
 
 
 @query("cumulative_frequency", "E4", with_parts(FW, """

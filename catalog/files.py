@@ -103,10 +103,10 @@ def _(t):
 
 
 @query("labelled_feature_file", "A8 A12", with_parts("FLOWS", """
-SELECT label, count(*) AS n, round(sum("Sum_dir"), 6) AS dirs FROM (
-  SELECT src_ip, CASE WHEN src_ip LIKE '1.1.%' THEN 1 ELSE 0 END AS label,
-    count(*) FILTER (contains(params, '/../../../../../../'))::DOUBLE AS "Sum_dir" FROM flows GROUP BY src_ip)
-GROUP BY label"""))
+SELECT src_ip, CASE WHEN src_ip LIKE '1.1.%' THEN 1 ELSE 0 END AS label,
+  count(*) FILTER (contains(params, '/../../../../../../'))::DOUBLE AS "Sum_dir",
+  round(count(*) FILTER (contains(params, '/../../../../../../')) / count(*), 6)::DOUBLE AS "Feq_dir"
+FROM flows GROUP BY src_ip"""))
 def _(t):
     from flowscope.operators.aggregate import traversal_statistics
 
@@ -115,8 +115,7 @@ def _(t):
     scan = table.filter("src_ip like '1.1.%'")
     normal = table.filter("src_ip not like '1.1.%'")
     sinks.append_labelled(scan, normal, path)
-    rows = logs.read_labelled_features(t.spark, path, ["Sum_dir", "Feq_dir", "src_ip", "label"])
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("Sum_dir").alias("dirs"))
+    return logs.read_labelled_features(t.spark, path, ["Sum_dir", "Feq_dir", "src_ip", "label"])
 
 
 @query("triplet_file", "A9", f"WITH {POINTS}{TWO} SELECT i, j, round(d, 6) AS d FROM s WHERE d <= {RADIUS}")

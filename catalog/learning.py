@@ -103,7 +103,7 @@ def labelled_documents(t):
 def _classified(t, kind):
     ready = cut_lineage(L.bigram_features(labelled_documents(t)).drop("text"))
     train, test = L.split(ready, 0.2, "doc_id")
-    return L.fit_url_classifier(train, kind, vocab_size=4096).transform(test).select("doc_id", "label", "prediction")
+    return L.fit_url_classifier(train, kind).transform(test).select("doc_id", "label", "prediction")
 
 
 @query("bigram_logistic_regression", "J5 D26 J9")
@@ -193,7 +193,7 @@ def forest_and_model(t):
 @query("webscan_forest_detection", "J7 J8 D10 D18 F1")
 def _(t):
     forest, model = forest_and_model(t)
-    return detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600).drop("Malics_urls")
+    return detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600)
 
 
 @query("saved_forest", "A16 J7")
@@ -212,9 +212,7 @@ def _(t):
 
 @query("basic_scan_vector_scored", "D19 D20")
 def _(t):
-    scored = L.score_urls(t.basic, url_model(t), ["src_ip"])
-    flows = scored.select("src_ip", "prediction", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return W.basic_scan_vector(t.basic, flows)
+    return W.basic_scan_vector(t.basic, L.score_urls(t.basic, url_model(t), ["src_ip"]))
 
 
 @query("domain_kmeans", "J14")

@@ -190,6 +190,15 @@ def _(t):
     return lookup.key_batches(t.flows, "src_ip")
 
 
+@query("named_key_batches", "D22", with_parts("FLOWS", """
+SELECT count(DISTINCT host) AS n_keys, (count(DISTINCT host) + 9) // 10 AS n_batches, count(DISTINCT host) AS n_distinct
+FROM flows"""))
+def _(t):
+    """Hosts, of which only some are IPv4 addresses: none is lost, and all batches but the last are full."""
+    batches = lookup.key_batches(t.flows, "host", size=10).withColumn("ip", F.explode("ips"))
+    return batches.agg(F.count("ip").alias("n_keys"), F.countDistinct("batch").alias("n_batches"), F.countDistinct("ip").alias("n_distinct"))
+
+
 @query("owner_addresses", "A10", with_parts("OWNER", "SELECT ip FROM owner"))
 def _(t):
     return t.owner.select("ip")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.net import UNRESOLVED, address_class, differs, is_ipv4, time_bucket
 from flowscope.functions.text import has_traversal
-from flowscope.operators.scale import lists_by_key
+from flowscope.operators.scale import lists_by_key, null_safe_join
 
 
 def entropy_of(counts, keep: Column | None = None) -> Column:
@@ -173,13 +173,28 @@ def source_destination_counts(flows: DataFrame) -> DataFrame:
     return flows.groupBy("src_ip", "dest_ip").agg(F.count(F.lit(1)).alias("n"))
 
 
-def source_destination_matrix(flows: DataFrame, max_columns: int = 1000) -> DataFrame:
-    """The matrix with one column per destination; refused when there are more than ``max_columns``."""
+def source_destination_vectors(flows: DataFrame, list_rows: int = 100_000) -> DataFrame:
+    """``(src_ip, part, peers)``: the rows of the matrix as maps from destination to count, without their zeros.
+
+    A source with more than ``list_rows`` destinations has its map in parts, dealt by a hash of the destination.
+    """
+    counts = source_destination_counts(flows).filter("dest_ip is not null")
+    sizes = counts.groupBy("src_ip").agg(F.ceil(F.count(F.lit(1)) / F.lit(list_rows)).alias("_parts"))
+    dealt = null_safe_join(counts, sizes, ["src_ip"]).withColumn("part", F.pmod(F.xxhash64("dest_ip"), F.col("_parts")))
+    entries = F.sort_array(F.collect_list(F.struct("dest_ip", "n")))
+    return dealt.groupBy("src_ip", "part").agg(F.map_from_entries(entries).alias("peers"))
+
+
+def source_destination_matrix(flows: DataFrame, destinations: Sequence[str] | None = None) -> DataFrame:
+    """The matrix with one column for each of the destinations asked for, or of all there are.
+
+    A table has a column in every row and on the driver; for many destinations use the sparse rows of
+    :func:`source_destination_vectors`.
+    """
     counts = source_destination_counts(flows)
-    heads = [r[0] for r in counts.select("dest_ip").distinct().orderBy("dest_ip").limit(max_columns + 1).collect()]
-    if len(heads) > max_columns:
-        raise ValueError("too many destinations for a matrix; use the long form")
-    return counts.groupBy("src_ip").pivot("dest_ip", heads).agg(F.first("n")).na.fill(0)
+    if destinations is None:
+        destinations = [r[0] for r in counts.select("dest_ip").distinct().orderBy("dest_ip").collect()]
+    return counts.groupBy("src_ip").pivot("dest_ip", list(destinations)).agg(F.first("n")).na.fill(0)
 
 
 def layer7_vector(flows: DataFrame) -> DataFrame:
@@ -238,9 +253,13 @@ def layer4_vector(flows: DataFrame) -> DataFrame:
     )
 
 
-def prediction_share(scored: DataFrame, keys: Sequence[str], prediction: str = "prediction") -> DataFrame:
-    """Share of rows with an attack prediction per key."""
-    return scored.groupBy(*keys).agg(F.avg((F.col(prediction) != 0).cast("double")).alias("P_malicious_urls"))
+def prediction_share(
+    scored: DataFrame, keys: Sequence[str], prediction: str = "prediction", weight: str | None = None
+) -> DataFrame:
+    """Share of rows with an attack prediction per key; with ``weight`` a row counts so many times."""
+    n = F.col(weight) if weight else F.lit(1)
+    bad = F.sum(F.when(F.col(prediction) != 0, n).otherwise(F.lit(0)))
+    return scored.groupBy(*keys).agg((bad / F.sum(F.when(F.col(prediction).isNotNull(), n))).alias("P_malicious_urls"))
 
 
 def prediction_counts(scored: DataFrame, prediction: str = "prediction") -> DataFrame:

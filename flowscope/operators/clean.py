@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.functions.net import UNRESOLVED, differs, ipv4_to_long, is_ipv4
-from flowscope.operators.scale import salted_join
 
 
 def resolved(*columns: str) -> Column:
@@ -18,9 +17,9 @@ def resolved(*columns: str) -> Column:
 
 
 def drop_single_sources(flows: DataFrame, key: str = "src_ip", spread: str = "seq") -> DataFrame:
-    """Remove sources which have exactly one flow."""
-    singles = flows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(key)
-    return salted_join(flows, singles, key, spread, "left_anti")
+    """Remove sources which have exactly one flow, by the unique line number ``spread`` of that flow."""
+    singles = flows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(spread).alias(spread)).filter("_n = 1 and " + key + " is not null")
+    return flows.join(singles.select(spread), spread, "left_anti")
 
 
 def clean_basic(flows: DataFrame, drop_single: bool = True) -> DataFrame:

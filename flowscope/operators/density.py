@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.components import follow_to_root
 from flowscope.operators.distance import block_neighbours, cutoff_distance, cutoff_of_edges, symmetric
-from flowscope.operators.scale import cut_lineage, rank_by, salted_join, within
-from flowscope.operators.tiles import Tile, Tiles, copies_of, distances, distinct_points, matrix
+from flowscope.operators.scale import cut_lineage, rank_by, salted_join
+from flowscope.operators.tiles import Tile, Tiles, copies_of, distinct_points
 
 # exp(-x) is zero in double precision beyond this, so pairs farther than its root times dc add nothing at all.
 KERNEL_REACH = math.sqrt(745.2)
 
-MAX_OPEN_POINTS = 2048
-
 
 def density_key(rho) -> Column:
     """Density to eleven digits: the order in which a sum was formed must not decide between equal densities."""
@@ -70,19 +65,16 @@ def _denser(key_a, id_a, key_b, id_b) -> np.ndarray:
 _CANDIDATE = "id bigint, d double, nneigh bigint, key double"
 
 
-def _denser_within(points: DataFrame, marks: DataFrame, radius: float, block_rows: int) -> DataFrame:
+def _denser_within(tiles: Tiles, asking: DataFrame, keys: DataFrame, radius: float) -> DataFrame:
+    """``(id, delta, nneigh)`` of the asking points which have a denser point within ``radius``."""
+
     def search(tile: Tile) -> dict | None:
-        (ia, ib), (ka, kb), (oa, ob) = tile.column("id"), tile.column("key"), tile.column("open")
-        near = tile.d <= radius
-        outs = [(ia, oa, *_best(tile.d, near & _denser(ka, ia, kb, ib), ib, kb))]
-        if not tile.same:
-            outs.append((ib, ob, *_best(tile.d.T, near.T & _denser(kb, ib, ka, ia), ia, ka)))
-        kept = [[x[o & np.isfinite(d)] for x in (i, d, n, k)] for i, o, d, n, k in outs]
-        cols = [np.concatenate(c) for c in zip(*kept)]
-        return dict(zip(("id", "d", "nneigh", "key"), cols))
+        (ia, ib), (ka, kb) = tile.column("id"), tile.column("key")
+        best, neighbour, key = _best(tile.d, (tile.d <= radius) & _denser(ka, ia, kb, ib), ib, kb)
+        hit = np.isfinite(best)
+        return dict(zip(("id", "d", "nneigh", "key"), (x[hit] for x in (ia, best, neighbour, key))))
 
-    found = Tiles(points, radius, block_rows).map(search, _CANDIDATE, extra=marks)
-    return _nearest(found)
+    return _nearest(tiles.probe(asking, radius, search, _CANDIDATE, keys))
 
 
 def _nearest(found: DataFrame) -> DataFrame:
@@ -90,53 +82,24 @@ def _nearest(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(first.alias("_b")).select("id", F.col("_b.d").alias("delta"), "_b.nneigh")
 
 
-def _denser_of_few(points: DataFrame, keys: DataFrame, few: list) -> DataFrame:
-    """The same for at most MAX_OPEN_POINTS points against all, without any join of points with points."""
-    ids = np.array([r["id"] for r in few], dtype=np.int64)
-    own = np.array([r["key"] for r in few], dtype=np.float64)
-    vectors = np.array([r["features"] for r in few], dtype=np.float64)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            other = batch.column("id").to_numpy()
-            key = batch.column("key").to_numpy()
-            d = distances(vectors, matrix(batch))
-            best, n, k = _best(d, _denser(own, ids, key, other), other, key)
-            hit = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[hit]) for x in (ids, best, n, k)], ["id", "d", "nneigh", "key"]
-            )
-
-    return _nearest(points.join(keys, "id").select("id", "features", "key").mapInArrow(scan, _CANDIDATE))
-
-
 def nearest_denser(points: DataFrame, rho: DataFrame, block_rows: int = 1024) -> DataFrame:
     """``(id, delta, nneigh)`` of every point but the densest: the nearest point of higher density.
 
-    The reach doubles each round and only unsettled points go on; the last few are compared with all points.
+    Points are laid out in cells once. The reach grows fourfold each round and only unsettled points go on to visit other
+    cells, until the densest point is the only one left.
     """
     keys = cut_lineage(rho.select("id", density_key("rho").alias("key")), "density")
-    settled, open_ids = None, keys.select("id")
-    radius = None
+    tiles = Tiles(points, 0.0, block_rows)
+    radius = block_neighbours(tiles).approxQuantile("d", [0.75], 0.01)
+    radius = radius[0] if radius and radius[0] > 0 else 1.0
+    settled, asking = None, points
     while True:
-        few = within(open_ids, MAX_OPEN_POINTS)
-        if few is not None:
-            rows = points.join(keys, "id").join(open_ids, "id", "left_semi").collect()
-            last = _denser_of_few(points, keys, rows) if rows else None
-            parts = [p for p in (settled, last) if p is not None]
-            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        if radius is None:
-            near = block_neighbours(Tiles(points, 0.0, block_rows))
-            radius = near.approxQuantile("d", [0.75], 0.01)[0]
-        marks = keys.join(open_ids.withColumn("open", F.lit(True)), "id", "left").withColumn(
-            "open", F.coalesce("open", F.lit(False))
-        )
-        found = cut_lineage(_denser_within(points, marks, radius, block_rows), "denser")
+        found = cut_lineage(_denser_within(tiles, asking, keys, radius), "denser")
         settled = found if settled is None else settled.unionByName(found)
-        open_ids = cut_lineage(open_ids.join(found, "id", "left_anti"), "open")
-        radius *= 2
+        asking = cut_lineage(asking.join(found, "id", "left_anti"), "open")
+        if asking.count() <= 1:
+            return settled
+        radius *= 4
 
 
 def _with_top(rho: DataFrame, nearest: DataFrame, ceiling: float | None = None) -> DataFrame:

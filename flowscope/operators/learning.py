@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.functions.text import (
@@ -50,9 +50,15 @@ def attack_text(urls: DataFrame, column: str = "params", whole: bool = False) ->
     ).drop("_text")
 
 
-def tfidf_stages(train: DataFrame, tokens: str, vocab_size: int, out: str = "tfidf") -> list:
-    """Fitted stages: term counts, weights tf * (ln((1+n)/(1+df)) + 1) and L2 norm, over a bounded vocabulary."""
-    counter = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size).fit(train)
+def tfidf_stages(train: DataFrame, tokens: str, vocab_size: int | None, out: str = "tfidf") -> list:
+    """Fitted stages: term counts, weights tf * (ln((1+n)/(1+df)) + 1) and L2 norm.
+
+    The vocabulary has all terms or the ``vocab_size`` most frequent, ties by the term. It is held by the model, on the
+    driver and in each task, so an unlimited one is for terms of which there are not too many, such as bigrams.
+    """
+    totals = train.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term")
+    terms = [r["term"] for r in (totals if vocab_size is None else totals.limit(vocab_size)).select("term").collect()]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(train)).idf
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense([x + 1.0 for x in idf.toArray()]), inputCol="_tf", outputCol="_weighted"
@@ -81,6 +87,12 @@ def score_urls(flows: DataFrame, model: PipelineModel, keys: Sequence[str]) -> D
     return model.transform(attack_text(urls)).select(*keys, "params", "seq", "n", F.col("prediction").cast("int"))
 
 
+def score_urls_by(flows: DataFrame, rule: Column, keys: Sequence[str]) -> DataFrame:
+    """As :func:`score_urls`, but with a fixed rule over the URL instead of a fitted model."""
+    urls = flows.groupBy(*keys, "params").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+    return urls.select(*keys, "params", "seq", "n", rule.cast("int").alias("prediction"))
+
+
 def malicious_statistics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``Sum_xss`` and ``Feq_xss`` per key from scored distinct URLs."""
     bad = F.sum(F.when(F.col("prediction") != 0, F.col("n")).otherwise(F.lit(0)))
@@ -98,8 +110,8 @@ def bigram_features(texts: DataFrame, column: str = "text", n: int = 2) -> DataF
     return texts.withColumn("grams", char_ngrams(F.lower(percent_decode(column)), n))
 
 
-def fit_url_classifier(train: DataFrame, kind: str = "logistic", vocab_size: int = 1 << 16, label: str = "label"):
-    """Logistic regression or linear SVM over character-bigram TF-IDF.
+def fit_url_classifier(train: DataFrame, kind: str = "logistic", vocab_size: int | None = None, label: str = "label"):
+    """Logistic regression or linear SVM over character-bigram TF-IDF, over all bigrams unless ``vocab_size`` is given.
 
     Spark ML has no kernel SVM, so the linear one takes its place.
     """

@@ -102,8 +102,14 @@ def owned_destinations(table: DataFrame, owner: DataFrame) -> DataFrame:
 
 
 def key_batches(keys: DataFrame, column: str = "dest_ip", size: int = 100) -> DataFrame:
-    """Distinct addresses in batches of ``size`` for services which limit a request."""
-    distinct = keys.select(column).distinct().withColumn("_key", ipv4_to_long(column))
-    ranked = rank_by(distinct.filter("_key is not null"), "_key", "_key", "_rank", descending=False)
+    """Distinct addresses in batches of ``size`` for services which limit a request.
+
+    IPv4 addresses come first, in their numeric order, then names and other addresses in the order of a hash; a null
+    is no address.
+    """
+    other = F.lit(1 << 32) + F.shiftrightunsigned(F.xxhash64(column), 3)
+    distinct = keys.select(column).filter(F.col(column).isNotNull()).distinct()
+    distinct = distinct.withColumn("_key", F.coalesce(ipv4_to_long(column), other))
+    ranked = rank_by(distinct, "_key", "_key", "_rank", descending=False)
     batch = F.floor((F.col("_rank") - 1) / F.lit(size)).cast("bigint").alias("batch")
     return ranked.groupBy(batch).agg(F.array_sort(F.collect_list(column)).alias("ips"))

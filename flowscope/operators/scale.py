@@ -1,37 +1,49 @@
 """Building blocks which keep one hot key from landing in one task.
 
-Conventions: group keys are non-null (rows without a key form no group), and ``order`` is a unique, non-negative
-integer such as the line number of a flow.
+Conventions: a null key is a group of its own, and ``order`` is a unique, non-negative integer such as the line number
+of a flow.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 1 << 20
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only in local mode without a setting."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="flowscope-"))
-    return context.getCheckpointDir()
+    """The folder all executors can reach: the checkpoint folder, or else one in the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; for use when the results made from them have been stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the key columns of ``left`` are kept."""
+    on = list(on)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in on])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in on])
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -43,7 +55,8 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str] | str, spread: str, how: str = "left", salts: int = 16
+    left: DataFrame, right: DataFrame, on: Sequence[str] | str, spread: str, how: str = "left", salts: int = 16,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Equi-join where ``left`` may hold a hot key and ``right`` has few rows per key.
 
@@ -54,7 +67,10 @@ def salted_join(
     on = [on] if isinstance(on, str) else list(on)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", salt)
+    if null_safe:
+        return null_safe_join(salted, copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _block(order: str, block_rows: int) -> Column:
@@ -79,7 +95,7 @@ def lag_in_blocks(
         .drop("_last")
     )
     return (
-        inside.join(ends, [*keys, "_block"], "left")
+        null_safe_join(inside, ends, [*keys, "_block"], "left")
         .withColumn(out, F.coalesce("_prev", "_carry"))
         .drop("_block", "_v", "_prev", "_carry")
     )
@@ -100,7 +116,7 @@ def position_in_group(
         .drop("_n")
     )
     return (
-        local.join(offsets, [*keys, "_block"])
+        null_safe_join(local, offsets, [*keys, "_block"])
         .withColumn(out, F.col("_offset") + F.col("_local"))
         .drop("_block", "_local", "_offset")
     )
@@ -131,7 +147,9 @@ def kth_smallest(df: DataFrame, value: str, k: int, weight: str | None = None, b
     its values are all equal. Copies are counted through ``weight``.
     """
     w = F.col(weight) if weight else F.lit(1)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.sum(w).alias("_w"))
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    kind = "bigint" if whole else "double"
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast(kind).alias("_v")).agg(F.sum(w).alias("_w"))
     counts = cut_lineage(counts, "ordered-values")
     low, high, total = counts.agg(F.min("_v"), F.max("_v"), F.sum("_w")).first()
     if total is None or not 0 <= k < total:
@@ -140,7 +158,7 @@ def kth_smallest(df: DataFrame, value: str, k: int, weight: str | None = None, b
     while low < high:
         width = (high - low) / buckets
         bucket = F.least(F.floor((F.col("_v") - F.lit(low)) / F.lit(width)), F.lit(buckets - 1))
-        if width == 0.0 or low + width == low:
+        if width == 0.0 or not whole and low + width == low:
             bucket = F.when(F.col("_v") > F.lit(low), F.lit(1)).otherwise(F.lit(0))
         histogram = (
             current.groupBy(bucket.alias("_b"))
@@ -160,28 +178,30 @@ def kth_smallest(df: DataFrame, value: str, k: int, weight: str | None = None, b
 def rank_by(
     df: DataFrame, value: str, tie: str, out: str, descending: bool = True, buckets: int = 1000
 ) -> DataFrame:
-    """Dense 1-based global rank by ``value`` and then ``tie``, without a global window.
+    """1-based global rank by ``value`` and then ``tie``, nulls last, without a global window.
 
     Rows are counted per distinct value; the distinct values are cut into quantile ranges, ranked inside a range and
-    shifted by the sizes of the ranges before it. Equal values are numbered by ``tie`` in blocks.
+    shifted by the sizes of the ranges before it. Equal values are numbered by ``tie`` in blocks. Ranges are cut by
+    the value as a double, inside a range values keep their own type.
     """
     sign = F.lit(-1.0) if descending else F.lit(1.0)
-    keyed = df.withColumn("_v", sign * F.col(value).cast("double") + F.lit(0.0))
-    counts = keyed.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = sorted(set(counts.approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.5 / buckets) or []))
+    keyed = df.withColumn("_v", F.col(value) + F.lit(0).cast(df.schema[value].dataType))
+    counts = keyed.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", sign * F.col("_v").cast("double"))
+    cuts = sorted(set(counts.approxQuantile("_d", [i / buckets for i in range(1, buckets)], 0.5 / buckets) or []))
     edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
+    last = F.lit(len(cuts) + 1)
+    ranged = counts.withColumn("_range", F.when(F.col("_d").isNull(), last).otherwise(F.size(F.filter(edges, lambda e: e < F.col("_d")))))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(F.sum("_n").alias("_size"))
     starts = sizes.select(
         "_range", F.coalesce(F.sum("_size").over(before.orderBy("_range")), F.lit(0)).alias("_start")
     )
-    inner = before.partitionBy("_range").orderBy("_v")
+    inner = before.partitionBy("_range").orderBy(F.desc_nulls_last("_v") if descending else F.asc_nulls_last("_v"))
     offsets = ranged.join(starts, "_range").select(
         "_v", (F.col("_start") + F.coalesce(F.sum("_n").over(inner), F.lit(0))).alias("_before")
     )
     placed = position_in_group(keyed, ["_v"], tie, "_position")
-    joined = salted_join(placed, offsets, "_v", tie, "inner")
+    joined = salted_join(placed, offsets, "_v", tie, "inner", null_safe=True)
     return joined.withColumn(out, F.col("_before") + F.col("_position")).drop("_v", "_before", "_position")
 
 

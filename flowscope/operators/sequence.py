@@ -83,16 +83,14 @@ def similar_neighbours(flows: DataFrame, order: str = "seq", limit: int = 5) ->
     )
 
 
-def chunks(flows: DataFrame, size: int = 20, order: str = "seq", dense: bool = False) -> DataFrame:
-    """Add ``chunk``, the number of the ``size``-row slice by original line number.
+def chunks(flows: DataFrame, size: int = 20, order: str = "seq", dense: bool = True) -> DataFrame:
+    """Add ``chunk``, the number of the ``size``-row slice in log order; every row is in one.
 
-    The number of whole slices follows from the number of rows, so slices beyond it are left out. ``dense``
-    renumbers the rows first, which gives slices of exactly ``size`` rows.
+    The rows are numbered anew, so that all slices but the last have ``size`` rows. Without ``dense`` slices go by the
+    original line number and hold what cleaning has left of them.
     """
     if dense:
         numbered = position_in_group(flows, [], order, "_line").withColumn("_line", F.col("_line") - 1)
     else:
         numbered = flows.withColumn("_line", F.col(order))
-    whole = flows.agg(F.floor(F.count(F.lit(1)) / F.lit(size)).alias("n")).select("n")
-    chunk = F.floor(F.col("_line") / F.lit(size)).cast("bigint")
-    return numbered.withColumn("chunk", chunk).drop("_line").filter(F.col("chunk") < whole.scalar())
+    return numbered.withColumn("chunk", F.floor(F.col("_line") / F.lit(size)).cast("bigint")).drop("_line")

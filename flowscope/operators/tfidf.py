@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowscope.operators.scale import salted_join
+from flowscope.operators.scale import cut_lineage, salted_join
 
 
 def term_counts(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
@@ -15,7 +15,7 @@ def term_counts(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFram
     return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, max_terms: int | None = None, n_docs: int | None = None, key: str = "doc_id"):
+def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = None):
     """``(term, idf)`` with idf = ln((1 + n) / (1 + df)) + 1, of all or the ``max_terms`` most frequent terms."""
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
     if max_terms is not None:
@@ -28,15 +28,16 @@ def tfidf(docs: DataFrame, terms: Column, max_terms: int | None = None, vocab: D
           key: str = "doc_id") -> DataFrame:
     """``(key, term, weight)``, L2-normalised per document.
 
-    The idf of a frequent term meets a large share of all rows, so the join is salted by document.
+    The texts are cut into terms once, and the counts stored. The idf of a frequent term meets a large share of all
+    rows, so the join is salted by document. A document's terms come together for its norm; they are bounded by its
+    length.
     """
-    counts = term_counts(docs, terms, key)
+    counts = cut_lineage(term_counts(docs, terms, key), "term-counts")
     if vocab is None:
-        vocab = vocabulary(counts, max_terms, docs.count(), key)
+        vocab = vocabulary(counts, docs.count(), max_terms)
     weighted = salted_join(counts, vocab, "term", key, "inner").withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    joined = salted_join(weighted, norms, key, "term", "inner")
-    return joined.select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def term_clusters(weights: DataFrame, k: int = 80, buckets: int = 256, seed: int = 42, key: str = "doc_id") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from flowscope.operators.scale import cut_lineage, salted_join
 
 MAX_PIVOTS = 1024
+PLACE_ROWS = 1024
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -81,12 +82,12 @@ class Tiles:
     """Points ``(id, features, ...)`` laid out for pairwise work within ``radius``."""
 
     def __init__(self, points: DataFrame, radius: float = math.inf, block_rows: int = 1024):
-        self.radius, self.block_rows = float(radius), block_rows
+        self.radius, self.block_rows, self.points = float(radius), block_rows, points
         count = points.count()
         wanted = max(1, min(MAX_PIVOTS, math.ceil(count / block_rows)))
         chosen = points.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-        pivots = np.array([r["features"] for r in chosen], dtype=np.float64)
-        self.placed = cut_lineage(self._place(points, pivots), "cells")
+        self.pivots = np.array([r["features"] for r in chosen], dtype=np.float64)
+        self.placed = cut_lineage(self._place(points), "cells")
         self.sizes = (
             self.placed.groupBy("cell")
             .agg(F.count_if("home").alias("_homes"), F.count_if(~F.col("home")).alias("_guests"))
@@ -97,33 +98,64 @@ class Tiles:
             )
         )
 
-    def _place(self, points: DataFrame, pivots: np.ndarray) -> DataFrame:
-        radius = self.radius
+    def _place(self, points: DataFrame, radius: float | None = None, all_cells: bool = False) -> DataFrame:
+        """Rows at their home cell and at the cells in reach: those of lower number, or all of them."""
+        pivots, reach = self.pivots, self.radius if radius is None else radius
         apart = distances(pivots, pivots)
         np.fill_diagonal(apart, 1.0)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                d = distances(matrix(batch), pivots)
-                home = d.argmin(axis=1)
-                row = np.arange(len(d))
-                margin = (d**2 - (d[row, home] ** 2)[:, None]) / (2.0 * apart[home])
-                visit = margin <= radius * (1 + 1e-9) + 1e-9
-                visit &= np.arange(len(pivots))[None, :] < home[:, None]
-                rows, cells = np.nonzero(visit)
-                take = np.concatenate([row, rows])
-                cell = np.concatenate([home, cells]).astype(np.int32)
-                at_home = np.concatenate([np.ones(len(row), bool), np.zeros(len(rows), bool)])
-                copied = batch.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays(
-                    [*copied.columns, pa.array(cell), pa.array(at_home)], [*batch.schema.names, "cell", "home"]
-                )
+            for whole in batches:
+                for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
+                    d = distances(matrix(batch), pivots)
+                    home = d.argmin(axis=1)
+                    row = np.arange(len(d))
+                    margin = (d**2 - (d[row, home] ** 2)[:, None]) / (2.0 * apart[home])
+                    visit = margin <= reach * (1 + 1e-9) + 1e-9
+                    cell = np.arange(len(pivots))[None, :]
+                    visit &= (cell != home[:, None]) if all_cells else (cell < home[:, None])
+                    rows, cells = np.nonzero(visit)
+                    take = np.concatenate([row, rows])
+                    cell = np.concatenate([home, cells]).astype(np.int32)
+                    at_home = np.concatenate([np.ones(len(row), bool), np.zeros(len(rows), bool)])
+                    copied = batch.take(pa.array(take))
+                    yield pa.RecordBatch.from_arrays(
+                        [*copied.columns, pa.array(cell), pa.array(at_home)], [*batch.schema.names, "cell", "home"]
+                    )
 
         schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cell int, home boolean"
         return points.mapInArrow(place, schema)
 
+    def probe(self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame) -> DataFrame:
+        """Apply ``fn`` to tiles of ``asking`` points (left) and all points of a cell (right) within ``radius``.
+
+        Only the asking points visit other cells; ``extra`` adds columns by ``id`` to both sides.
+        """
+        asked = self._place(asking, radius, all_cells=True).drop("home")
+        homes = self.placed.filter("home").drop("home").join(extra, "id")
+        left = asked.join(extra, "id")
+        rows = left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block_rows)).cast("int").alias("_ab"))
+        # both at most MAX_PIVOTS rows
+        sizes = F.broadcast(self.sizes.join(rows, "cell").select("cell", "_hb", "_ab"))
+
+        def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own)).cast("int").alias("a" if side == 0 else "b")
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("b" if side == 0 else "a")
+            columns = [c for c in df.columns if c != "cell"]
+            dealt = df.join(sizes, "cell").filter((F.col("_hb") > 0) & (F.col("_ab") > 0))
+            return dealt.select("cell", mine, every, F.lit(side).alias("side"), *columns).select("cell", "a", "b", "side", *columns)
+
+        names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+        def run(table: pa.Table) -> pa.Table:
+            side = table.column("side").to_numpy()
+            left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+            out = fn(Tile(left, right, False)) if left.num_rows and right.num_rows else None
+            return _as_table(out, names, schema)
+
+        both = spread(left, "_ab", "_hb", 0).unionByName(spread(homes, "_hb", "_ab", 1))
+        return both.groupBy("cell", "a", "b").applyInArrow(run, schema)
+
     def map(self, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None, own_block: bool = False):
         """Apply ``fn`` to every tile; it returns columns in the order of ``schema``.
 
@@ -182,7 +214,3 @@ def _as_table(out: dict | None, names: list[str], schema: str) -> pa.Table:
         return fields.empty_table()
     return pa.Table.from_arrays([pa.array(np.asarray(out[n]), k) for n, k in zip(names, kinds)], schema=fields)
 
-
-def both_ways(tile: Tile, value: np.ndarray, reduce=np.sum) -> tuple[np.ndarray, np.ndarray]:
-    """Reduce a pair matrix to its rows and its columns."""
-    return reduce(value, axis=1), reduce(value, axis=0)

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators import learning as L
 from flowscope.operators.clean import clean_webscan
 from flowscope.operators.sequence import chunks
-from flowscope.plans.webscan import MODEL_COLUMNS, training_features, webscan_features
+from flowscope.plans.webscan import MODEL_COLUMNS, training_features, webscan_features, webscan_features_with_urls
 
 PAIR = ["src_ip", "dest_ip"]
 
 
 def url_attack_model(urls: DataFrame, mode: str = "tfidf", column: str = "params", seed: int = 42) -> PipelineModel:
-    """The URL attack classifier from URLs with a 0/1 ``label``; equal URLs are trained on once, by their weight."""
+    """The URL attack classifier from distinct URLs with a 0/1 ``label``; each is trained on once."""
     return L.fit_attack_classifier(L.attack_text(urls, column), mode, seed=seed)
 
 
@@ -25,6 +25,12 @@ def malicious_by(flows: DataFrame, model: PipelineModel, keys: list[str]) -> tup
     return L.malicious_statistics(scored, keys), L.malicious_urls(scored, keys)
 
 
+def malicious_by_rule(flows: DataFrame, rule: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As :func:`malicious_by`, with a fixed rule over the URL column ``params``."""
+    scored = L.score_urls_by(flows.filter("method = 'GET'"), rule, keys)
+    return L.malicious_statistics(scored, keys), L.malicious_urls(scored, keys)
+
+
 def labelled_behaviour(scan: DataFrame, normal: DataFrame, model: PipelineModel, burst_seconds: int = 1) -> DataFrame:
     """Training rows of the web-scan forest: chunks of a scan log with label 1, pairs of a normal log with label 0."""
     scan, normal = clean_webscan(scan), clean_webscan(normal, drop_single=False)
@@ -39,9 +45,9 @@ def labelled_behaviour(scan: DataFrame, normal: DataFrame, model: PipelineModel,
 
 def detect_webscans(flows: DataFrame, url_model: PipelineModel, forest: PipelineModel, owner: DataFrame | None = None,
                     burst_seconds: int = 1) -> DataFrame:
-    """Clean, build features, score: the web-scan table with ``web_scan``, most suspicious first."""
+    """Clean, build features, score: the web-scan table with its malicious URLs and ``web_scan``, most suspicious first."""
     cleaned = clean_webscan(flows, drop_single=False)
-    malicious, _ = malicious_by(cleaned, url_model, PAIR)
-    table = webscan_features(cleaned, owner, malicious, burst_seconds=burst_seconds)
+    malicious, urls = malicious_by(cleaned, url_model, PAIR)
+    table = webscan_features_with_urls(webscan_features(cleaned, owner, malicious, burst_seconds=burst_seconds), urls)
     scored = L.score_webscan(table, forest, MODEL_COLUMNS)
     return scored.orderBy(F.desc("web_scan"), F.desc("Sum_xss"), "src_ip", "dest_ip")

@@ -117,21 +117,28 @@ def webscan_features(
 def webscan_features_with_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
     """The table with the malicious URLs of each pair and how often each was requested.
 
-    ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`; a pair with a very long list continues
-    in further parts.
+    ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`. The row of a pair has the first part of its
+    list and ``url_parts``, the number of parts, of which there is one unless the list is very long; the further ones
+    stay in ``urls``, so that the table keeps one row per pair.
     """
-    return table.drop("Malics_urls").join(urls, ["src_ip", "dest_ip"], "left")
+    pair = ["src_ip", "dest_ip"]
+    parts = urls.groupBy(*pair).agg(F.count(F.lit(1)).alias("url_parts"))
+    first = urls.filter("part = 0").drop("part")
+    joined = table.drop("Malics_urls").join(first, pair, "left").join(parts, pair, "left")
+    return joined.withColumn("url_parts", F.coalesce("url_parts", F.lit(0)))
 
 
 def training_features(flows: DataFrame, malicious: DataFrame | None = None, size: int = 20, seconds: int = 1,
-                      dense: bool = False) -> DataFrame:
+                      dense: bool = True) -> DataFrame:
     """Features of fixed 20-row chunks of the cleaned log, for training; URL features look at GET only.
 
-    ``malicious`` may give Sum_xss and Feq_xss per chunk.
+    Every row of the log is in a chunk; ``chunk_rows`` tells how many a chunk has. ``malicious`` may give Sum_xss and
+    Feq_xss per chunk.
     """
     cut = chunks(flows, size, dense=dense)
     table = (
         burst_statistics(cut, ["chunk"], seconds)
+        .join(cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("chunk_rows")), "chunk")
         .join(status_statistics(cut, ["chunk"]), "chunk")
         .join(traversal_statistics(cut, ["chunk"], ["GET"]), "chunk")
     )
@@ -141,12 +148,15 @@ def training_features(flows: DataFrame, malicious: DataFrame | None = None, size
 
 
 def basic_scan_vector(flows: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    """Per source: similar neighbouring URLs, 404 share, status entropy and, with predictions, the attack share."""
+    """Per source: similar neighbouring URLs, 404 share, status entropy and, with predictions, the attack share.
+
+    ``scored`` has one row per source and distinct URL, with its number of requests ``n`` and ``prediction``.
+    """
     from flowscope.operators.aggregate import prediction_share
 
     table = plain_error_rate(flows, ["src_ip"]).join(similar_neighbours(flows), "src_ip")
     if scored is None:
         table = table.withColumn("P_malicious_urls", F.lit(None).cast("double"))
     else:
-        table = table.join(prediction_share(scored, ["src_ip"]), "src_ip", "left")
+        table = table.join(prediction_share(scored, ["src_ip"], weight="n"), "src_ip", "left")
     return table.select("src_ip", "P_malicious_urls", "C_similar_url", "num_404", "H_status")

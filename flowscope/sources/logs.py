@@ -98,14 +98,16 @@ def read_domain_truth(spark: SparkSession, path) -> DataFrame:
     return spark.read.csv(path, schema=schema)
 
 
-def read_labelled_features(spark: SparkSession, path, columns: Sequence[str] = LABELLED_COLUMNS) -> DataFrame:
-    """Tab-separated labelled feature table with a header line in each file."""
+def read_labelled_features(
+    spark: SparkSession, path, columns: Sequence[str] = LABELLED_COLUMNS, header: bool = False
+) -> DataFrame:
+    """Tab-separated labelled feature table; ``header`` says whether each file starts with a line of names."""
     text = {"src_ip", "dest_ip", "Malics_urls"}
     kinds = {"label": T.IntegerType()}
     schema = T.StructType(
         [T.StructField(n, T.StringType() if n in text else kinds.get(n, T.DoubleType())) for n in columns]
     )
-    return spark.read.csv(path, schema=schema, sep="\t", header=True)
+    return spark.read.csv(path, schema=schema, sep="\t", header=header)
 
 
 def read_triplets(spark: SparkSession, path) -> DataFrame:

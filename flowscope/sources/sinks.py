@@ -18,11 +18,11 @@ def write_flow_log(flows: DataFrame, path: str, columns) -> None:
     flows.select(*columns).write.csv(path, sep="\t", quote="", escape="", nullValue="", emptyValue="")
 
 
-def append_labelled(scan: DataFrame, normal: DataFrame, path: str) -> None:
-    """Scan rows with label 1 and normal rows with label 0, appended as tab-separated files with a header each."""
+def append_labelled(scan: DataFrame, normal: DataFrame, path: str, header: bool = False) -> None:
+    """Scan rows with label 1 and normal rows with label 0, appended as tab-separated files, on request with headers."""
     columns = [c for c in scan.columns if c in normal.columns]
     both = scan.select(*columns, F.lit(1).alias("label")).unionByName(normal.select(*columns, F.lit(0).alias("label")))
-    both.write.mode("append").csv(path, sep="\t", header=True)
+    both.write.mode("append").csv(path, sep="\t", header=header)
 
 
 def attack_lines(scored: DataFrame, column: str = "line", prediction: str = "prediction") -> DataFrame:

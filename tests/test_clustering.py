@@ -95,11 +95,10 @@ def brute_peaks(x, percent=2.0):
     return dc, rho, delta, nearest
 
 
-@pytest.mark.parametrize("open_points", [2048, 30])
-def test_density_peaks_equal_brute_force(points, cloud, open_points, monkeypatch):
-    monkeypatch.setattr(density, "MAX_OPEN_POINTS", open_points)
+@pytest.mark.parametrize("block_rows", [1024, 32])
+def test_density_peaks_equal_brute_force(points, cloud, block_rows):
     dc, rho, delta, nearest = brute_peaks(cloud)
-    got = {r.id: r for r in density.density_peaks(points, block_rows=32).collect()}
+    got = {r.id: r for r in density.density_peaks(points, block_rows=block_rows).collect()}
     for i in range(len(cloud)):
         assert got[i].rho == pytest.approx(rho[i], rel=1e-9, abs=1e-300)
         assert got[i].delta == pytest.approx(delta[i])

@@ -116,11 +116,11 @@ def test_similar_neighbours(flows):
 
 def test_chunks(flows):
     df = flows([flow(i) for i in range(50) if i % 10 != 3])
-    got = {r.chunk: r["count"] for r in sequence.chunks(df).groupBy("chunk").count().collect()}
-    assert got == {0: 18, 1: 18}
-    dense = {r.chunk: r["count"] for r in sequence.chunks(df, dense=True).groupBy("chunk").count().collect()}
-    assert dense == {0: 20, 1: 20}
-    assert training_features(df).count() == 2
+    got = {r.chunk: r["count"] for r in sequence.chunks(df, dense=False).groupBy("chunk").count().collect()}
+    assert got == {0: 18, 1: 18, 2: 9}
+    dense = {r.chunk: r["count"] for r in sequence.chunks(df).groupBy("chunk").count().collect()}
+    assert dense == {0: 20, 1: 20, 2: 5}
+    assert {r.chunk: r.chunk_rows for r in training_features(df).collect()} == dense
 
 
 def test_webscan_scopes(flows):
@@ -145,8 +145,28 @@ def test_entropy_bounds_and_vectors(flows):
         assert r.H_IP3 == 0 and r.srcprts_per_peers == 5 and r.H_dstprt == 0
     matrix = A.source_destination_matrix(df)
     assert len(matrix.columns) == 5 and matrix.count() == 3
-    with pytest.raises(ValueError):
-        A.source_destination_matrix(df, max_columns=3)
+    assert A.source_destination_matrix(df, ["198.51.100.1", "198.51.100.9"]).columns == ["src_ip", "198.51.100.1", "198.51.100.9"]
+    whole = A.source_destination_vectors(df).collect()
+    assert len(whole) == 3 and all(len(r.peers) == 4 and sum(r.peers.values()) == 20 for r in whole)
+    parts = A.source_destination_vectors(df, list_rows=2).collect()
+    assert {(r.src_ip, p, n) for r in parts for p, n in r.peers.items()} == {(r.src_ip, p, n) for r in whole for p, n in r.peers.items()}
+
+
+def test_url_parts_keep_one_row_per_pair(spark, flows):
+    df = flows([flow(i, params=f"/bad{i}") for i in range(7)] + [flow(9, dest="198.51.100.2", params="/fine")])
+    from flowscope.operators import learning as L
+    from flowscope.plans.detection import malicious_by_rule
+    from flowscope.plans.webscan import webscan_features_with_urls
+
+    rule = F.contains("params", F.lit("bad"))
+    statistics, lists = malicious_by_rule(df, rule, ["src_ip", "dest_ip"])
+    table = webscan_features_with_urls(webscan_features(df, malicious=statistics), lists)
+    got = {r.dest_ip: r for r in table.collect()}
+    assert got["198.51.100.1"].Sum_xss == 7 and len(got["198.51.100.1"].Malics_urls) == 7 and got["198.51.100.1"].url_parts == 1
+    assert got["198.51.100.2"].Feq_xss == 0 and got["198.51.100.2"].url_parts == 0
+    short = L.malicious_urls(L.score_urls_by(df, rule, ["src_ip", "dest_ip"]), ["src_ip", "dest_ip"], list_rows=3)
+    parted = {r.dest_ip: r for r in webscan_features_with_urls(webscan_features(df, malicious=statistics), short).collect()}
+    assert len(parted) == 2 and parted["198.51.100.1"].url_parts == 3
 
 
 def test_owned_split_is_a_partition(spark, flows):
@@ -172,3 +192,10 @@ def test_batches(spark):
     got = lookup.key_batches(keys).collect()
     assert sorted(len(r.ips) for r in got) == [51, 100, 100]
     assert len({ip for r in got for ip in r.ips}) == 251
+
+
+def test_batches_keep_names(spark):
+    keys = spark.createDataFrame([("::1",), ("host.example",), ("10.0.0.9",), ("10.0.0.2",), (None,), ("::1",)], "dest_ip string")
+    got = sorted(lookup.key_batches(keys, size=2).collect())
+    assert [len(r.ips) for r in got] == [2, 2] and got[0].ips == ["10.0.0.2", "10.0.0.9"]
+    assert set(got[1].ips) == {"::1", "host.example"}

@@ -66,11 +66,12 @@ def test_corpus_truth_and_features(spark, tmp_path):
     row = logs.read_domain_truth(spark, put(tmp_path / "truth.csv", "acc,198.51.100.1,80, h.example ,3,0\n")).first()
     assert row.hostname == " h.example " and row.sum_count == 3
     table = spark.createDataFrame([(1.0, 0.5, "192.0.2.1")], "Sum_dir double, Feq_dir double, src_ip string")
-    path = str(tmp_path / "features")
-    sinks.append_labelled(table, table, path)
-    sinks.append_labelled(table, table.limit(0), path)
-    rows = logs.read_labelled_features(spark, path, ["Sum_dir", "Feq_dir", "src_ip", "label"]).collect()
-    assert sorted(r.label for r in rows) == [0, 1, 1] and all(r.Sum_dir == 1.0 for r in rows)
+    for header in (False, True):
+        path = str(tmp_path / f"features-{header}")
+        sinks.append_labelled(table, table, path, header)
+        sinks.append_labelled(table, table.limit(0), path, header)
+        rows = logs.read_labelled_features(spark, path, ["Sum_dir", "Feq_dir", "src_ip", "label"], header).collect()
+        assert sorted(r.label for r in rows) == [0, 1, 1] and all(r.Sum_dir == 1.0 for r in rows)
 
 
 def test_flow_log_round_trip(spark, flows, tmp_path):

@@ -24,6 +24,34 @@ def test_lag_in_blocks(hot):
     assert len(got) == 3000
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(0, None, 1), (1, "a", 2), (2, None, 3), (700, None, 4), (701, "a", 5)], "seq bigint, k string, v int")
+    got = {r.seq: r.n for r in S.position_in_group(df, ["k"], "seq", "n", 10).collect()}
+    assert got == {0: 1, 2: 2, 700: 3, 1: 1, 701: 2}
+    before = {r.seq: r.p and r.p.v for r in S.lag_in_blocks(df, ["k"], "seq", F.col("v"), "p", 10).collect()}
+    assert before == {0: None, 1: None, 2: 1, 700: 3, 701: 2}
+
+
+def test_rank_with_nulls_and_large_integers(spark):
+    df = spark.createDataFrame([(0, 2.0), (1, None), (2, 1.0), (3, None)], "id bigint, v double")
+    assert {r.id: r["rank"] for r in S.rank_by(df, "v", "id", "rank").collect()} == {0: 1, 2: 2, 1: 3, 3: 4}
+    assert {r.id: r["rank"] for r in S.rank_by(df, "v", "id", "rank", descending=False).collect()} == {2: 1, 0: 2, 1: 3, 3: 4}
+    big = spark.createDataFrame([(i, (1 << 53) + i) for i in range(4)], "id bigint, v bigint")
+    assert {r.id: r["rank"] for r in S.rank_by(big, "v", "id", "rank", descending=False).collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
+    assert [S.kth_smallest(big, "v", k) for k in range(4)] == [(1 << 53) + k for k in range(4)]
+    assert S.kth_smallest(big, "v", 4) is None
+
+
+def test_scratch_is_released(spark, monkeypatch):
+    monkeypatch.setattr(S, "_written", [])
+    held = S.cut_lineage(spark.range(10).toDF("id"))
+    assert held.count() == 10
+    path = held.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert Path(path).exists()
+    S.release_scratch(spark)
+    assert not Path(path).exists()
+
+
 def test_lag_keeps_null_values(spark):
     df = spark.createDataFrame([(0, "a", None), (1, "a", 5), (900, "a", None), (901, "a", 7)], "seq bigint, k string, v int")
     rows = {r.seq: r.p for r in S.lag_in_blocks(df, ["k"], "seq", F.col("v"), "p", 10).collect()}

@@ -6,6 +6,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 from collections import Counter
@@ -43,6 +44,7 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     import catalog
+    from flowscope.operators.scale import release_scratch
 
     if args.section:
         catalog.SECTIONS = tuple(args.section.split(","))
@@ -50,7 +52,8 @@ def main() -> int:
     spark = (
         SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
@@ -69,6 +72,7 @@ def main() -> int:
             print(f"FAIL {name}: {traceback.format_exc()[-1500:]}")
             continue
         took = time.time() - start
+        release_scratch(spark)
         if name not in reg.ORACLES:
             print(f"rows {name} {len(got)} rows {took:.2f}s")
             continue
