@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.scale import ID_ROWS
+from flowscope.llm.scale import ID_ROWS, checked_broadcast
 from flowscope.llm.words import Texts, pieces
 from flowscope.operators.components import connected_components
 from flowscope.operators.scale import cut_lineage
@@ -230,12 +230,15 @@ def hex_digits(fp: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row with the smallest id of each component, with the input columns; rows without an id stay only if all of theirs have none."""
-    found = cut_lineage(near_duplicates(docs, id_col, text_col, shingle, max_bits).select("id", "component_id"), "components")
-    best = cut_lineage(found.filter("id <=> component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    rows = docs.withColumn("__id", F.col(f"`{id_col}`").cast("bigint"))
-    keys = F.broadcast(best.select("__id")) if best.count() <= ID_ROWS else best.select("__id")
-    rows = rows.join(keys, rows["__id"].eqNullSafe(keys["__id"]), "left_semi")
-    if not best.filter("__n > 1 and __id is not null").isEmpty():
-        rows = rows.filter("__id is not null").dropDuplicates(["__id"]).unionByName(rows.filter("__id is null"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component, with the input columns: the one with the smallest id, and of repeated rows any one.
+
+    A row without an id stands behind all others, by a hash of its text, and stays if nothing else is like it.
+    """
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`")), 2)
+    rows = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), stand_in))
+    found = cut_lineage(near_duplicates(rows, "__id", text_col, shingle, max_bits).select("id", "component_id"), "components")
+    best = cut_lineage(found.filter("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "kept")
+    kept = rows.join(checked_broadcast(best.select("__id"), best.count(), ID_ROWS), "__id", "left_semi")
+    if not best.filter("__n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__id"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
