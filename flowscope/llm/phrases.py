@@ -5,7 +5,7 @@ window of an item (``window`` consecutive words, or a whole shorter item) is the
 only the terms at the ``lists`` rarest positions of some window get postings ``(term, document, position)``, which the
 second pass stores. The offset-adjusted list of the rarest position of a window gives places where the window may start;
 these are intersected with the adjusted list of the next rarest, and so on. What is left is compared word by word with
-the document, so matches are exact. A window with a term that the training text does not have is never looked up.
+the document, so matches are exact; only the documents with a candidate are read for that. A window with a term that the training text does not have is never looked up.
 
 Proximity: an item is near a place of its rarest term if its next rarest terms stand within ``within`` words of it.
 
@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.scale import checked_broadcast
+from flowscope.llm.scale import ID_ROWS, checked_broadcast
 from flowscope.operators.scale import cut_lineage
 
 WINDOW = 10
@@ -119,10 +119,19 @@ class PhraseIndex:
 
     def matches(self) -> DataFrame:
         """``(key, start, size, phrase)``: exact occurrences, each candidate compared with the words of its document."""
-        by_document = self.candidates().groupBy("key").agg(F.collect_set(F.struct("start", "size", "phrase")).alias("c"))
-        held = self.docs.join(by_document, "key").select("key", "c", words_of(F.col("text")).alias("w"))
+        by_document = cut_lineage(self.candidates().groupBy("key").agg(F.collect_set(F.struct("start", "size", "phrase")).alias("c")), "candidates")
+        keys = checked_broadcast(by_document.select("key"), by_document.count(), ID_ROWS)
+        held = self.docs.join(keys, "key", "left_semi").join(by_document, "key").select("key", "c", words_of(F.col("text")).alias("w"))
         return held.select("key", F.explode(_exact("c", "w")).alias("m")).select("key", "m.*").distinct()
 
+    def holders(self) -> DataFrame:
+        """``(key, n_hit, items)`` of the documents with a match."""
+        found = cut_lineage(self.matches(), "matches")
+        items = self.of_items.groupBy("phrase").agg(F.collect_set("item").alias("own"))
+        return found.join(checked_broadcast(items, self.n_windows), "phrase").groupBy("key").agg(
+            _hit_words(F.sort_array(F.collect_set(F.struct("start", "size")))).alias("n_hit"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("own")))).alias("items"))
+
 
 def _exact(candidates: str, words: str) -> Column:
     return F.filter(candidates, lambda c: F.array_join(F.slice(words, c["start"] + 1, c["size"]), " ") == c["phrase"])
@@ -148,22 +157,19 @@ def contamination(
     Result columns replace carried ones of the same name. ``items`` is a sorted array of item ids as text.
     """
     index = PhraseIndex(docs, items, id_col, text_col, item_col, item_text_col, window, lists)
-    holders = index.of_items.groupBy("phrase").agg(F.collect_set("item").alias("items"))
-    found = index.candidates().join(checked_broadcast(holders, index.n_windows), "phrase")
-    found = found.groupBy(F.col("key").alias("__key")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "size", "phrase", "items"))).alias("__c"))
+    holders = cut_lineage(index.holders().withColumnRenamed("key", "__key"), "holders")
     carried = [c for c in (carry or [id_col]) if c not in ("n_words", "n_hit", "items")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias("__t"), row_key(id_col, text_col).alias("__key"))
-    read = rows.join(cut_lineage(found, "candidates"), "__key", "left").withColumn("__w", words_of(F.col("__t")))
-    return read.withColumn("__m", F.when(F.col("__c").isNotNull(), _exact("__c", "__w"))).select(
-        *[F.col(f"`{c}`") for c in carried], F.size("__w").cast("bigint").alias("n_words"),
-        F.coalesce(_hit_words(F.col("__m")), F.lit(0).cast("bigint")).alias("n_hit"),
-        F.coalesce(F.sort_array(F.array_distinct(F.flatten("__m.items"))), F.array().cast("array<string>")).alias("items"))
+    rows = docs.select(
+        *[F.col(f"`{c}`") for c in carried], F.size(words_of(F.col(f"`{text_col}`"))).cast("bigint").alias("n_words"), row_key(id_col, text_col).alias("__key"))
+    return rows.join(checked_broadcast(holders, holders.count()), "__key", "left").select(
+        *[F.col(f"`{c}`") for c in carried], "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def without_test_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                           item_text_col: str = "text", window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """The rows without any occurrence of a test window, with the input columns."""
     index = PhraseIndex(docs, items, id_col, text_col, item_col, item_text_col, window, lists)
-    dirty = index.matches().select(F.col("key").alias("__key")).distinct()
+    dirty = cut_lineage(index.matches().select(F.col("key").alias("__key")).distinct(), "dirty")
+    dirty = checked_broadcast(dirty, dirty.count(), ID_ROWS)
     return docs.withColumn("__key", row_key(id_col, text_col)).join(dirty, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
