@@ -11,7 +11,7 @@ from flowscope.operators.clean import clean_webscan, defined_features
 from flowscope.operators.components import connected_components
 from flowscope.operators.dbscan import dbscan
 from flowscope.operators.learning import precision_at_outliers, roc_auc, standardise
-from flowscope.operators.outlier import fit_outliers
+from flowscope.operators.outlier import OutlierModel, fit_outliers
 from flowscope.operators.scale import cut_lineage, kth_smallest, rank_by
 from flowscope.operators.tiles import distinct_points
 from flowscope.plans.webscan import webscan_features
@@ -142,13 +142,13 @@ def _(t):
 
 @query("cluster_summary", "D25", f"""
 WITH {POINTS}{TWO}{LABELLED}{BORDER}
-SELECT cluster::BIGINT AS cluster, count(*) AS elements, count(*) FILTER (rho >= coalesce(border, 0)) AS core,
+SELECT cluster::BIGINT AS cluster, arg_max(id, {{'r': rho, 'd': id % 5, 'i': -id}}) AS centre, count(*) AS elements, count(*) FILTER (rho >= coalesce(border, 0)) AS core,
   count(*) FILTER (rho < coalesce(border, 0)) AS halo FROM lab LEFT JOIN bord USING (cluster) GROUP BY cluster""")
 def _(t):
     marked = labelled(t)
     borders = density.border_density(points(t), marked, RADIUS)
-    halo = density.mark_halo(marked.withColumn("delta", F.lit(0.0)), borders)
-    return density.cluster_summary(halo).drop("centre")
+    halo = density.mark_halo(marked.withColumn("delta", (F.col("id") % 5).cast("double")), borders)
+    return density.cluster_summary(halo)
 
 
 DELTA_MIN = 1.2
@@ -237,6 +237,37 @@ def _(t):
     return connected_components(triplets(t).select(F.col("i").alias("u"), F.col("j").alias("v")))
 
 
+def given_outliers(t):
+    """Four given centres, two of them of large clusters."""
+    rows = t.read("embeddings").filter("vec_id in (0, 1, 2, 3)").orderBy("vec_id").select("embedding").collect()
+    return OutlierModel([list(map(float, r[0])) for r in rows], [0, 1], 1.3)
+
+
+GIVEN_SQL = """p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
+  c AS (SELECT id AS c, x AS y FROM p WHERE id < 4),
+  d AS (SELECT id, label, c, list_distance(x, y) AS d FROM p, c),
+  near AS (SELECT id, any_value(label) AS label, arg_min(c, {'d': d, 'c': c}) AS cluster, min(d) AS own, min(d) FILTER (c < 2) AS large FROM d GROUP BY id),
+  scored AS (SELECT id, cluster::INTEGER AS cluster, CASE WHEN cluster < 2 THEN own ELSE large END AS score, (label = 0)::INTEGER AS y FROM near)"""
+
+
+@query("outlier_scores_of_given_centres", "J15", f"""
+WITH {GIVEN_SQL} SELECT id, cluster, round(score, 6) AS score, (score > 1.3)::INTEGER AS outlier FROM scored""")
+def _(t):
+    return given_outliers(t).predict(points(t)).select("id", "cluster", "score", "outlier")
+
+
+@query("outlier_evaluation_of_given_centres", "D27", f"""
+WITH {GIVEN_SQL}, r AS (SELECT y, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM scored)
+SELECT count(*) AS n, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))), 6)::DOUBLE AS auc,
+  (SELECT round(avg(y), 6) FROM scored WHERE score > (SELECT s[k + 1] + f * (s[least(k + 2, len(s))] - s[k + 1]) FROM (
+    SELECT s, floor(w)::BIGINT AS k, w - floor(w) AS f FROM (SELECT list_sort(list(score)) AS s, (count(*) - 1) * (1.0::DOUBLE - sum(y) / count(*)) AS w FROM scored)))) AS precision FROM r""")
+def _(t):
+    scored = given_outliers(t).score(points(t))
+    truth = t.read("embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 0).cast("int").alias("label"))
+    joined = cut_lineage(scored.join(truth, "id").select("id", "score", "label"))
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.lit(roc_auc(joined)).alias("auc"), F.lit(precision_at_outliers(joined)).alias("precision"))
+
+
 @query("outlier_scores", "J15")
 def _(t):
     return fit_outliers(points(t)).predict(points(t)).select("id", "cluster", "score", "outlier")

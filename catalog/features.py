@@ -162,16 +162,23 @@ def _(t):
     return A.layer7_vector(t.webscan)
 
 
+_SHARE = "(count(*) FILTER (c = {0}) / count(*))"
+SHARES_SQL = ", ".join(
+    "CASE WHEN {1} > 0 THEN round(-{1} * log2({1}), 6) ELSE 0.0 END AS \"H_IP{0}\"".format(k, _SHARE.format(k)) for k in (1, 2, 3, 4))
+
+
 @query("layer4_vector", "D14", with_parts("FLOWS", """
-SELECT src_ip, count(DISTINCT dest_ip) AS num_of_peers, 0.0::DOUBLE AS "H_IP1", 0.0::DOUBLE AS "H_IP2",
-  0.0::DOUBLE AS "H_IP3", 0.0::DOUBLE AS "H_IP4",
+, several AS (SELECT * REPLACE ((CASE seq % 4 WHEN 0 THEN '10.0.0.' WHEN 1 THEN '150.0.0.' WHEN 2 THEN '203.0.113.' ELSE '230.0.0.' END)
+    || split_part(dest_ip, '.', 4) AS dest_ip), (seq % 4 + 1)::INTEGER AS c FROM flows)
+SELECT src_ip, count(DISTINCT dest_ip) AS num_of_peers, """ + SHARES_SQL + """,
   round(count(DISTINCT src_port) / count(DISTINCT dest_ip), 6) AS srcprts_per_peers, round(entropy(src_port), 6) AS "H_srcprt",
   round(count(DISTINCT dest_port) / count(DISTINCT dest_ip), 6) AS dstprts_per_peers,
   round(entropy(dest_port), 6) AS "H_dstprt", round(count(*) / count(DISTINCT dest_ip), 6) AS mean_flows_per_peer
-FROM flows WHERE dest_port IS NOT NULL GROUP BY src_ip"""))
+FROM several GROUP BY src_ip"""))
 def _(t):
-    """All destinations are of class 3, so every class share is 0 or 1 and each entropy term 0."""
-    return A.layer4_vector(t.flows.filter("dest_port is not null"))
+    """The destinations are moved to networks of all four address classes; ports may be null."""
+    net = F.element_at(F.array(*[F.lit(n) for n in ("10.0.0.", "150.0.0.", "203.0.113.", "230.0.0.")]), (F.col("seq") % 4 + 1).cast("int"))
+    return A.layer4_vector(t.flows.withColumn("dest_ip", F.concat(net, F.substring_index("dest_ip", ".", -1))))
 
 
 @query("source_destination_counts", "D15", with_parts("FLOWS", "SELECT src_ip, dest_ip, count(*) AS n FROM flows GROUP BY ALL"))
@@ -355,8 +362,14 @@ def _(t):
     return impute.fill_unresolved(t.webscan.select("seq", "src_ip", "status"), ["src_ip"], "status", draw=draw)
 
 
-@query("hashed_fill", "I1")
+@query("hashed_fill", "I1", with_parts(FW, """
+SELECT src_ip, count(*) AS n, CASE WHEN bool_or(status <> '-') THEN 0 ELSE count(*) END::BIGINT AS unresolved,
+  CASE WHEN bool_or(status <> '-') THEN list_sort(list(DISTINCT status) FILTER (status <> '-')) ELSE ['-'] END AS statuses
+FROM webscan GROUP BY src_ip"""))
 def _(t):
-    return impute.fill_unresolved(t.webscan.select("seq", "src_ip", "status"), ["src_ip"], "status", seed=42)
+    """The draw itself is free; rows, their number and the statuses of each source are not."""
+    filled = impute.fill_unresolved(t.webscan.select("seq", "src_ip", "status"), ["src_ip"], "status", seed=42)
+    return filled.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "-").alias("unresolved"),
+                                        F.sort_array(F.collect_set("status")).alias("statuses"))
 
 

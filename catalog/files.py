@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, with_parts
+from catalog.base import ORACLES, QUERIES, query, with_parts
 from catalog.clustering import DC, PEAKS, POINTS, RADIUS, RHO, TWO, points, triplets
 from flowscope.operators.lookup import append_if_absent
 from flowscope.operators.scale import cut_lineage, scratch_path
@@ -32,11 +32,11 @@ def _(t):
     return logs.typed_flows(logs.read_flow_log(t.spark, flow_log(t))).select("seq", *FLOW_COLUMNS)
 
 
-@query("scan_broken_flow_log", "A1 A3", with_parts("FLOWS", """
-SELECT seq, CASE WHEN seq % 29 = 0 THEN size || ' ' END IS NULL AS good, src_ip FROM flows WHERE seq % 29 <> 0"""))
+@query("scan_broken_flow_log", "A1 A3", with_parts("FLOWS", f"""
+SELECT seq, {WITH_PORT}, src_port, dest_port FROM flows WHERE seq % 29 <> 0"""))
 def _(t):
     log = logs.read_flow_log(t.spark, flow_log(t, broken=True))
-    return logs.within_error_budget(log).select("seq", F.lit(True).alias("good"), "src_ip")
+    return logs.typed_flows(logs.within_error_budget(log)).select("seq", *FLOW_COLUMNS)
 
 
 @query("quarantined_rows", "A3", with_parts("FLOWS", """
@@ -157,22 +157,19 @@ def _(t):
 
 
 @query("decision_graph_sink", "A14", f"""
-WITH {POINTS}{DC}{TWO}{RHO}{PEAKS} SELECT count(*) AS n, round(sum(round(delta, 2)), 2) AS delta FROM peaks""")
+WITH {POINTS}{DC}{TWO}{RHO}{PEAKS} SELECT printf('%.2f', rho)::DOUBLE AS rho, printf('%.2f', delta)::DOUBLE AS delta FROM peaks""")
 def _(t):
     from flowscope.operators.density import density_peaks
 
     path = scratch_path(t.spark, "decision")
     sinks.write_decision_graph(density_peaks(points(t)), path)
-    graph = t.spark.read.csv(path, schema="rho double, delta double", sep=" ")
-    return graph.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta"), 2).alias("delta"))
+    return t.spark.read.csv(path, schema="rho double, delta double", sep=" ")
 
 
-@query("assignment_sink", "A14", """
-SELECT vec_id AS id, (label + 1)::BIGINT AS cluster, (label + 1)::BIGINT AS halo FROM embeddings""")
+@query("assignment_sink", "A14 J13", "SELECT id, cluster, halo FROM (" + ORACLES["density_clusters"] + ")")
 def _(t):
     path = scratch_path(t.spark, "assignment")
-    label = (F.col("label") + 1).cast("bigint")
-    sinks.write_assignment(t.read("embeddings").select(F.col("vec_id").alias("id"), label.alias("cluster"), label.alias("halo")), path)
+    sinks.write_assignment(QUERIES["density_clusters"](t.spark, t.sf_dir), path)
     return t.spark.read.csv(path, schema="id bigint, cluster bigint, halo bigint", sep=" ")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import query, with_parts
 from catalog.features import HOST_SQL
-from catalog.scalars import TOKEN_SQL
+from catalog.scalars import NORMAL_SQL, QUERY_SQL, TOKEN_SQL, WORDS_SQL
 from flowscope.functions.text import attack_tokens, char_ngrams, percent_decode, word_ngrams
 from flowscope.operators import aggregate as A
 from flowscope.operators import learning as L
@@ -88,11 +89,14 @@ def _(t):
     return L.standardise(events, ["value", "user_id"]).select("event_id", "value_scaled", "user_id_scaled")
 
 
-@query("seeded_split", "J9", "SELECT count(*) AS n FROM events")
+@query("seeded_split", "J9", """
+SELECT count(*) AS n, 0::BIGINT AS shared, true AS balanced, sum(event_id)::BIGINT AS ids FROM events""")
 def _(t):
-    """Both parts together are the table; the shares are tested."""
-    train, test = L.split(t.read("events"), 0.2, "event_id")
-    return train.unionByName(test).agg(F.countDistinct("event_id").alias("n"))
+    """No row is lost or in both parts, and the smaller part has about a fifth."""
+    train, test = (part.select("event_id", F.lit(i).alias("part")) for i, part in enumerate(L.split(t.read("events"), 0.2, "event_id")))
+    per = train.unionByName(test).groupBy("event_id").agg(F.sum("part").alias("test"), F.count(F.lit(1)).alias("parts"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parts") > 1).alias("shared"),
+                   F.avg("test").between(0.18, 0.22).alias("balanced"), F.sum("event_id").alias("ids"))
 
 
 def labelled_documents(t):
@@ -138,24 +142,32 @@ def url_model(t, mode="all"):
     return detection.url_attack_model(cut_lineage(labelled_urls(t)), mode)
 
 
+ATTACK = "contains(params, '%3Cscript')"
+ATTACK_SQL = with_parts("FLOWS", "SELECT DISTINCT params, 1 AS label FROM flows WHERE contains(params, '%3Cscript')")
+
 for _mode in ("all", "tfidf", "statistic"):
 
-    @query(f"attack_classifier_{_mode}", "J3 J6 B16")
+    @query(f"attack_classifier_{_mode}", "J3 J6 B16", ATTACK_SQL)
     def _(t, mode=_mode):
-        """URLs predicted as attacks."""
+        """URLs predicted as attacks; with the tokens at hand the forest must find all of them and no other."""
         urls = cut_lineage(labelled_urls(t))
         model = detection.url_attack_model(urls, mode)
         scored = model.transform(L.attack_text(urls, "params"))
         return scored.filter("prediction <> 0").select("params", "label")
 
 
-@query("malicious_url_statistics", "D10 D20")
+@query("malicious_url_statistics", "D10 D20", with_parts("FLOWS WEBSCAN", f"""
+SELECT src_ip, dest_ip, count(*) FILTER ({ATTACK}) AS "Sum_xss", round(count(*) FILTER ({ATTACK}) / count(*), 6) AS "Feq_xss"
+FROM webscan WHERE method = 'GET' GROUP BY ALL"""))
 def _(t):
     statistics, _lists = detection.malicious_by(t.webscan, url_model(t), ["src_ip", "dest_ip"])
     return statistics
 
 
-@query("malicious_url_lists", "D10")
+@query("malicious_url_lists", "D10", with_parts("FLOWS WEBSCAN", f"""
+SELECT src_ip, dest_ip, 0::BIGINT AS part, list(params ORDER BY seq) AS "Malics_urls", list(n ORDER BY seq) AS "Malics_counts"
+FROM (SELECT src_ip, dest_ip, params, min(seq) AS seq, count(*) AS n FROM webscan WHERE method = 'GET' AND {ATTACK} GROUP BY ALL)
+GROUP BY src_ip, dest_ip"""))
 def _(t):
     _statistics, lists = detection.malicious_by(t.webscan, url_model(t), ["src_ip", "dest_ip"])
     return lists
@@ -181,6 +193,25 @@ def _(t):
     return A.accuracy(t.read("labels"), "quality", "toxic")
 
 
+@query("attack_statistics", "J3 H23", with_parts("FLOWS", f"""
+, u AS (SELECT params, {NORMAL_SQL.format('(' + QUERY_SQL.format('params') + ')')} AS text FROM (SELECT DISTINCT params FROM flows)),
+  e AS (SELECT params, entropy(ch) AS h FROM (SELECT params, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM u) GROUP BY params)
+SELECT params, [len(regexp_extract_all(text, '(?i){WORDS_SQL}'))::DOUBLE, (text[-1:] = '/')::DOUBLE, round(coalesce(h, 0), 6)] AS statistics
+FROM u LEFT JOIN e USING (params)"""))
+def _(t):
+    """The statistics part of the attack model's input."""
+    urls = t.flows.select("params").distinct()
+    return L.attack_text(urls).select("params", vector_to_array("statistics").alias("statistics"))
+
+
+@query("forest_holdout", "J7 D26")
+def _(t):
+    """Web-scan forest on 60 % of the labelled behaviour rows; accuracy on the other 40 % and their number."""
+    flows = t.flows.withColumn("_odd", (F.col("seq") % 13 == 0) | (F.col("seq") % 19 == 0))
+    rows = detection.labelled_behaviour(flows.filter("_odd"), flows.filter(~F.col("_odd")), url_model(t), burst_seconds=3600)
+    return detection.holdout_accuracy(cut_lineage(rows), W.MODEL_COLUMNS)
+
+
 def forest_and_model(t):
     flows = t.flows.withColumn("_odd", (F.col("seq") % 13 == 0) | (F.col("seq") % 19 == 0))
     model = url_model(t)
@@ -196,7 +227,7 @@ def _(t):
     return detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600)
 
 
-@query("saved_forest", "A16 J7")
+@query("saved_forest", "A16 J7", with_parts("FLOWS WEBSCAN", "SELECT DISTINCT src_ip, dest_ip, true AS same FROM webscan"))
 def _(t):
     """A forest saved and loaded again must score as the one in memory."""
     from flowscope.operators.clean import clean_webscan
@@ -206,11 +237,17 @@ def _(t):
     table = cut_lineage(W.webscan_features(flows, burst_seconds=3600).withColumn("label", (F.col("Sum_dir") > 5).cast("int")))
     forest = L.fit_webscan_forest(table, W.MODEL_COLUMNS, trees=20)
     sinks.save_model(forest, path)
-    scored = L.score_webscan(table, sinks.load_model(path), W.MODEL_COLUMNS)
-    return scored.select("src_ip", "dest_ip", "web_scan")
+    saved = L.score_webscan(table, sinks.load_model(path), W.MODEL_COLUMNS).withColumnRenamed("web_scan", "saved")
+    both = saved.join(L.score_webscan(table, forest, W.MODEL_COLUMNS), ["src_ip", "dest_ip"])
+    return both.select("src_ip", "dest_ip", (F.col("saved") == F.col("web_scan")).alias("same"))
 
 
-@query("basic_scan_vector_scored", "D19 D20")
+@query("basic_scan_vector_scored", "D19 D20", with_parts("FLOWS BASIC", f"""
+, p AS (SELECT *, lag(lower(params)) OVER (PARTITION BY src_ip, dest_ip ORDER BY seq) AS v FROM basic)
+SELECT src_ip, round(count(*) FILTER ({ATTACK}) / count(*), 6) AS "P_malicious_urls",
+  CASE WHEN count(v) = 0 THEN -1 ELSE count(*) FILTER (levenshtein(lower(params), v) < 5) END AS "C_similar_url",
+  round(count(*) FILTER (status = '404') / count(*), 6) AS num_404, round(entropy(status), 6) AS "H_status"
+FROM p GROUP BY src_ip"""))
 def _(t):
     return W.basic_scan_vector(t.basic, L.score_urls(t.basic, url_model(t), ["src_ip"]))
 
@@ -220,6 +257,18 @@ def _(t):
     return L.domain_kmeans(domain_features(t.domain)).select("dest_ip", "Hostname", "Flows", "Urls", "Similar_host", "cluster")
 
 
+@query("domain_assignment", "J14 J10", with_parts("FLOWS DOMAIN", f"""
+, d AS (SELECT * FROM ({HOST_SQL}) WHERE "Similar_host" < 10),
+  z AS (SELECT dest_ip, host, [("Flows" - avg("Flows") OVER ()) / stddev_pop("Flows") OVER (),
+    ("Urls" - avg("Urls") OVER ()) / stddev_pop("Urls") OVER ()] AS x FROM d)
+SELECT dest_ip, host AS "Hostname", (CASE WHEN list_distance(x, [-0.5, -0.25]::DOUBLE[]) <= list_distance(x, [1.0, 0.75]::DOUBLE[]) THEN 0 ELSE 1 END) AS cluster FROM z"""))
+def _(t):
+    """Standardised rows at the nearer of two given centres, as a fitted model assigns them."""
+    table = domain_features(t.domain).filter("Similar_host < 10")
+    scaled = L.standardise(table, ["Flows", "Urls"]).withColumn("features", F.array("Flows_scaled", "Urls_scaled"))
+    return L.nearest_centre(scaled, [[-0.5, -0.25], [1.0, 0.75]]).select("dest_ip", "Hostname", "cluster")
+
+
 @query("domain_rows_for_clustering", "J14 B9 J10", with_parts("FLOWS DOMAIN", f"""
 , d AS (SELECT * FROM ({HOST_SQL}) WHERE "Similar_host" < 10)
 SELECT dest_ip, host AS "Hostname", round(("Flows" - avg("Flows") OVER ()) / stddev_pop("Flows") OVER (), 6) AS "Flows_scaled",

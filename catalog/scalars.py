@@ -127,11 +127,11 @@ def _(t):
 
 @query("char_bigrams", "H13", """
 SELECT page_id, [substr(url, i, 2) for i in range(1, length(url) - 1)] AS grams,
-  length(html) - 2 AS n_html_grams FROM pages""")
+  md5(array_to_string([substr(html, i, 2) for i in range(1, length(html) - 1)], chr(9))) AS html_grams FROM pages""")
 def _(t):
     return t.read("pages").select(
         "page_id", X.char_ngrams("url").alias("grams"),
-        F.size(X.char_ngrams("html")).cast("bigint").alias("n_html_grams"),
+        F.md5(F.array_join(X.char_ngrams("html"), "\t").cast("binary")).alias("html_grams"),
     )
 
 

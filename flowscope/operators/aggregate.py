@@ -42,9 +42,14 @@ def in_facet(name: str) -> Column:
     return F.col("facet") == F.lit(name)
 
 
+def known_in(name: str) -> Column:
+    """Rows of a facet with a value: a missing one is no value and adds nothing to an entropy."""
+    return in_facet(name) & F.col("value").isNotNull()
+
+
 def entropy_by(df: DataFrame, keys: Sequence[str], column: str, out: str = "entropy") -> DataFrame:
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(*keys).agg(entropy_of("n").alias(out))
+    return counts.groupBy(*keys).agg(entropy_of("n", F.col(column).isNotNull()).alias(out))
 
 
 def flow_counts(flows: DataFrame, keys: Sequence[str], out: str = "Sum_flow") -> DataFrame:
@@ -210,8 +215,8 @@ def layer7_vector(flows: DataFrame) -> DataFrame:
         flow_num.alias("flow_num"),
         peers.alias("num_of_peers"),
         (flow_num / peers).alias("mean_flows_per_peer"),
-        entropy_of("n", in_facet("status")).alias("H_status"),
-        entropy_of("n", in_facet("method")).alias("H_method"),
+        entropy_of("n", known_in("status")).alias("H_status"),
+        entropy_of("n", known_in("method")).alias("H_method"),
     )
     times = interval_statistics(flows, ["src_ip"])
     return base.join(times, "src_ip").select(
@@ -241,9 +246,9 @@ def layer4_vector(flows: DataFrame) -> DataFrame:
         distinct("peer").alias("num_of_peers"),
         *[share(k).alias(f"_p{k}") for k in (1, 2, 3, 4)],
         (distinct("srcprt") / distinct("peer")).alias("srcprts_per_peers"),
-        entropy_of("n", in_facet("srcprt")).alias("H_srcprt"),
+        entropy_of("n", known_in("srcprt")).alias("H_srcprt"),
         (distinct("dstprt") / distinct("peer")).alias("dstprts_per_peers"),
-        entropy_of("n", in_facet("dstprt")).alias("H_dstprt"),
+        entropy_of("n", known_in("dstprt")).alias("H_dstprt"),
         (total / distinct("peer")).alias("mean_flows_per_peer"),
     )
     return wide.select(

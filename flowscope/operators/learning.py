@@ -146,14 +146,23 @@ def domain_kmeans(table: DataFrame, k: int = 2, seed: int = 42, limit: float = 1
     """k-means of domain rows with ``Similar_host`` below the limit, on standardised columns."""
     columns = ["Flows", "Urls", "Similar_host"]
     scaled = standardise(table.filter(F.col("Similar_host") < limit), columns)
-    vectors = scaled.withColumn("features", array_to_vector(F.array(*[F.col(f"{c}_scaled") for c in columns])))
-    model = KMeans(k=k, seed=seed).fit(vectors)
-    return model.transform(vectors).withColumnRenamed("prediction", "cluster").drop("features")
+    points = scaled.withColumn("features", F.array(*[F.col(f"{c}_scaled") for c in columns]))
+    model = KMeans(k=k, seed=seed).fit(points.withColumn("features", array_to_vector("features")))
+    return nearest_centre(points, [list(map(float, c)) for c in model.clusterCenters()]).drop("features")
+
+
+def nearest_centre(points: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Add ``cluster``, the number of the centre nearest to the array ``features``; the first of equally near ones."""
+    squares = F.array(*[
+        F.aggregate(F.zip_with("features", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        for c in centres
+    ])
+    return points.withColumn("_d", squares).withColumn("cluster", F.array_position("_d", F.array_min("_d")).cast("int") - 1).drop("_d")
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
     ready = scored.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
-    return BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y").evaluate(ready)
+    return BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(ready)
 
 
 def percentile(df: DataFrame, column: str, percent: float) -> float:

@@ -43,6 +43,18 @@ def labelled_behaviour(scan: DataFrame, normal: DataFrame, model: PipelineModel,
     return ones.select(*columns, F.lit(1).alias("label")).unionByName(zeros.select(*columns, F.lit(0).alias("label")))
 
 
+def holdout_accuracy(rows: DataFrame, columns, share: float = 0.4, seed: int = 42) -> DataFrame:
+    """``(n_test, accuracy)`` of a forest fitted on the other rows; the split goes by a hash of the whole row.
+
+    Equal rows fall on the same side, so that none is tested which was trained on.
+    """
+    keyed = rows.withColumn("_row", F.xxhash64(*[F.col(c) for c in rows.columns]))
+    train, test = L.split(keyed, share, "_row", seed)
+    scored = L.score_webscan(test, L.fit_webscan_forest(train, columns), columns)
+    hit = (F.col("web_scan") == F.col("label")).cast("double")
+    return scored.agg(F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy"))
+
+
 def detect_webscans(flows: DataFrame, url_model: PipelineModel, forest: PipelineModel, owner: DataFrame | None = None,
                     burst_seconds: int = 1) -> DataFrame:
     """Clean, build features, score: the web-scan table with its malicious URLs and ``web_scan``, most suspicious first."""
