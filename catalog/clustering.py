@@ -17,6 +17,7 @@ from flowscope.operators.tiles import distinct_points
 from flowscope.plans.webscan import webscan_features
 
 RADIUS = 1.15
+BLOCK_ROWS = 128
 
 POINTS = """p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
   e AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.id < b.id)"""
@@ -39,12 +40,12 @@ def points(t):
 
 def triplets(t):
     """Distance triplets as a distance file would give them: the pairs within the radius."""
-    return cut_lineage(distance.pairs_within(points(t), RADIUS), "triplets")
+    return cut_lineage(distance.pairs_within(points(t), RADIUS, BLOCK_ROWS), "triplets")
 
 
 @query("pairs_within_radius", "C10", f"WITH {POINTS} SELECT i, j, round(d, 6) AS d FROM e WHERE d <= {RADIUS}")
 def _(t):
-    return distance.pairs_within(points(t), RADIUS)
+    return distance.pairs_within(points(t), RADIUS, BLOCK_ROWS)
 
 
 @query("symmetric_distances", "A9", f"WITH {POINTS}{TWO} SELECT i, j, round(d, 6) AS d FROM s WHERE d <= {RADIUS}")
@@ -55,7 +56,7 @@ def _(t):
 @query("cutoff_distance", "F3", f"WITH {POINTS}{DC} SELECT round(dc, 6) AS dc FROM dc")
 def _(t):
     unique = cut_lineage(distinct_points(points(t)))
-    return unique.limit(1).select(F.lit(distance.cutoff_distance(unique)).alias("dc"))
+    return unique.limit(1).select(F.lit(distance.cutoff_distance(unique, block_rows=BLOCK_ROWS)).alias("dc"))
 
 
 @query("cutoff_of_triplets", "F3", f"""
@@ -81,28 +82,28 @@ def _(t):
 @query("local_density_gaussian", "D23", f"WITH {POINTS}{DC}{TWO}{RHO} SELECT id, round(rho, 6) AS rho FROM rho")
 def _(t):
     unique = cut_lineage(distinct_points(points(t)))
-    return density.local_density(unique, distance.cutoff_distance(unique))
+    return density.local_density(unique, distance.cutoff_distance(unique, block_rows=BLOCK_ROWS), block_rows=BLOCK_ROWS)
 
 
 @query("local_density_cutoff", "D23", f"""
 WITH {POINTS}{TWO} SELECT id, count(d)::DOUBLE AS rho FROM p LEFT JOIN (SELECT i, d FROM s WHERE d < {RADIUS}) ON i = id GROUP BY id""")
 def _(t):
     unique = cut_lineage(distinct_points(points(t)))
-    return density.local_density(unique, RADIUS, "cutoff")
+    return density.local_density(unique, RADIUS, "cutoff", BLOCK_ROWS)
 
 
 @query("nearest_denser_point", "C11", f"""
 WITH {POINTS}{DC}{TWO}{RHO}{PEAKS} SELECT id, round(delta, 6) AS delta, nneigh FROM near""")
 def _(t):
     unique = cut_lineage(distinct_points(points(t)))
-    rho = cut_lineage(density.local_density(unique, distance.cutoff_distance(unique)))
-    return density.nearest_denser(unique, rho)
+    rho = cut_lineage(density.local_density(unique, distance.cutoff_distance(unique, block_rows=BLOCK_ROWS), block_rows=BLOCK_ROWS))
+    return density.nearest_denser(unique, rho, BLOCK_ROWS)
 
 
 @query("density_peaks", "J12", f"""
 WITH {POINTS}{DC}{TWO}{RHO}{PEAKS} SELECT id, round(rho, 6) AS rho, round(delta, 6) AS delta, nneigh FROM peaks""")
 def _(t):
-    return density.density_peaks(points(t))
+    return density.density_peaks(points(t), block_rows=BLOCK_ROWS)
 
 
 @query("density_peaks_of_triplets", "J12 D23 C11", f"""
@@ -125,14 +126,14 @@ BORDER = f""", bord AS (SELECT cluster, max(m) AS border FROM (
 def labelled(t):
     """Embedding labels as clusters, with the number of near points as density."""
     unique = cut_lineage(points(t).withColumn("weight", F.lit(1).cast("bigint")))
-    rho = density.local_density(unique, RADIUS, "cutoff")
+    rho = density.local_density(unique, RADIUS, "cutoff", BLOCK_ROWS)
     label = t.read("embeddings").select(F.col("vec_id").alias("id"), (F.col("label") + 1).cast("bigint").alias("cluster"))
     return cut_lineage(rho.join(label, "id"))
 
 
 @query("border_density", "D24", f"WITH {POINTS}{TWO}{LABELLED}{BORDER} SELECT cluster::BIGINT AS cluster, border FROM bord")
 def _(t):
-    return density.border_density(points(t), labelled(t), RADIUS)
+    return density.border_density(points(t), labelled(t), RADIUS, BLOCK_ROWS)
 
 
 @query("border_density_of_triplets", "D24", f"WITH {POINTS}{TWO}{LABELLED}{BORDER} SELECT cluster::BIGINT AS cluster, border FROM bord")
@@ -146,7 +147,7 @@ SELECT cluster::BIGINT AS cluster, arg_max(id, {{'r': rho, 'd': id % 5, 'i': -id
   count(*) FILTER (rho < coalesce(border, 0)) AS halo FROM lab LEFT JOIN bord USING (cluster) GROUP BY cluster""")
 def _(t):
     marked = labelled(t)
-    borders = density.border_density(points(t), marked, RADIUS)
+    borders = density.border_density(points(t), marked, RADIUS, BLOCK_ROWS)
     halo = density.mark_halo(marked.withColumn("delta", (F.col("id") % 5).cast("double")), borders)
     return density.cluster_summary(halo)
 
@@ -168,10 +169,10 @@ FROM lab LEFT JOIN bord USING (cluster)""")
 def _(t):
     p = points(t)
     unique = cut_lineage(distinct_points(p))
-    dc = distance.cutoff_distance(unique)
-    scores = density.density_peaks(p, dc=dc)
+    dc = distance.cutoff_distance(unique, block_rows=BLOCK_ROWS)
+    scores = density.density_peaks(p, dc=dc, block_rows=BLOCK_ROWS)
     clusters = cut_lineage(density.assign_clusters(scores, 0.0, DELTA_MIN))
-    return density.mark_halo(clusters, density.border_density(p, clusters, dc)).select("id", "cluster", "halo", "rho", "delta")
+    return density.mark_halo(clusters, density.border_density(p, clusters, dc, BLOCK_ROWS)).select("id", "cluster", "halo", "rho", "delta")
 
 
 @query("dbscan_vectors", "J11", """
@@ -186,7 +187,7 @@ WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddin
 SELECT p.id, coalesce(num.label, bor.label, -1)::BIGINT AS label, p.id IN (SELECT id FROM core) AS core
 FROM p LEFT JOIN num ON num.id = p.id LEFT JOIN bor ON bor.id = p.id""")
 def _(t):
-    return dbscan(points(t), eps=1.15, min_samples=4)
+    return dbscan(points(t), eps=1.15, min_samples=4, block_rows=BLOCK_ROWS)
 
 
 BEHAVIOUR = ("Sum_flow", "Feq_sec_flow", "Feq_404_error", "H_status", "Cls_url", "Mean_packets")

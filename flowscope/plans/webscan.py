@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.functions.net import differs
+from flowscope.functions.net import differs, time_bucket
 from flowscope.functions.text import has_traversal
 from flowscope.operators.aggregate import (
     _methods,
     burst_statistics,
     entropy_of,
+    in_facet,
+    known_in,
     numeric_size,
     plain_error_rate,
     status_statistics,
     traversal_statistics,
 )
 from flowscope.operators.lookup import mark_owned
-from flowscope.operators.scale import salted_join
+from flowscope.operators.scale import cut_lineage, salted_join
 from flowscope.operators.sequence import chunks, similar_neighbours
 
 # The columns of the web-scan feature table.
@@ -32,25 +34,58 @@ WEBSCAN_COLUMNS = (
 MODEL_COLUMNS = ("Sum_sec_flow", "Feq_sec_flow", "Feq_xss", "Feq_dir", "Feq_404_error", "H_status")
 
 
-def url_profile(flows: DataFrame, keys: Sequence[str], methods: Sequence[str] | None = None) -> DataFrame:
-    """Distinct URLs, traversal and size statistics per key; patterns are matched once per distinct URL."""
-    used = _methods(methods)
-    size = numeric_size()
-    urls = flows.groupBy(*keys, "params").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(used).alias("_used"),
-        F.sum(size).alias("_bytes"),
-        F.count(size).alias("_sized"),
+def facet_counts(flows: DataFrame, burst_seconds: int, methods: Sequence[str] | None = None) -> DataFrame:
+    """One scan of the log: rows ``(src_ip, dest_ip, facet, value, n, used, bytes, sized)`` for status, time and URL.
+
+    Flows are combined before the shuffle, so a hot pair arrives as its distinct values. ``used`` counts the flows of
+    the wanted methods, ``bytes`` and ``sized`` sum up the numeric sizes; they are told for URLs only.
+    """
+    facets = F.array(*[
+        F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"))
+        for name, value in (("status", F.col("status")), ("time", time_bucket("timestamp", burst_seconds)), ("url", F.col("params")))
+    ])
+    rows = flows.select("src_ip", "dest_ip", _methods(methods).alias("_used"), numeric_size().alias("_size"), F.explode(facets).alias("_f"))
+    url = F.col("_f.facet") == "url"
+    return rows.groupBy("src_ip", "dest_ip", "_f.facet", "_f.value").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(url & F.col("_used")).alias("used"),
+        F.sum(F.when(url, F.col("_size"))).alias("bytes"), F.count(F.when(url, F.col("_size"))).alias("sized"))
+
+
+def pair_profile(counts: DataFrame) -> DataFrame:
+    """Flows, bursts and statuses of each pair."""
+    status = in_facet("status")
+    known = status & differs("value", "-")
+    total = F.sum(F.when(status, F.col("n")))
+    resolved = F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0))
+    errors = F.coalesce(F.sum(F.when(status & (F.col("value") == "404"), F.col("n"))), F.lit(0))
+    shared = F.sum(F.when(known_in("time") & (F.col("n") > 1), F.col("n")).otherwise(F.lit(0)))
+
+    def defined(value):
+        return F.when(resolved > 0, value).otherwise(F.lit(-1.0))
+
+    return counts.groupBy("src_ip", "dest_ip").agg(
+        total.alias("Sum_flow"),
+        F.when(total == 1, F.lit(1)).otherwise(shared).cast("bigint").alias("Sum_sec_flow"),
+        F.when(total == 1, F.lit(1.0)).otherwise(shared / total).alias("Feq_sec_flow"),
+        defined(errors * total / resolved).alias("Sum_404_error"),
+        defined(errors / resolved).alias("Feq_404_error"),
+        defined(entropy_of("n", known)).alias("H_status"),
     )
-    hits = F.sum(F.when(has_traversal("params"), F.col("_used")).otherwise(F.lit(0)))
-    total = F.sum("_used")
+
+
+def url_profile(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct URLs, traversal and size statistics per key; patterns are matched once per distinct URL."""
+    sums = [F.sum(c).alias(c) for c in ("n", "used", "bytes", "sized")]
+    urls = counts.filter(in_facet("url")).groupBy(*keys, "value").agg(*sums)
+    hits = F.sum(F.when(has_traversal("value"), F.col("used")).otherwise(F.lit(0)))
+    total = F.sum("used")
     return urls.groupBy(*keys).agg(
-        F.sum("_n").alias("_flows"),
-        F.count("params").alias("Cls_url"),
+        F.sum("n").alias("_flows"),
+        F.count("value").alias("Cls_url"),
         hits.alias("Sum_dir"),
         F.when(total > 0, hits / total).otherwise(F.lit(0.0)).alias("Feq_dir"),
-        F.coalesce(F.sum("_bytes"), F.lit(0)).alias("Sum_packets"),
-        F.when(F.sum("_sized") > 0, F.sum("_bytes") / F.sum("_sized")).otherwise(F.lit(-1.0)).alias("Mean_packets"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("Sum_packets"),
+        F.when(F.sum("sized") > 0, F.sum("bytes") / F.sum("sized")).otherwise(F.lit(-1.0)).alias("Mean_packets"),
     )
 
 
@@ -71,26 +106,12 @@ def webscan_features(
     :func:`webscan_features_with_urls`.
     """
     pair = ["src_ip", "dest_ip"]
-    status = flows.groupBy(*pair, "status").agg(F.count(F.lit(1)).alias("n"))
-    known = differs("status", "-")
-    resolved = F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0))
-    errors = F.coalesce(F.sum(F.when(F.col("status") == "404", F.col("n"))), F.lit(0))
-
-    def defined(value):
-        return F.when(resolved > 0, value).otherwise(F.lit(-1.0))
-
-    base = status.groupBy(*pair).agg(
-        F.sum("n").alias("Sum_flow"),
-        defined(errors * F.sum("n") / resolved).alias("Sum_404_error"),
-        defined(errors / resolved).alias("Feq_404_error"),
-        defined(entropy_of("n", known)).alias("H_status"),
-    )
-    bursts = burst_statistics(flows, pair, burst_seconds)
-    source = url_profile(flows, ["src_ip"], methods).filter(F.col("_flows") >= min_source_flows)
-    table = base.join(bursts, pair)
+    counts = cut_lineage(facet_counts(flows, burst_seconds, methods), "facets")
+    source = url_profile(counts, ["src_ip"]).filter(F.col("_flows") >= min_source_flows)
+    table = pair_profile(counts)
     if scope == "pair":
         kept = source.select("src_ip")
-        table = table.join(url_profile(flows, pair, methods).drop("_flows"), pair)
+        table = table.join(url_profile(counts, pair).drop("_flows"), pair)
         table = salted_join(table, kept, "src_ip", "dest_ip", "left_semi")
     elif scope == "source":
         table = salted_join(table, source.drop("_flows"), "src_ip", "dest_ip", "inner")
