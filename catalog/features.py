@@ -277,7 +277,7 @@ def _(t):
 
 @query("domain_features_with_sources", "D17 D12", with_parts("FLOWS DOMAIN OWNER", f"""
 SELECT h."Flows", h.host AS "Hostname", h."Urls", h."Similar_host", h.dest_ip, h.dest_ip IN (SELECT ip FROM owner) AS is_cloud,
-  0::BIGINT AS part, l.src_ip
+  1::BIGINT AS source_parts, l.src_ip
 FROM ({HOST_SQL}) h JOIN (SELECT dest_ip, host, list(src_ip ORDER BY seq) AS src_ip FROM domain GROUP BY ALL) l
   ON l.dest_ip = h.dest_ip AND l.host = h.host"""))
 def _(t):

@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowscope.functions.net import UNRESOLVED, differs
-from flowscope.operators.scale import position_in_group, salted_join
+from flowscope.operators.scale import cut_lineage, null_safe_join, position_in_group, salted_join
 
 
-def cumulative_frequency(df: DataFrame, keys: Sequence[str], column: str, prefix: int = 4) -> DataFrame:
+def cumulative_frequency(
+    df: DataFrame, keys: Sequence[str], column: str, prefix: int = 4, block_values: int = 1_000_000
+) -> DataFrame:
     """Counts ``n`` and running counts ``cum`` of the resolved values of each group, in value order.
 
     The running sum is taken per value prefix and shifted by the sizes of the smaller prefixes, so a group with many
-    values is not summed in one task.
+    values is not summed in one task. The prefix is made longer until no more than ``block_values`` distinct values of a
+    group share one, so that values with a common beginning, such as URLs, are spread as well.
     """
     keys = list(keys)
-    counts = (
-        df.filter(differs(column, UNRESOLVED) & F.col(column).isNotNull())
-        .groupBy(*keys, column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_prefix", F.substring(column, 1, prefix))
+    counts = cut_lineage(
+        df.filter(differs(column, UNRESOLVED) & F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n")),
+        "value-counts",
     )
+    longest = counts.agg(F.max(F.length(column))).first()[0] or 0
+    while prefix < longest:
+        shared = counts.groupBy(*keys, F.substring(column, 1, prefix).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+        if shared.filter(F.col("_n") > block_values).isEmpty():
+            break
+        prefix *= 2
+    counts = counts.withColumn("_prefix", F.substring(column, 1, prefix))
     upto = Window.partitionBy(*keys, "_prefix").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -33,8 +41,7 @@ def cumulative_frequency(df: DataFrame, keys: Sequence[str], column: str, prefix
         .drop("_size")
     )
     return (
-        counts.withColumn("_cum", F.sum("n").over(upto))
-        .join(offsets, [*keys, "_prefix"])
+        null_safe_join(counts.withColumn("_cum", F.sum("n").over(upto)), offsets, [*keys, "_prefix"])
         .select(*keys, column, "n", (F.col("_cum") + F.col("_offset")).alias("cum"))
     )
 

@@ -11,13 +11,16 @@ from flowscope.functions.net import epoch_micros
 from flowscope.operators.aggregate import entropy_of
 from flowscope.operators.scale import cut_lineage, lag_in_blocks, position_in_group
 
+BROADCAST_SPLITS = 100_000
+
 
 def number_lines(lines: DataFrame, *columns, out: str = "seq") -> DataFrame:
     """The given columns of a file scan with 0-based line numbers, ordered by file name and offset.
 
     How a scan is cut into splits may change from job to job, for example when an executor is lost. The parsed rows
     are therefore stored once, as columns, together with their place in the split; what follows reads that copy.
-    The numbers then need one count per split, and no row moves to the driver or to a single task.
+    The numbers then need one count per split, and no row moves to the driver or to a single task. The table of splits,
+    one row for each 128 MB or so, is ordered in one task; it is broadcast only if it is small.
     """
     marked = lines.select(
         *(columns or ("*",)),
@@ -33,8 +36,11 @@ def number_lines(lines: DataFrame, *columns, out: str = "seq") -> DataFrame:
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    offsets = cut_lineage(offsets, "split-offsets")
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return (
-        stored.join(cut_lineage(offsets, "split-offsets"), ["_file", "_start"])
+        stored.join(offsets, ["_file", "_start"])
         .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first"))
         .drop("_file", "_start", "_id", "_first", "_offset")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowscope.operators.aggregate import host_similarity, source_lists
 from flowscope.operators.lookup import mark_owned
+from flowscope.operators.scale import null_safe_join
 
 
 def domain_features(flows: DataFrame, owner: DataFrame | None = None) -> DataFrame:
@@ -20,6 +21,13 @@ def domain_features(flows: DataFrame, owner: DataFrame | None = None) -> DataFra
 
 
 def domain_features_with_sources(flows: DataFrame, owner: DataFrame | None = None, list_rows: int = 100_000):
-    """The domain table with its ``src_ip`` list. A list of more than ``list_rows`` continues in further parts."""
+    """The domain table with its ``src_ip`` list and ``source_parts``, the number of parts of the list.
+
+    There is one part unless the list has more than ``list_rows`` sources. The table keeps one row per (destination,
+    host) with the first part; the others are in :func:`flowscope.operators.aggregate.source_lists`.
+    """
+    key = ["dest_ip", "Hostname"]
     lists = source_lists(flows, list_rows).withColumnRenamed("host", "Hostname")
-    return domain_features(flows, owner).join(lists, ["dest_ip", "Hostname"])
+    parts = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("source_parts"))
+    table = null_safe_join(domain_features(flows, owner), lists.filter("part = 0").drop("part"), key)
+    return null_safe_join(table, parts, key)

@@ -199,3 +199,17 @@ def test_batches_keep_names(spark):
     got = sorted(lookup.key_batches(keys, size=2).collect())
     assert [len(r.ips) for r in got] == [2, 2] and got[0].ips == ["10.0.0.2", "10.0.0.9"]
     assert set(got[1].ips) == {"::1", "host.example"}
+
+
+def test_domain_table_keeps_null_hosts_and_long_lists(flows):
+    rows = [flow(i, src=f"192.0.2.{i}") for i in range(5)] + [flow(9, host=None, dest="198.51.100.7")]
+    whole = domain_features_with_sources(flows(rows), list_rows=2).collect()
+    assert {(r.Hostname, r.Flows, r.source_parts, len(r.src_ip)) for r in whole} == {("www.example.com", 5, 3, 2), (None, 1, 1, 1)}
+
+
+def test_cumulative_frequency_with_a_common_beginning(flows):
+    from flowscope.operators.impute import cumulative_frequency
+
+    rows = [flow(i, params=f"http://host.example/{i % 9}") for i in range(30)]
+    got = {r.params: r.cum for r in cumulative_frequency(flows(rows), ["src_ip"], "params", prefix=2, block_values=3).collect()}
+    assert [got[f"http://host.example/{k}"] for k in range(9)] == [4, 8, 12, 15, 18, 21, 24, 27, 30]
