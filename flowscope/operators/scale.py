@@ -203,9 +203,3 @@ def rank_by(
     placed = position_in_group(keyed, ["_v"], tie, "_position")
     joined = salted_join(placed, offsets, "_v", tie, "inner", null_safe=True)
     return joined.withColumn(out, F.col("_before") + F.col("_position")).drop("_v", "_before", "_position")
-
-
-def within(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of a table if there are at most ``max_rows`` of them, else None; the check comes before the collect."""
-    head = df.limit(max_rows + 1).count()
-    return df.collect() if head <= max_rows else None

@@ -115,11 +115,6 @@ def test_shared_dir_prefers_the_setting(spark):
     assert S.shared_dir(spark)
 
 
-def test_within_checks_before_it_collects(spark):
-    assert len(S.within(spark.range(5), 5)) == 5
-    assert S.within(spark.range(6), 5) is None
-
-
 def test_no_executor_local_lineage_is_used():
     root = Path(S.__file__).parents[1]
     text = "".join(p.read_text() for p in root.rglob("*.py"))
