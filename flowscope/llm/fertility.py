@@ -34,7 +34,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_TOKENS = 64
 FULL_TOKENS = 1024
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 1_000_000
+ENCODE_WORDS = 20_000
+PIECE_BYTES = 1 << 20
 
 #: Lowest and highest characters per token of the first vocabulary, lowest and highest of the second, highest share of
 #: byte-fallback tokens, lowest relative entropy.
@@ -89,33 +91,39 @@ def encoder(name: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarr
 
 
 class WordTokens:
-    """Token ids of words, kept by word hash for the life of the worker; emptied when it holds ``CACHE_WORDS`` words."""
+    """Numbers and, on request, ids of the tokens of words, kept by word hash for the life of the worker.
 
-    def __init__(self, name: str):
-        self.name, self.hashes = name, np.empty(0, np.uint64)
-        self.where, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    Emptied when it holds ``CACHE_WORDS`` words.
+    """
+
+    def __init__(self, name: str, with_ids: bool):
+        self.name, self.with_ids, self.hashes = name, with_ids, np.empty(0, np.uint64)
+        self.where, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
 
     @classmethod
-    def of(cls, name: str) -> WordTokens:
-        return worker_store().setdefault(("words", name), cls(name))
+    def of(cls, name: str, with_ids: bool = True) -> WordTokens:
+        return worker_store().setdefault(("words", name, with_ids), cls(name, with_ids))
 
     def look_up(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the tokens of each of the sorted distinct hashes; ``word(i)`` spells the i-th."""
         if len(self.hashes) > CACHE_WORDS:
-            self.__init__(self.name)
+            self.__init__(self.name, self.with_ids)
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         missing = np.flatnonzero(~known)
         if len(missing):
-            encoded = encoder(self.name)[0]([word(int(i)) for i in missing])
-            size = np.array([len(e) for e in encoded], np.int64)
-            where = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((t for e in encoded for t in e), np.int32, int(size.sum()))])
-            merged = np.concatenate([self.hashes, hashes[missing]])
-            order = np.argsort(merged, kind="stable")
-            self.hashes = merged[order]
-            self.where = np.concatenate([self.where, where])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            sizes, ids = [], [self.ids]
+            for low in range(0, len(missing), ENCODE_WORDS):
+                encoded = encoder(self.name)[0]([word(int(i)) for i in missing[low : low + ENCODE_WORDS]])
+                sizes.append(np.array([len(e) for e in encoded], np.int32))
+                if self.with_ids:
+                    ids.append(np.fromiter((t for e in encoded for t in e), np.int32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
+            where = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+            self.ids = np.concatenate(ids)
+            at = np.searchsorted(self.hashes, hashes[missing])
+            self.hashes = np.insert(self.hashes, at, hashes[missing])
+            self.where, self.size = np.insert(self.where, at, where), np.insert(self.size, at, size)
             at = np.searchsorted(self.hashes, hashes)
         return self.where[at], self.size[at]
 
@@ -194,7 +202,7 @@ def _measure(column: pa.Array, vocabularies: tuple[str, str]) -> pa.StructArray:
     position = np.arange(total) - np.repeat(np.cumsum(size_of_word) - size_of_word, size_of_word)
     ids = first.ids[np.repeat(where[inverse], size_of_word) + position].astype(np.int64)
     owner_of_token = np.repeat(owner, size_of_word)
-    out["tokens_b"] = np.bincount(owner, WordTokens.of(vocabularies[1]).look_up(distinct, spell)[1][inverse], n_texts).astype(np.int64)
+    out["tokens_b"] = np.bincount(owner, WordTokens.of(vocabularies[1], False).look_up(distinct, spell)[1][inverse], n_texts).astype(np.int64)
     out["byte_tokens"] = np.bincount(owner_of_token, is_byte[ids], n_texts).astype(np.int64)
     key = np.sort((owner_of_token << 32) | ids)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if total else np.empty(0, np.int64)
@@ -220,7 +228,7 @@ def measure(docs: DataFrame, text_col: str = "text", vocabularies: tuple[str, st
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", PIECE_BYTES):
                 columns = [piece.column(i) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*columns, _measure(piece.column("__text"), vocabularies)], [*carried, out])
 
