@@ -8,8 +8,8 @@ joined to the message with the same hash of its own text. Of several, the earlie
 wins, if it stands before the quoting one; else the earliest message of all others. The parent of a message is the source
 of its shallowest passage that has one; among equals, of its last.
 
-Sources are reduced to the earliest message per hash before they are joined, so a text that was sent any number of times
-is one row on that side; the quoting side may hold a frequent passage, which adaptive execution splits. Threads follow
+Sources are reduced to the earliest message per hash and conversation before they are joined, so a text that was sent any
+number of times is one row there; only passages without a source in their own conversation are joined by hash alone. Threads follow
 the parents inside a conversation by pointer doubling, in logarithmically many rounds, each written to the shared folder.
 
 Defined cases: a null or empty text has no lines, no own text and no passages, and is no source; a message that only
@@ -92,31 +92,38 @@ def links(held: DataFrame) -> DataFrame:
     """``(conv, turn, level, place, parent_conv, parent_turn)`` of each passage with a source."""
     named = held.filter("conv is not null and turn is not null")
     sources = named.filter("own_hash is not null").select(F.col("own_hash").alias("hash"), "conv", "turn")
-    near = sources.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn"))
-    far = near.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("first"))
-    second = near.join(far.select("hash", F.col("first.conv").alias("c")), "hash").filter("conv <> c").groupBy("hash").agg(
-        F.min(F.struct("conv", "near_turn")).alias("second"))
+    near = cut_lineage(sources.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn")), "sources")
     asked = named.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*")
-    found = asked.join(near, ["hash", "conv"], "left").join(far.join(second, "hash", "left"), "hash", "left")
-    inside = F.col("near_turn") < F.col("turn")
+    asked = cut_lineage(asked.join(near, ["hash", "conv"], "left"), "passages")
+    inside = F.coalesce(F.col("near_turn") < F.col("turn"), F.lit(False))
+    found = asked.filter(inside).select("conv", "turn", "level", "place", F.col("conv").alias("parent_conv"), F.col("near_turn").alias("parent_turn"))
+    rest = asked.filter(~inside).select("conv", "turn", "level", "place", "hash")
+    others = cut_lineage(near.join(rest.select("hash").distinct(), "hash", "left_semi"), "elsewhere")
+    first = others.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("first"))
+    second = others.join(first, "hash").filter("conv <> first.conv").groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("second"))
+    met = rest.join(first.join(second, "hash", "left"), "hash")
     other = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
-    return found.select(
-        "conv", "turn", "level", "place",
-        F.when(inside, F.col("conv")).otherwise(other["conv"]).alias("parent_conv"),
-        F.when(inside, F.col("near_turn")).otherwise(other["near_turn"]).alias("parent_turn")).filter("parent_conv is not null")
+    elsewhere = met.select("conv", "turn", "level", "place", other["conv"].alias("parent_conv"), other["near_turn"].alias("parent_turn"))
+    return found.unionByName(elsewhere.filter("parent_conv is not null"))
 
 
 def roots(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(conv, turn, root, depth)`` of messages ``(conv, turn, up)`` with a parent ``up`` in their conversation."""
-    state = cut_lineage(parents.select("conv", "turn", "up", F.lit(1).alias("depth")), "threads")
+    """``(conv, turn, root, depth)`` of messages ``(conv, turn, up)`` with a parent ``up`` in their conversation.
+
+    Each round doubles the reach of the messages which have not come to their root; the others are left alone.
+    """
+    moving = cut_lineage(parents.select("conv", "turn", "up", F.lit(1).alias("depth"), F.lit(False).alias("done")), "threads")
+    settled = None
     for _ in range(max_rounds):
-        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(above, ["conv", "up"], "left").select(
-            "conv", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moving"))
-        moved = cut_lineage(moved, "threads")
-        state = moved.drop("moving")
-        if moved.filter("moving").isEmpty():
-            return state.withColumnRenamed("up", "root")
+        state = moving if settled is None else settled.unionByName(moving)
+        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("at_root"))
+        moved = cut_lineage(moving.join(above, ["conv", "up"], "left").select(
+            "conv", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.coalesce("at_root", F.lit(True)).alias("done")), "threads")
+        settled = moved.filter("done") if settled is None else settled.unionByName(moved.filter("done"))
+        moving = moved.filter("not done")
+        if moving.isEmpty():
+            return settled.select("conv", "turn", F.col("up").alias("root"), "depth")
     raise RuntimeError("replies did not end")
 
 
