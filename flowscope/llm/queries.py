@@ -42,7 +42,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document; texts of more than a million characters are spliced from chunks."""
+    """Tokens of every document; texts of more than 65,536 characters are spliced from chunks."""
     counted = tokens.token_counts(table(spark, sf_dir, "documents"))
     return counted.withColumnRenamed("id", "doc_id")
 
@@ -229,7 +229,26 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-@query()
+OP10_SQL = """WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), low AS (
+  SELECT p, min(doc_id) AS first_doc FROM win GROUP BY p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN low USING (p) WHERE first_doc < doc_id
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d
+), kept AS (
+  SELECT placed.doc_id, string_agg(word, ' ' ORDER BY placed.k) AS t, count(*) AS n
+  FROM placed LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.k = placed.k WHERE gone.k IS NULL GROUP BY placed.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
+@query(OP10_SQL)
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without 13-word windows of earlier documents."""
     left = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_texts=False)

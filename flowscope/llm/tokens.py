@@ -34,10 +34,12 @@ from flowscope.llm.fertility import vocabulary_path
 from flowscope.llm.words import hash_spans, mixed, pieces, symbol_table, worker_store
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 LIMIT = 1024
-CACHE_PRETOKENS = 4_000_000
+CACHE_PRETOKENS = 1_000_000
+ENCODE_PRETOKENS = 20_000
+PIECE_BYTES = 1 << 20
 LETTER, NUMBER, SPACE, OTHER, BORDER = 1, 2, 3, 4, 5
 
 #: The white space of the pattern, and blocks whose letters and numbers have not changed since they were
@@ -122,11 +124,13 @@ class Counter:
             known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct
         missing = np.flatnonzero(~known)
         if len(missing):
-            encoded = self.model.encode_batch_fast([spell(int(i)) for i in example[missing]], add_special_tokens=False)
-            merged = np.concatenate([self.hashes, distinct[missing]])
-            order = np.argsort(merged, kind="stable")
-            self.hashes = merged[order]
-            self.counts = np.concatenate([self.counts, np.array([len(e) for e in encoded], np.int32)])[order]
+            counts = []
+            for low in range(0, len(missing), ENCODE_PRETOKENS):
+                asked = [spell(int(i)) for i in example[missing[low : low + ENCODE_PRETOKENS]]]
+                counts.append(np.array([len(e) for e in self.model.encode_batch_fast(asked, add_special_tokens=False)], np.int32))
+            at = np.searchsorted(self.hashes, distinct[missing])
+            self.hashes = np.insert(self.hashes, at, distinct[missing])
+            self.counts = np.insert(self.counts, at, np.concatenate(counts))
             at = np.searchsorted(self.hashes, distinct)
         return self.counts[at][inverse]
 
@@ -236,7 +240,7 @@ def token_counts(
     def run(batches):
         counter = Counter.of(vocabulary)
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 short = [t if len(t) <= chunk_chars else "" for t in texts]
                 n = np.array([c.sum() for _, c in counter.encode(short)], np.int64)
