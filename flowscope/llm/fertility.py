@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.llm.words import Texts, hash_spans, mixed, pieces, rolling, spans, symbol_table, whole_windows, worker_store
+from flowscope.llm.words import Texts, hash_spans, mixed, pieces, release_memory, rolling, spans, symbol_table, whole_windows, worker_store
 
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_50k.json")
 SYMBOLS = b"#*$%&|<>"
@@ -34,7 +34,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_TOKENS = 64
 FULL_TOKENS = 1024
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 ENCODE_WORDS = 20_000
 PIECE_BYTES = 1 << 20
 
@@ -231,6 +231,7 @@ def measure(docs: DataFrame, text_col: str = "text", vocabularies: tuple[str, st
             for piece in pieces(batch, "__text", PIECE_BYTES):
                 columns = [piece.column(i) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*columns, _measure(piece.column("__text"), vocabularies)], [*carried, out])
+            release_memory()
 
     return source.mapInArrow(run, schema)
 

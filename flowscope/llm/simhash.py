@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm.scale import ID_ROWS, checked_broadcast
-from flowscope.llm.words import Texts, pieces
+from flowscope.llm.words import Texts, pieces, release_memory
 from flowscope.operators.components import connected_components
 from flowscope.operators.scale import cut_lineage
 
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for piece in pieces(batch, "text"):
                 fp = _fingerprints(Texts(piece.column("text"), lower=True), shingle, seed)
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            release_memory()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
 

@@ -6,6 +6,7 @@ for a whole partition. A null text has no words, like an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -26,6 +27,15 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store")).__dict__
 
 
+def release_memory() -> None:
+    """Give memory that is no longer used back to the system, since an idle worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def space_separated() -> np.ndarray:
     """Bytes of words ``[^\\x20\\x09-\\x0D]+``."""
     table = np.ones(256, bool)
