@@ -281,7 +281,8 @@ SELECT h."Flows", h.host AS "Hostname", h."Urls", h."Similar_host", h.dest_ip, h
 FROM ({HOST_SQL}) h JOIN (SELECT dest_ip, host, list(src_ip ORDER BY seq) AS src_ip FROM domain GROUP BY ALL) l
   ON l.dest_ip = h.dest_ip AND l.host = h.host"""))
 def _(t):
-    return domain_plan.domain_features_with_sources(t.domain, t.owner)
+    """Every part of the source lists; the features stand on the first part of a list."""
+    return domain_plan.domain_features_in_parts(t.domain, t.owner).drop("part")
 
 
 def _train_sql(line):

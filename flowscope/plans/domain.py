@@ -20,14 +20,24 @@ def domain_features(flows: DataFrame, owner: DataFrame | None = None) -> DataFra
     return table.select("Flows", "Hostname", "Urls", "Similar_host", "dest_ip", "is_cloud")
 
 
-def domain_features_with_sources(flows: DataFrame, owner: DataFrame | None = None, list_rows: int = 100_000):
-    """The domain table with its ``src_ip`` list and ``source_parts``, the number of parts of the list.
+def domain_features_in_parts(flows: DataFrame, owner: DataFrame | None = None, list_rows: int = 100_000) -> DataFrame:
+    """The domain table with every source: one row per (destination, host) and ``part`` of its ``src_ip`` list.
 
-    There is one part unless the list has more than ``list_rows`` sources. The table keeps one row per (destination,
-    host) with the first part; the others are in :func:`flowscope.operators.aggregate.source_lists`.
+    ``source_parts`` is the number of parts, of which there is one unless the list has more than ``list_rows`` sources.
+    Flows, Urls and Similar_host stand on part 0 only and are null on further parts, so that sums over the table hold;
+    the keys and ``is_cloud`` stand on each.
     """
     key = ["dest_ip", "Hostname"]
     lists = source_lists(flows, list_rows).withColumnRenamed("host", "Hostname")
     parts = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("source_parts"))
-    table = null_safe_join(domain_features(flows, owner), lists.filter("part = 0").drop("part"), key)
-    return null_safe_join(table, parts, key)
+    features = null_safe_join(domain_features(flows, owner), parts, key)
+    table = null_safe_join(lists, features, key)
+    return table.withColumns({c: F.when(F.col("part") == 0, F.col(c)) for c in ("Flows", "Urls", "Similar_host")})
+
+
+def domain_features_with_sources(flows: DataFrame, owner: DataFrame | None = None, list_rows: int = 100_000) -> DataFrame:
+    """Part 0 of :func:`domain_features_in_parts`, one row per (destination, host).
+
+    It lacks the sources of a list beyond ``list_rows``; ``source_parts`` above one tells so.
+    """
+    return domain_features_in_parts(flows, owner, list_rows).filter("part = 0").drop("part")

@@ -207,6 +207,28 @@ def test_domain_table_keeps_null_hosts_and_long_lists(flows):
     assert {(r.Hostname, r.Flows, r.source_parts, len(r.src_ip)) for r in whole} == {("www.example.com", 5, 3, 2), (None, 1, 1, 1)}
 
 
+def test_domain_parts_hold_every_source(flows):
+    from flowscope.plans.domain import domain_features_in_parts
+
+    rows = [flow(i, src=f"192.0.2.{i}") for i in range(5)] + [flow(9, host=None, dest="198.51.100.7")]
+    whole = domain_features_in_parts(flows(rows), list_rows=2).collect()
+    hot = sorted((r for r in whole if r.Hostname), key=lambda r: r.part)
+    assert [s for r in hot for s in r.src_ip] == [f"192.0.2.{i}" for i in range(5)]
+    assert [(r.part, r.Flows, r.source_parts) for r in hot] == [(0, 5, 3), (1, None, 3), (2, None, 3)]
+    assert [(r.Flows, r.src_ip) for r in whole if r.Hostname is None] == [(1, ["192.0.2.1"])]
+
+
+def test_domain_query_returns_every_part(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from flowscope.operators import aggregate
+    from flowscope.plans import domain
+
+    query, sf = entry.queries()["domain_features_with_sources"], "/root/testdata/sf0.001"
+    want = query(spark, sf).agg(F.sum("Flows"), F.sum(F.size("src_ip"))).first()
+    monkeypatch.setattr(domain, "source_lists", lambda flows, n: aggregate.source_lists(flows, 1))
+    assert query(spark, sf).agg(F.sum("Flows"), F.sum(F.size("src_ip"))).first() == want
+
+
 def test_cumulative_frequency_with_a_common_beginning(flows):
     from flowscope.operators.impute import cumulative_frequency
 
