@@ -248,10 +248,11 @@ def _(t):
 
 @query("webscan_features_with_urls", "D16 D10", _webscan_sql("source", 1, lists=True))
 def _(t):
-    """The sixteen columns with the malicious URLs of each pair."""
+    """The sixteen columns with every part of the malicious URLs of each pair; the features stand on the first part."""
     flows = clean_webscan(t.flows, drop_single=False)
     malicious, lists = malicious_by_rule(flows, attack_rule(), PAIR)
-    return webscan_plan.webscan_features_with_urls(webscan_plan.webscan_features(flows, t.owner, malicious), lists)
+    table = webscan_plan.webscan_features(flows, t.owner, malicious)
+    return webscan_plan.webscan_features_in_parts(table, lists).drop("part")
 
 
 @query("defined_features", "B8", "SELECT src_ip, dest_ip, \"Sum_flow\" FROM (" + _webscan_sql("source", 1)

@@ -224,7 +224,7 @@ def forest_and_model(t):
 @query("webscan_forest_detection", "J7 J8 D10 D18 F1")
 def _(t):
     forest, model = forest_and_model(t)
-    return detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600)
+    return detection.scored_in_parts(*detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600))
 
 
 @query("saved_forest", "A16 J7", with_parts("FLOWS WEBSCAN", "SELECT DISTINCT src_ip, dest_ip, true AS same FROM webscan"))

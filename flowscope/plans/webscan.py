@@ -103,7 +103,7 @@ def webscan_features(
     ``flows`` need not be freed of single-flow sources: ``min_source_flows`` drops them after aggregation, which
     spares a join over all flows. URL and size columns describe the whole source (``scope='source'``) or the pair.
     ``malicious`` holds Sum_xss and Feq_xss per pair; they are null without it. Malics_urls stays null here, see
-    :func:`webscan_features_with_urls`.
+    :func:`webscan_features_in_parts`.
     """
     pair = ["src_ip", "dest_ip"]
     counts = cut_lineage(facet_counts(flows, burst_seconds, methods), "facets")
@@ -135,18 +135,30 @@ def webscan_features(
     return table.select(*WEBSCAN_COLUMNS, "is_cloud")
 
 
-def webscan_features_with_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
-    """The table with the malicious URLs of each pair and how often each was requested.
+def webscan_features_in_parts(table: DataFrame, urls: DataFrame, each: Sequence[str] = ("is_cloud",)) -> DataFrame:
+    """The table with every malicious URL of each pair and how often each was requested.
 
-    ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`. The row of a pair has the first part of its
-    list and ``url_parts``, the number of parts, of which there is one unless the list is very long; the further ones
-    stay in ``urls``, so that the table keeps one row per pair.
+    ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`. There is one row per pair and ``part`` of
+    its list, and one of part 0 for a pair without a list; ``url_parts`` is the number of parts, of which there is one
+    unless the list is very long. The pair and the columns ``each`` stand on every part, the other features on part 0 only and
+    are null on further parts, so that sums over the table hold.
     """
     pair = ["src_ip", "dest_ip"]
     parts = urls.groupBy(*pair).agg(F.count(F.lit(1)).alias("url_parts"))
-    first = urls.filter("part = 0").drop("part")
-    joined = table.drop("Malics_urls").join(first, pair, "left").join(parts, pair, "left")
-    return joined.withColumn("url_parts", F.coalesce("url_parts", F.lit(0)))
+    features = table.drop("Malics_urls")
+    joined = features.join(urls, pair, "left").join(parts, pair, "left")
+    once = [c for c in features.columns if c not in (*pair, *each)]
+    return joined.withColumns({
+        "part": F.coalesce("part", F.lit(0).cast("bigint")), "url_parts": F.coalesce("url_parts", F.lit(0)),
+        **{c: F.when(F.coalesce("part", F.lit(0)) == 0, F.col(c)) for c in once}})
+
+
+def webscan_features_with_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """Part 0 of :func:`webscan_features_in_parts`, one row per pair.
+
+    It lacks the URLs of a list beyond its first part; ``url_parts`` above one tells so.
+    """
+    return webscan_features_in_parts(table, urls).filter("part = 0").drop("part")
 
 
 def training_features(flows: DataFrame, malicious: DataFrame | None = None, size: int = 20, seconds: int = 1,

@@ -169,6 +169,25 @@ def test_url_parts_keep_one_row_per_pair(spark, flows):
     assert len(parted) == 2 and parted["198.51.100.1"].url_parts == 3
 
 
+def test_url_parts_hold_every_url(spark, flows):
+    from flowscope.operators import learning as L
+    from flowscope.plans.detection import malicious_by_rule, scored_in_parts
+    from flowscope.plans.webscan import webscan_features_in_parts
+
+    pair, rule = ["src_ip", "dest_ip"], F.contains("params", F.lit("bad"))
+    df = flows([flow(i, params=f"/bad{i}") for i in range(7)] + [flow(9, dest="198.51.100.2", params="/fine")])
+    statistics, _ = malicious_by_rule(df, rule, pair)
+    lists = L.malicious_urls(L.score_urls_by(df, rule, pair), pair, list_rows=3)
+    table = webscan_features(df, malicious=statistics)
+    scored = table.withColumns({"web_scan": F.lit(1), "Malics_counts": F.lit(None), "url_parts": F.lit(0)})
+    for got in (webscan_features_in_parts(table, lists).orderBy("dest_ip", "part").collect(), scored_in_parts(scored, lists).collect()):
+        hot = [r for r in got if r.dest_ip == "198.51.100.1"]
+        assert [u for r in hot for u in r.Malics_urls] == [f"/bad{i}" for i in range(7)]
+        assert sum(sum(r.Malics_counts) for r in hot) == 7 and [r.Sum_xss for r in hot] == [7, None, None]
+        assert [(r.part, r.url_parts, r.Sum_xss) for r in got if r.dest_ip == "198.51.100.2"] == [(0, 0, 0)]
+    assert [r.web_scan for r in got] == [1, 1, 1, 1]
+
+
 def test_owned_split_is_a_partition(spark, flows):
     keys = flows([flow(i, src=f"192.0.2.{i}") for i in range(9)]).select("src_ip")
     owner = spark.createDataFrame([("192.0.2.1",), ("192.0.2.1",), ("192.0.2.4",), ("203.0.113.9",)], "ip string")
