@@ -1,14 +1,17 @@
 """Documents scored by the difference of two language models' loss per token.
 
 Method. Two interpolated bigram models share one vocabulary: the target model is counted on the target documents, the
-background model on as many bytes of the whole corpus, drawn by a hash of the row. With ``c`` a model's counts, ``N`` its
-tokens and ``V`` the types of both training parts,
+background model on all documents (``background="all"``), with its counts scaled by the ratio of the tokens, so that both
+models weigh a count alike. With ``c`` a model's counts, ``N`` its tokens, both after scaling, and ``V`` the types of the
+whole corpus,
 
     p(w) = (c(w) + 1) / (N + V + 1)        p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU)
 
 so that a word which neither model has seen has the same place in both. The score of a document is its loss under the
 target model minus its loss under the background model, per token; the lower, the more it is like the target. The first
-word of a document has no predecessor and takes ``p(w)``.
+word of a document has no predecessor and takes ``p(w)``. With ``background="drawn"`` the background is counted, without
+scaling, on about as many bytes as the target has, drawn by a hash of the row, and ``V`` on both training parts; the other
+documents are then not counted, and a drawn document finds its own words in the background.
 
 Counts go through the packed exchange of ``packed.py``: a chunk sends its distinct words and word pairs with their
 counts from both training parts; the ranges of the key space add up all chunks and return both totals for each key. No
@@ -16,8 +19,8 @@ table of counts is ever held in one place, no pair is cut off, and a frequent wo
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, held as 64-bit hashes, of which a range compares 40 bits.
 Defined cases: a document without words (a null text among them) has no loss and null scores; a null id is scored like
-any other; repeated rows are scored and counted one by one; without target documents the models differ only in their
-size; an empty table gives an empty table; other columns are ignored.
+any other; repeated rows are scored and counted one by one; without target documents the
+target model is flat and the background is not scaled; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +119,7 @@ def _told(range_table: pa.Table) -> pa.Table:
     return packed.table(TOLD, rows)
 
 
-def _scored(chunk_table: pa.Table, told: pa.Table, ranges: int, types: int, tokens: tuple[int, int], mu: float) -> pa.Table:
+def _scored(chunk_table: pa.Table, told: pa.Table, ranges: int, types: int, tokens: tuple[int, int], mu: float, scales: tuple[float, float]) -> pa.Table:
     if not chunk_table.num_rows:
         return SCORES.empty_table()
     texts = Texts(chunk_table.column("text"), lower=True)
@@ -129,30 +132,43 @@ def _scored(chunk_table: pa.Table, told: pa.Table, ranges: int, types: int, toke
     owner = texts.text_of_word()
     second = np.flatnonzero(valid) + 1
     columns = [chunk_table.column("id").combine_chunks(), pa.array(texts.n_words)]
-    for role, n in zip(("target", "background"), tokens):
+    for role, n, scale in zip(("target", "background"), tokens, scales):
         blobs = told.column(role).to_pylist()
         counts = np.concatenate([_uncounts(b) for b in blobs]) if blobs else np.empty(0, np.int64)
         assert len(counts) == len(distinct), "a chunk was answered with other keys than it asked for"
+        counts = counts * scale
         c = counts[of_word]
-        p = (c + 1.0) / (n + types + 1.0)
+        p = (c + 1.0) / (n * scale + types + 1.0)
         p[second] = (counts[of_pair] + mu * p[second]) / (c[second - 1] + mu)
         loss = np.bincount(owner, -np.log(p), n_texts) / np.maximum(texts.n_words, 1)
         columns.append(pa.array(loss, mask=texts.n_words == 0))
     return pa.Table.from_arrays(columns, schema=SCORES)
 
 
-def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
-    """``(id, n_words, loss_target, loss_background, difference)`` per row; ``target`` marks the target documents."""
-    sizes = docs.select(F.octet_length(text_col).alias("n"), F.coalesce(target, F.lit(False)).alias("t"))
-    sizes = sizes.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("t"), F.col("n"))).alias("target")).first()
-    rate = int(1e6 * (sizes["target"] or 0) / max(1, sizes["all"] or 0))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1_000_000)) < rate
-    roles = {"target": F.coalesce(target, F.lit(False)), "background": drawn}
+def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU,
+                             background: str = "drawn") -> DataFrame:
+    """``(id, n_words, loss_target, loss_background, difference)`` per row; ``target`` marks the target documents.
+
+    ``background`` is ``"all"`` for counts over all documents or ``"drawn"`` for a draw of the size of the target.
+    """
+    if background == "all":
+        counted = F.lit(True)
+    elif background == "drawn":
+        sizes = docs.select(F.octet_length(text_col).alias("n"), F.coalesce(target, F.lit(False)).alias("t"))
+        sizes = sizes.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("t"), F.col("n"))).alias("target")).first()
+        rate = int(1e6 * (sizes["target"] or 0) / max(1, sizes["all"] or 0))
+        counted = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1_000_000)) < rate
+    else:
+        raise ValueError(f"unknown background {background!r}")
+    roles = {"target": F.coalesce(target, F.lit(False)), "background": counted}
     chunks, ranges = packed.chunked(docs, id_col, text_col, roles)
     whole = chunks.groupBy("chunk")
     asked = whole.applyInArrow(lambda t: _asked(t, ranges), ASKED_DDL)
     told = cut_lineage(asked.groupBy("part").applyInArrow(_told, TOLD_DDL), "counts")
     types, n_target, n_background = (x or 0 for x in told.agg(F.sum("types"), F.sum("n_target"), F.sum("n_background")).first())
+    matched = background == "all" and n_target > 0
+    scales = (1.0, n_target / n_background if matched else 1.0)
     answers = told.select("chunk", "part", "target", "background").groupBy("chunk")
-    scored = whole.cogroup(answers).applyInArrow(lambda t, a: _scored(t, a, ranges, types, (n_target, n_background), mu), SCORES_DDL)
+    scored = whole.cogroup(answers).applyInArrow(
+        lambda t, a: _scored(t, a, ranges, types, (n_target, n_background), mu, scales), SCORES_DDL)
     return scored.withColumn("difference", F.col("loss_target") - F.col("loss_background"))

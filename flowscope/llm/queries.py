@@ -192,7 +192,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good")).distinct()
     marked = docs.select("doc_id", "text").join(checked_broadcast(good, good.count(), ID_ROWS), "doc_id", "left")
-    scored = entropy.cross_entropy_difference(marked, F.col("good"))
+    scored = entropy.cross_entropy_difference(marked, F.col("good"), background="all")
     return scored.select(
         F.col("id").alias("doc_id"), "n_words", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "difference")])
 

@@ -60,6 +60,56 @@ def test_target_like_texts_score_lower(spark):
     assert max(got[i] for i in got if i % 2) < min(got[i] for i in got if i % 2 == 0)
 
 
+def scaled_model(texts, types, scale):
+    c, pairs = collections.Counter(), collections.Counter()
+    for w in texts:
+        c.update(w)
+        pairs.update(zip(w, w[1:]))
+    n = sum(c.values()) * scale
+
+    def single(w):
+        return (c[w] * scale + 1) / (n + types + 1)
+
+    def loss(w):
+        p = [single(x) if i == 0 else (pairs[w[i - 1], x] * scale + E.MU * single(x)) / (c[w[i - 1]] * scale + E.MU) for i, x in enumerate(w)]
+        return -sum(map(math.log, p)) / len(w)
+
+    return loss
+
+
+def test_background_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(packed, "RANGE_BYTES", 4000)
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    known = [(r.doc_id, split(r.text), r.source == "big") for r in docs.collect()]
+    everything, target = [w for _, w, _ in known], [w for _, w, t in known if t]
+    types = len({x for w in everything for x in w})
+    scale = sum(map(len, target)) / sum(map(len, everything))
+    losses = scaled_model(target, types, 1.0), scaled_model(everything, types, scale)
+    want = sorted((i or -1, len(w), *(f(w) if w else -1.0 for f in losses)) for i, w, _ in known)
+    got = E.cross_entropy_difference(docs, F.col("source") == "big", background="all").collect()
+    found = sorted((r.id or -1, r.n_words, *(-1.0 if x is None else x for x in (r.loss_target, r.loss_background))) for r in got)
+    assert len(found) == len(want)
+    for a, b in zip(found, want):
+        assert a == pytest.approx(b)
+
+
+def test_query_scores_equal_texts_alike(spark, tmp_path):
+    from flowscope.llm import queries
+
+    docs = [(i, f"text number {i % 40} of the corpus speaks of thing{i % 40} and {i % 8}") for i in range(280)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    marked = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("good", F.col("doc_id") == 0)
+    want = {r.id: round(r.loss_background, 6) for r in E.cross_entropy_difference(marked, F.col("good"), background="all").collect()}
+    got = {r.doc_id: r.loss_background for r in queries.op7_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want)
+    docs_of = collections.defaultdict(set)
+    for i, text in docs:
+        docs_of[text].add(got[i])
+    assert all(max(s) - min(s) < 2e-6 for s in docs_of.values())
+
+
 def test_empty(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     assert E.cross_entropy_difference(docs.limit(0), F.lit(True)).count() == 0
