@@ -1,5 +1,7 @@
+import base64
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -63,5 +65,45 @@ def test_bands_reject_and_fall_back_to_the_script(spark):
     assert got[3].byte_share > 0.5 and not got[3].ok
 
 
+PROSE = {
+    "en": "The committee met on Tuesday to discuss how the new bridge should be paid for, and most members agreed that a small "
+          "toll would be fair to residents. Some asked whether lorries could be charged more, since they wear out the road faster.",
+    "de": "Der Ausschuss traf sich am Dienstag, um zu besprechen, wie die neue Brücke bezahlt werden soll, und die meisten "
+          "Mitglieder waren sich einig, dass eine kleine Gebühr für die Anwohner gerecht wäre.",
+    "fr": "Le comité s'est réuni mardi pour discuter de la manière dont le nouveau pont devrait être financé, et la plupart des "
+          "membres ont convenu qu'un petit péage serait juste pour les habitants.",
+    "es": "El comité se reunió el martes para discutir cómo se debería pagar el nuevo puente, y la mayoría de los miembros "
+          "estuvo de acuerdo en que un pequeño peaje sería justo para los vecinos.",
+    "vi": "Ủy ban đã họp vào thứ Ba để thảo luận về cách chi trả cho cây cầu mới, và hầu hết các thành viên đồng ý rằng một "
+          "khoản phí nhỏ sẽ công bằng cho người dân.",
+    "ru": "Комитет собрался во вторник, чтобы обсудить, как следует оплатить новый мост, и большинство членов согласились, что "
+          "небольшая плата будет справедливой для жителей нашего города и соседних сёл.",
+    "el": "Η επιτροπή συνεδρίασε την Τρίτη για να συζητήσει πώς θα πληρωθεί η νέα γέφυρα και τα περισσότερα μέλη συμφώνησαν "
+          "ότι ένα μικρό τέλος θα ήταν δίκαιο.",
+}
+
+
+def test_production_bands(spark):
+    rng = random.Random(5)
+
+    def noise(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 10))) for _ in range(n))
+
+    small = "abcdefghijklmnopqrstuvwxyz"
+    lines = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(40))
+    private = [chr(c) for c in range(0xE000, 0xF8FF)]
+    han = [chr(c) for c in range(0x4E00, 0x9FA6)]
+    bad = [(lang, noise(small, 300)) for lang in ("en", "de", "fr", "es")]
+    bad += [(lang, lines) for lang in ("en", "es", None, "fi")]
+    bad += [("en", noise(small + small.upper() + "0123456789", 25)), ("en", " ".join(rng.randbytes(8).hex() for _ in range(100)))]
+    bad += [(None, noise(private, 100)), ("xx", noise(private, 100)), ("zh", noise(han, 100)), ("ja", noise(han, 100))]
+    data = [(i, t, lang) for i, (lang, t) in enumerate(bad)] + [(100 + i, t, lang) for i, (lang, t) in enumerate(PROSE.items())]
+    judged = Q.judged(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), carry=["doc_id", "lang"])
+    rows = judged.select("doc_id", "base_failed", "kept", Q.in_band(F.col("lang")).alias("ok")).collect()
+    assert len(rows) == len(data) and [r.doc_id for r in rows if r.doc_id < 100 and r.ok] == []
+    assert [r.doc_id for r in rows if r.doc_id >= 100 and not r.kept] == []
+    assert sum(not r.base_failed for r in rows if r.doc_id < 100) >= 10
+
+
 def test_empty_table(spark):
     assert Q.judged(spark.createDataFrame([], SCHEMA)).count() == 0
