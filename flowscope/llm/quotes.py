@@ -8,6 +8,12 @@ joined to the message with the same hash of its own text. Of several, the earlie
 wins, if it stands before the quoting one; else the earliest message of all others. The parent of a message is the source
 of its shallowest passage that has one; among equals, of its last.
 
+A passage that equals no whole own text is looked for among the lines: it is joined to a stretch of successive lines of an
+own text which are, normalised and without empty ones, exactly its lines, so trimmed quotes and answers put between quoted
+parts find their source too. Stretches are only hashed where a line begins that begins such a passage, in the lengths that
+such passages have. Whole texts come first; among stretches the same order of sources holds. A part of a line, or a quote
+whose lines were wrapped anew and which is not a whole text, has no source.
+
 Sources are reduced to the earliest message per hash and conversation before they are joined, so a text that was sent any
 number of times is one row there; only passages without a source in their own conversation are joined by hash alone. Threads follow
 the parents inside a conversation by pointer doubling, in logarithmically many rounds, each written to the shared folder.
@@ -33,8 +39,10 @@ MARK = re.compile(r"^(?:[ \t]*>)+ ?")
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 PARSED = ("conv bigint, turn bigint, role string, own_text string, own_hash string, n_quotes int, max_level int, "
-          "passages array<struct<level:int,place:int,hash:string>>")
-PASSAGE = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("hash", pa.string())]))
+          "passages array<struct<level:int,place:int,hash:string,n_lines:int,first_line:string,lines_hash:string>>, lines array<string>")
+PASSAGE = pa.list_(pa.struct([
+    ("level", pa.int32()), ("place", pa.int32()), ("hash", pa.string()),
+    ("n_lines", pa.int32()), ("first_line", pa.string()), ("lines_hash", pa.string())]))
 
 
 def normal_hash(text: str) -> str | None:
@@ -43,6 +51,15 @@ def normal_hash(text: str) -> str | None:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if text else None
 
 
+def line_hashes(text: str) -> list[str]:
+    """Hashes of the normalised lines which are not empty."""
+    return [h for h in map(normal_hash, text.split("\n")) if h]
+
+
+def stretch_hash(hashes: list[str]) -> str:
+    return hashlib.md5(",".join(hashes).encode()).hexdigest()
+
+
 def levels(text: str) -> list[tuple[int, str]]:
     """Quote level and content of each line."""
     out = []
@@ -54,6 +71,12 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 def parse(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """Own text, and ``(level, line, hash)`` of each passage at each level."""
+    own, passages = parse_lines(text)
+    return own, [(level, place, normal_hash(content)) for level, place, content in passages]
+
+
+def parse_lines(text: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """Own text, and ``(level, line, own text)`` of each passage at each level."""
     lines = levels(text)
     passages = []
     for level in range(1, max((n for n, _ in lines), default=0) + 1):
@@ -62,8 +85,8 @@ def parse(text: str) -> tuple[str, list[tuple[int, int, str]]]:
             if n >= level and start is None:
                 start = i
             elif n < level and start is not None:
-                own = normal_hash("\n".join(c for m, c in lines[start:i] if m == level))
-                if own:
+                own = "\n".join(c for m, c in lines[start:i] if m == level)
+                if BLANK.sub(" ", own).strip(" "):
                     passages.append((level, start, own))
                 start = None
     return "\n".join(c for n, c in lines if n == 0).strip("\n"), passages
@@ -74,37 +97,65 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     def run(batches):
         for batch in batches:
-            found = [parse(t) for t in batch.column("text").to_pylist()]
+            found = [parse_lines(t) for t in batch.column("text").to_pylist()]
             own, quoted = [f[0] for f in found], [f[1] for f in found]
-            passages = [[{"level": a, "place": b, "hash": h} for a, b, h in q] for q in quoted]
+            passages = []
+            for q in quoted:
+                cut = [line_hashes(c) for _, _, c in q]
+                passages.append([
+                    {"level": a, "place": b, "hash": normal_hash(c), "n_lines": len(h), "first_line": h[0], "lines_hash": stretch_hash(h)}
+                    for (a, b, c), h in zip(q, cut)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv"), batch.column("turn"), batch.column("role"), pa.array(own, pa.string()),
                  pa.array([normal_hash(t) for t in own], pa.string()), pa.array([len(q) for q in quoted], pa.int32()),
-                 pa.array([max((a for a, _, _ in q), default=0) for q in quoted], pa.int32()), pa.array(passages, PASSAGE)],
-                ["conv", "turn", "role", "own_text", "own_hash", "n_quotes", "max_level", "passages"])
+                 pa.array([max((a for a, _, _ in q), default=0) for q in quoted], pa.int32()), pa.array(passages, PASSAGE),
+                 pa.array([line_hashes(t) for t in own], pa.list_(pa.string()))],
+                ["conv", "turn", "role", "own_text", "own_hash", "n_quotes", "max_level", "passages", "lines"])
 
     return messages.select(
         F.col(conv_col).cast("bigint").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text")).mapInArrow(run, PARSED)
 
 
+def stretches(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(hash, conv, turn)`` of the stretches of own lines that begin and are as long as a ``wanted`` passage."""
+    lines = named.select("conv", "turn", "own_hash", F.posexplode("lines").alias("at", "first_line"))
+    asked = wanted.select("first_line", "n_lines").distinct()
+    found = lines.join(asked, "first_line").groupBy("conv", "turn", "own_hash").agg(F.collect_set(F.struct("at", "n_lines")).alias("cuts"))
+    own = named.filter("own_hash is not null").select("conv", "turn", "own_hash", "lines").dropDuplicates(["conv", "turn", "own_hash", "lines"])
+    fitting = F.filter("cuts", lambda c: c["at"] + c["n_lines"] <= F.size("lines"))
+    hashes = F.transform(fitting, lambda c: F.md5(F.array_join(F.slice("lines", c["at"] + 1, c["n_lines"]), ",").cast("binary")))
+    return own.join(found, ["conv", "turn", "own_hash"]).select(F.explode(F.array_distinct(hashes)).alias("hash"), "conv", "turn")
+
+
 def links(held: DataFrame) -> DataFrame:
     """``(conv, turn, level, place, parent_conv, parent_turn)`` of each passage with a source."""
     named = held.filter("conv is not null and turn is not null")
     sources = named.filter("own_hash is not null").select(F.col("own_hash").alias("hash"), "conv", "turn")
-    near = cut_lineage(sources.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn")), "sources")
     asked = named.select("conv", "turn", F.explode("passages").alias("p")).select("conv", "turn", "p.*")
+    whole, left = joined_to(asked, sources)
+    left = cut_lineage(left, "trimmed")
+    if left.isEmpty():
+        return whole
+    left = left.select("conv", "turn", "level", "place", F.col("lines_hash").alias("hash"), "n_lines", "first_line", "lines_hash")
+    return whole.unionByName(joined_to(left, stretches(named, left))[0])
+
+
+def joined_to(asked: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the passages ``asked`` to the ``sources`` of the same hash, and the passages without one."""
+    near = cut_lineage(sources.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn")), "sources")
     asked = cut_lineage(asked.join(near, ["hash", "conv"], "left"), "passages")
     inside = F.coalesce(F.col("near_turn") < F.col("turn"), F.lit(False))
     found = asked.filter(inside).select("conv", "turn", "level", "place", F.col("conv").alias("parent_conv"), F.col("near_turn").alias("parent_turn"))
-    rest = asked.filter(~inside).select("conv", "turn", "level", "place", "hash")
+    rest = asked.filter(~inside).drop("near_turn")
     others = cut_lineage(near.join(rest.select("hash").distinct(), "hash", "left_semi"), "elsewhere")
     first = others.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("first"))
     second = others.join(first, "hash").filter("conv <> first.conv").groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("second"))
-    met = rest.join(first.join(second, "hash", "left"), "hash")
+    met = rest.join(first.join(second, "hash", "left"), "hash", "left")
     other = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
-    elsewhere = met.select("conv", "turn", "level", "place", other["conv"].alias("parent_conv"), other["near_turn"].alias("parent_turn"))
-    return found.unionByName(elsewhere.filter("parent_conv is not null"))
+    met = met.withColumns({"parent_conv": other["conv"], "parent_turn": other["near_turn"]})
+    elsewhere = met.filter("parent_conv is not null").select("conv", "turn", "level", "place", "parent_conv", "parent_turn")
+    return found.unionByName(elsewhere), met.filter("parent_conv is null").select(*rest.columns)
 
 
 def roots(parents: DataFrame, max_rounds: int = 40) -> DataFrame:

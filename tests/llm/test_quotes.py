@@ -59,6 +59,21 @@ def test_source_of_an_equal_text_elsewhere(spark):
     assert got[7, 0] == (8, 0)
 
 
+def test_trimmed_and_interleaved_quotes(spark):
+    mail = "Dear all,\nthe first question is this.\nIt has two lines.\n\nThe second is short.\nBye"
+    rows = [
+        (1, 0, "u", mail, None), (1, 1, "u", "The second is short.", None),
+        (1, 2, "u", "> The FIRST  question is this.\n> It has two lines.\nyes\n> The second is short.\nno", None),
+        (1, 3, "u", "> It has two lines.\n> \n> The second is short.\ntrimmed", None),
+        (1, 4, "u", "> the first question is this.\n> The second is short.\nnot contiguous", None),
+        (2, 0, "u", "> the first question is this.\nelsewhere", None), (2, 1, "u", "> Bye\n> and more\nbeyond the end", None),
+    ]
+    got = {(r.conv, r.turn): r for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    parent = {k: (r.parent_conv, r.parent_turn, r.n_linked) for k, r in got.items()}
+    assert len(got) == len(rows) and parent[1, 2] == (1, 1, 2) and parent[1, 3] == (1, 0, 1) and parent[2, 0] == (1, 0, 1)
+    assert parent[1, 4] == (None, None, 0) and parent[2, 1] == (None, None, 0)
+
+
 def test_long_chain(spark):
     rows = [(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}", None) for i in range(70)]
     got = Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()
