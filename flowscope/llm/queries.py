@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import entropy, fertility, grades, mixing, phrases, quotes, repeats, sharding, simhash, tokens
+from flowscope.llm import entropy, fertility, grades, mixing, phrases, prefixes, quotes, repeats, sharding, simhash, tokens
 from flowscope.llm.scale import ID_ROWS, checked_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,48 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without 13-word windows of earlier documents."""
     left = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_texts=False)
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+CRC_SQL = """bits AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256))::BIGINT AS i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text, given ``tab``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), "
+            "4294967295::BIGINT)")
+
+
+OP11_SQL = f"""WITH RECURSIVE {CRC_SQL}, t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, list({{'k': md5(strlen(r) || ':' || r || x), 'w': len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))}}
+    ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS p FROM t GROUP BY c
+), h AS (SELECT c, {_crc32("c::VARCHAR")} % 4 AS h FROM o, crc), b AS (
+  SELECT o.c, list_concat(coalesce(s.p[1 : h], []), o.p[h + 1 :]) AS p FROM o JOIN h ON h.c = o.c LEFT JOIN o s ON s.c = o.c - o.c % 20
+), m AS (
+  SELECT c, len(p) AS n, d, CASE WHEN d = 0 THEN '' ELSE list_aggregate(list_transform(p[1 : d], lambda e: e.k), 'string_agg', ',') END AS node,
+    CASE WHEN d = 0 THEN '' ELSE p[d].k END AS k, CASE WHEN d = 0 THEN 0 ELSE p[d].w END AS w FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM b)
+), g AS (
+  SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends,
+    left(node, greatest(d - 1, 0) * 33 - (d > 1)::INTEGER) AS up FROM m GROUP BY d, node
+), kids AS (SELECT d - 1 AS d, up, count(*) AS n FROM g WHERE d > 0 GROUP BY 1, 2), below AS (
+  SELECT a.d, a.node, sum((u.n_convs - 1) * u.w) AS saved, count(*) FILTER (u.n_convs = u.n_ends) AS leaves
+  FROM (SELECT g.*, (SELECT count(*) FROM m WHERE m.node = g.node AND m.d = g.d AND m.n = m.d) AS n_ends FROM g) u
+  JOIN m path ON path.c = u.conv_id AND path.d <= u.d JOIN g a ON a.node = path.node AND a.d = path.d GROUP BY 1, 2
+)
+SELECT g.conv_id, g.d::BIGINT AS depth, up.conv_id AS parent_conv_id, g.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(g.ends) AS ends_sha256
+FROM g JOIN below ON below.d = g.d AND below.node = g.node LEFT JOIN g up ON up.d = g.d - 1 AND up.node = g.up
+LEFT JOIN kids ON kids.d = g.d AND kids.up = g.node"""
+
+
+@query(OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt on common openings."""
+    rows, convs = prefixes.placed(table(spark, sf_dir, "conversations"))
+    nodes = prefixes.with_ends(*prefixes.prefix_trie(*prefixes.branched(rows, convs)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
