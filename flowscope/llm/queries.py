@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import entropy, fertility, grades, mixing, phrases, prefixes, quotes, repeats, sharding, simhash, tokens
+from flowscope.llm import entropy, fertility, grades, mixing, phrases, prefixes, quotes, repair, repeats, sharding, simhash, tokens
 from flowscope.llm.scale import ID_ROWS, checked_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,3 +298,58 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, convs = prefixes.placed(table(spark, sf_dir, "conversations"))
     nodes = prefixes.with_ends(*prefixes.prefix_trie(*prefixes.branched(rows, convs)))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP12_SQL = f"""WITH RECURSIVE {CRC_SQL}, k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), copy) AS i FROM d
+), f AS (
+  SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE 'ok' END AS fault FROM o
+), ins(f, t, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)
+), act(letter, r, f, t, price) AS (
+  SELECT 'D', NULL::VARCHAR, f, f, 4 FROM (SELECT unnest(range(0, 4)) AS f)
+  UNION ALL VALUES ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+    ('R', NULL, 0, 2, 3), ('R', NULL, 1, 2, 3), ('R', NULL, 3, 2, 3), ('R', NULL, 2, 3, 3)
+), dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM conversations
+  UNION ALL
+  SELECT f.conv_id, f.i, act.t, min({{'cost': best.cost + 3 * ins.n + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END,
+    'audit': best.audit || repeat('I', ins.n) || letter}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.f = state
+  JOIN act ON act.f = ins.t AND (act.r IS NULL OR act.r = f.r) AND (letter = 'D' OR fault IN ('ok', 'truncated')) GROUP BY f.conv_id, f.i, act.t
+), tally AS (
+  SELECT c.conv_id, count(f.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY 1
+), final AS (
+  SELECT tally.*, (SELECT min({{'cost': best.cost + 3 * ins.n, 'audit': best.audit || repeat('I', ins.n)}}) FROM dp JOIN ins ON ins.f = state
+    WHERE dp.conv_id IS NOT DISTINCT FROM tally.conv_id AND dp.i = tally.n AND ins.t IN (0, 3)) AS best FROM tally
+), letters AS (
+  SELECT conv_id, substr(audit, j, 1) AS letter, len(replace(substr(audit, 1, j), 'I', '')) AS i, len(replace(substr(audit, 1, j), 'D', '')) AS p
+  FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM final)
+), lines AS (
+  SELECT l.conv_id, l.letter, l.p, f.role, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text,
+    max(CASE WHEN letter = 'K' AND p = 1 AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+  FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE letter <> 'D'
+), joined AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (p - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS text
+  FROM lines GROUP BY 1
+)
+SELECT final.conv_id, gaps::BIGINT AS gaps, blank::BIGINT AS blank, duplicate::BIGINT AS duplicate, truncated::BIGINT AS truncated, illegal::BIGINT AS illegal,
+  best.cost::BIGINT AS cost, best.audit AS audit, sha256(coalesce(joined.text, '')) AS repaired_sha256
+FROM final LEFT JOIN joined ON joined.conv_id IS NOT DISTINCT FROM final.conv_id"""
+
+
+@query(OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repair."""
+    return repair.repaired_digests(repair.damaged(table(spark, sf_dir, "conversations")))
