@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.llm import entropy, fertility, grades, mixing, phrases, prefixes, quotes, repair, repeats, sharding, simhash, tokens
+from flowscope.llm import entropy, fertility, grades, minmax, mixing, phrases, prefixes, quotes, repair, repeats, sharding, simhash, tokens
 from flowscope.llm.scale import ID_ROWS, checked_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,3 +353,25 @@ FROM final LEFT JOIN joined ON joined.conv_id IS NOT DISTINCT FROM final.conv_id
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of all conversations after damage, and their cheapest repair."""
     return repair.repaired_digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = """WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), link AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * common >= 80 * (nu.n + nv.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS low FROM d UNION SELECT v, low FROM reach JOIN link ON u = doc_id
+), c AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query(OP13_SQL)
+def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a similarity of 0.8 or more."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -73,7 +73,7 @@ def collected(nodes):
     return sorted(tuple(-1 if r[f] is None else r[f] for f in FIELDS) for r in nodes.collect())
 
 
-@pytest.mark.parametrize("bucket_rows, segment, bits", [(P.BUCKET_ROWS, P.SEGMENT, 16), (50, 3, 1), (200, 1, 0), (40, 2, 2)])
+@pytest.mark.parametrize("bucket_rows, segment, bits", [(50, 3, 1), (200, 1, 0)])
 def test_nodes_of_rebuilt_conversations(spark, bucket_rows, segment, bits):
     rows = talk()
     turns, convs = P.branched(*P.placed(spark.createDataFrame(rows, SCHEMA), turn_bits=bits))

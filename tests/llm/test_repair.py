@@ -117,7 +117,7 @@ def collected(df):
     return sorted(tuple(-1 if i == 0 and x is None else x for i, x in enumerate(r)) for r in df.select(*R.REPAIRED_NAMES).collect())
 
 
-@pytest.mark.parametrize("bits", [16, 1, 0])
+@pytest.mark.parametrize("bits", [16, 0])
 def test_repair_is_cheapest(spark, bits):
     rows = talk()
     assert collected(R.repaired_digests(R.damaged(spark.createDataFrame(rows, SCHEMA)), bits)) == brute(rows)
