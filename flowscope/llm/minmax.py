@@ -10,10 +10,10 @@ candidate each and not one per pair:
 
 * In a bucket the set which collides with the most others is the hub. Each set is compared with the hub it shares most
   buckets with. Buckets whose sets are all in one component are done; the others go into the next round.
-* After ``STARS`` rounds the sets of the buckets that still hold several components are compared signature by signature,
-  crowded buckets in tiles. All pairs of two components that agree in ``LEAST`` of the values and have not been compared
-  yet are compared. Pairs below it cannot be links but for one in 10^10 (40 bands of 4 values, each agreeing with
-  probability 0.8 or more).
+* After ``STARS`` rounds the sets of the buckets that still hold several components are compared with one another,
+  crowded buckets in tiles: first by signature (a link agrees in less than ``LEAST`` of the values once in 10^10 pairs),
+  then by the ``SKETCH`` smallest 32-bit hashes, which are the whole set unless it is larger. A tile returns as many links
+  as join what it joins; pairs of larger sets which the sketch leaves in doubt are all returned.
 
 A pair is compared on the whole sets: the texts of both are read again and intersected. Links are joined to components,
 which are named by their smallest id.
@@ -44,6 +44,7 @@ PERCENT = 80
 BANDS, ROWS = 40, 4
 STARS = 2
 LEAST = 0.6
+SKETCH = 1024
 TILE = 2048
 SEED = 13
 
@@ -127,29 +128,44 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, SIGNED_DDL)
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(key, hashes)`` of the distinct shingles of ``text``."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, sketch: int | None = None) -> DataFrame:
+    """``(key, hashes)`` of the distinct shingles of ``text``; with ``sketch`` the smallest 32-bit hashes, as bytes."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = _sets(Texts(piece.column("text"), lower=True), shingle)
-                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(sets), pa.binary()), lists], ["key", "hashes"])
+                if sketch is None:
+                    values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                else:
+                    short = (np.unique((mixed(s) >> np.uint64(32)).astype(np.uint32)) for s in sets)
+                    values = pa.array([s[:sketch].tobytes() for s in short], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(sets), pa.binary()), values], ["key", "hashes"])
             release_memory()
 
-    return docs.select("text").mapInArrow(run, "key binary, hashes array<bigint>")
+    return docs.select("text").mapInArrow(run, f"key binary, hashes {'array<bigint>' if sketch is None else 'binary'}")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``(u, v)`` of set digests whose whole sets are similar; ``sets`` has ``(key, low)``."""
-    wanted = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted")
-    n = wanted.count()
-    ids = sets.join(checked_broadcast(wanted, n, ID_ROWS), "key", "left_semi").select(F.col("low").alias("__low")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = texts.join(checked_broadcast(ids, n, ID_ROWS), F.col("__id").eqNullSafe(F.col("__low")), "left_semi")
-    own = shingle_sets(texts, shingle).join(checked_broadcast(wanted, n, ID_ROWS), "key", "left_semi")
-    whole = cut_lineage(own.dropDuplicates(["key"]), "whole-sets")
+class Corpus:
+    """The documents, from which the sets of single digests can be read again."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int):
+        self.texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        self.shingle = shingle
+
+    def sets_of(self, keys: DataFrame, sets: DataFrame, sketch: int | None = None) -> DataFrame:
+        """``(key, hashes)`` of the wanted keys; ``sets`` has ``(key, low)``."""
+        wanted = cut_lineage(keys.select("key").distinct(), "wanted")
+        n = wanted.count()
+        ids = sets.join(checked_broadcast(wanted, n, ID_ROWS), "key", "left_semi").select(F.col("low").alias("__low")).distinct()
+        texts = self.texts.join(checked_broadcast(ids, n, ID_ROWS), F.col("__id").eqNullSafe(F.col("__low")), "left_semi")
+        own = shingle_sets(texts, self.shingle, sketch).join(checked_broadcast(wanted, n, ID_ROWS), "key", "left_semi")
+        return cut_lineage(own.dropDuplicates(["key"]), "whole-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` of set digests whose whole sets are similar."""
+    whole = corpus.sets_of(pairs.select(F.explode(F.array("u", "v")).alias("key")), sets)
     left = whole.select(F.col("key").alias("u"), F.col("hashes").alias("left"))
     right = whole.select(F.col("key").alias("v"), F.col("hashes").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("bigint")
@@ -169,56 +185,87 @@ def _stars(live: DataFrame, sets: DataFrame, tested: DataFrame | None) -> DataFr
     return best.select("u", F.col("b.v").alias("v"))
 
 
-def _agreeing(least: float):
-    """Pairs of sets of one bucket or tile in different components whose signatures agree in enough values."""
+def _similar(one: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray, sketch: int) -> np.ndarray:
+    """Similarity of a sketch with others: exact where both are whole sets, else from the smallest hashes of the union."""
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]])
+    both = np.add.reduceat(one[at] == joined, first)
+    out = both / (n + sizes - both)
+    for k in np.flatnonzero((sizes > sketch) | (n > sketch)):
+        union = np.union1d(one, others[k])[:sketch]
+        out[k] = (np.isin(union, one) & np.isin(union, others[k])).mean()
+    return out
+
 
-    def pairs(root, side, key, sig, tiled):
-        _, number = np.unique(root, return_inverse=True)
+def _linking(least: float, percent: int, sketch: int):
+    """Likely links of the sets of one bucket or tile, as many as it takes to join what they join."""
+    doubt = 5 * (percent / 100 * (1 - percent / 100) / sketch) ** 0.5
+    need = math.ceil(least * BANDS * ROWS)
+
+    def pairs(side, root, key, n, sig, hashes, tiled):
+        _, number = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
+        n, side = np.array(n), np.array(side)
+        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(key), -1)
+        hashes = [np.frombuffer(h, np.uint32) for h in hashes]
         rows = np.flatnonzero(side == 0) if tiled else np.arange(len(key))
         columns = np.flatnonzero(side == 1) if tiled else rows
-        need = math.ceil(least * BANDS * ROWS)
         for k, i in enumerate(rows):
             others = columns if tiled else columns[k + 1 :]
             others = others[number[others] != number[i]]
-            if len(others):
-                near = others[(sig[others] == sig[i]).sum(axis=1) >= need]
-                yield from ((min(key[i], key[j]), max(key[i], key[j])) for j in near)
+            others = others[(100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            if not len(others):
+                continue
+            others = others[(sig[others] == sig[i]).sum(axis=1) >= need]
+            if not len(others):
+                continue
+            alike = _similar(hashes[i], n[i], [hashes[j] for j in others], n[others], sketch)
+            large = (n[others] > sketch) | (n[i] > sketch)
+            certain = alike >= percent / 100 + np.where(large, doubt, 0)
+            for j in others[certain]:
+                if number[j] != number[i]:
+                    number[number == number[j]] = number[i]
+                    yield min(key[i], key[j]), max(key[i], key[j])
+            for j in others[~certain & large & (alike >= percent / 100 - doubt)]:
+                if number[j] != number[i]:
+                    yield min(key[i], key[j]), max(key[i], key[j])
 
     def run(batches):
         held: list[tuple] = []
         at = None
 
         def told():
-            root, side, key, sig = zip(*held)
-            found = list(pairs(np.array([r.hex() for r in root]), np.array(side), key, np.frombuffer(b"".join(sig), np.uint8).reshape(len(key), -1), at[1] != at[2]))
+            found = list(pairs(*zip(*held), at[1] != at[2]))
             for low in range(0, len(found), 10_000):
                 u, v = zip(*found[low : low + 10_000])
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
         for batch in batches:
-            for *place, side, root, key, sig in zip(*[c.to_pylist() for c in batch.columns]):
+            for *place, side, root, key, n, sig, hashes in zip(*[c.to_pylist() for c in batch.columns]):
                 if at != place:
                     if len(held) > 1:
                         yield from told()
                     held, at = [], place
-                held.append((root, side, key, sig))
+                held.append((side, root, key, n, sig, hashes))
         if len(held) > 1:
             yield from told()
 
     return run
 
 
-def _rest(live: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFrame:
-    """All pairs ``(u, v)`` of different components that agree in enough signature values, bucket by bucket."""
+def _rest(live: DataFrame, sets: DataFrame, corpus: Corpus, least: float, percent: int, tile: int, sketch: int) -> DataFrame:
+    """Pairs ``(u, v)`` which join all similar sets of different components, bucket by bucket."""
     sizes = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     spread = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own <= o, 0).otherwise(1).alias("side")))
-    rows = live.join(sizes, "bucket").select("bucket", F.explode(spread).alias("t"), "root", "key").join(sets.select("key", "sig"), "key")
-    n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("bucket", "t.a", "t.b", "t.side", "root", "key", "sig").repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return dealt.mapInArrow(_agreeing(least), "u binary, v binary").distinct()
+    described = corpus.sets_of(live, sets, sketch).join(sets.select("key", "n", "sig"), "key")
+    rows = live.join(sizes, "bucket").select("bucket", F.explode(spread).alias("t"), "root", "key").join(described, "key")
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("bucket", "t.a", "t.b", "t.side", "root", "key", "n", "sig", "hashes")
+    dealt = dealt.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return dealt.mapInArrow(_linking(least, percent, sketch), "u binary, v binary").distinct()
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -232,11 +279,12 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, seed: int = SEED,
-    stars: int = STARS, least: float = LEAST, tile: int = TILE,
+    stars: int = STARS, least: float = LEAST, tile: int = TILE, sketch: int = SKETCH,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` per row."""
     signed = cut_lineage(signatures(docs, id_col, text_col, shingle, seed), "signatures")
-    sets = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    sets = signed.filter("n > 0").groupBy("key").agg(
+        F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sets = cut_lineage(sets, "sets")
     rows = sets.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -244,23 +292,18 @@ def near_duplicates(
     weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
     members = cut_lineage(members.select("bucket", "key").join(weights, "key"), "members")
 
-    def compare(pairs):
-        return confirmed(pairs, sets, docs, id_col, text_col, shingle, percent)
-
+    corpus = Corpus(docs, id_col, text_col, shingle)
     roots = tested = links = None
     for turn in range(stars + 1):
         live = _open(members, roots)
         if turn and live.isEmpty():
             break
-        pairs = _stars(live, sets, tested) if turn < stars else _rest(live, sets, least, tile)
-        if turn == stars and tested is not None:
-            known = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        pairs = _stars(live, sets, tested) if turn < stars else _rest(live, sets, corpus, least, percent, tile, sketch)
         pairs = cut_lineage(pairs, "candidates")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = compare(pairs)
+        new = confirmed(pairs, sets, corpus, percent)
         links = cut_lineage(new if links is None else links.unionByName(new), "links")
         roots = cut_lineage(connected_components(links).select(F.col("id").alias("key"), "root"), "roots")
         links = roots.filter("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v"))

@@ -68,7 +68,7 @@ def crowd(seed=2):
     return data
 
 
-@pytest.mark.parametrize("options", [{}, {"stars": 0, "tile": 8}])
+@pytest.mark.parametrize("options", [{}, {"stars": 0, "tile": 8, "sketch": 64}])
 def test_components_equal_brute_force(spark, options):
     data = crowd()
     got = [tuple(r) for r in M.near_duplicates(spark.createDataFrame(data, SCHEMA), **options).collect()]
