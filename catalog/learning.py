@@ -6,10 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import query, with_parts
-from catalog.features import HOST_SQL
+from catalog.features import HOST_SQL, _webscan_sql, attack_rule
 from catalog.scalars import NORMAL_SQL, QUERY_SQL, TOKEN_SQL, WORDS_SQL
 from flowscope.functions.text import attack_tokens, char_ngrams, percent_decode, word_ngrams
 from flowscope.operators import aggregate as A
+from flowscope.operators import forest as R
+from flowscope.operators import kernel as K
 from flowscope.operators import learning as L
 from flowscope.operators import tfidf as T
 from flowscope.operators.scale import cut_lineage, scratch_path
@@ -81,6 +83,24 @@ def _(t):
     return sinks.load_or_build(t.spark, path, lambda: T.term_clusters(cut_lineage(bigram_weights(t)), k=80))
 
 
+CENTRE_WEIGHT = 0.05
+
+
+@query("term_assignment_of_given_centres", "J4", f"WITH {BIGRAM_SQL}" + _tfidf_sql(PAGES) + f"""
+, n AS (SELECT c, count(d.doc_id) * {CENTRE_WEIGHT ** 2}::DOUBLE AS n FROM (SELECT unnest(range(0, 6)) AS c) LEFT JOIN (SELECT DISTINCT doc_id FROM tfidf) d ON d.doc_id % 6 = c GROUP BY c),
+  own AS (SELECT term, sum(weight * weight) AS own FROM tfidf GROUP BY term),
+  dot AS (SELECT term, doc_id % 6 AS c, sum(weight) * {CENTRE_WEIGHT}::DOUBLE AS d FROM tfidf GROUP BY ALL)
+SELECT term, arg_min(c, (r, c))::INTEGER AS cluster, round(greatest(min(r), 0), 6) AS distance FROM (
+  SELECT own.term, n.c, round(own + n - 2 * coalesce(d, 0), 10) AS r FROM own CROSS JOIN n LEFT JOIN dot ON dot.term = own.term AND dot.c = n.c) GROUP BY term""")
+def _(t):
+    """One assignment step: every term at the nearest of six given centres, each over a sixth of the documents."""
+    weights = cut_lineage(bigram_weights(t))
+    docs = weights.select("doc_id").distinct()
+    place = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda c: F.when(F.col("doc_id") % 6 == c, CENTRE_WEIGHT).otherwise(0.0))
+    sizes = dict(docs.groupBy((F.col("doc_id") % 6).alias("c")).count().collect())
+    return T.nearest_profile(weights, docs.withColumn("v", place), [sizes.get(c, 0) * CENTRE_WEIGHT**2 for c in range(6)])
+
+
 @query("standardised_columns", "J10", """
 SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value_scaled,
   round((user_id - avg(user_id) OVER ()) / stddev_pop(user_id) OVER (), 6) AS user_id_scaled FROM events""")
@@ -120,6 +140,38 @@ def _(t):
     return A.prediction_counts(_classified(t, "svm"))
 
 
+@query("bigram_kernel_svm", "J5 D21")
+def _(t):
+    """SVM with an RBF kernel over the whole texts' bigrams."""
+    return A.prediction_counts(_classified(t, "kernel"))
+
+
+@query("linear_decision_of_given_weights", "J5", f"WITH {BIGRAM_SQL}" + _tfidf_sql(PAGES) + """
+SELECT doc_id, round(sum(weight * (((unicode(term[1:1]) + 31 * unicode(term[2:2])) % 17 - 8) / 8.0::DOUBLE)) - 0.05::DOUBLE, 6) AS decision FROM tfidf GROUP BY doc_id""")
+def _(t):
+    """Decisions of a linear model with a weight for every bigram, as a fitted one takes them."""
+    weights = cut_lineage(bigram_weights(t))
+    code = (F.ascii(F.substring("term", 1, 1)) + 31 * F.ascii(F.substring("term", 2, 1))) % 17
+    coefficients = weights.select("term").distinct().withColumn("coefficient", (code - 8) / F.lit(8.0))
+    return K.linear_decision(weights, coefficients, "doc_id", "term", -0.05)
+
+
+SUPPORT = [(i, term, 0.5) for i, terms in enumerate((("ht", "tt", "tp", ":/"), ("ex", "xa", "am", "mp"), ("/a", "/b", "=1", "og"))) for term in terms]
+ALPHAS = (1.0, -0.8, 0.6)
+
+
+@query("kernel_decision_of_given_support", "J5", f"WITH {BIGRAM_SQL}" + _tfidf_sql(PAGES) + f"""
+, s(i, term, v) AS (VALUES {", ".join(f"({i}, '{term}', {v}::DOUBLE)" for i, term, v in SUPPORT)}), a(i, alpha) AS (VALUES {", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(ALPHAS))}),
+  own AS (SELECT doc_id, sum(weight * weight) AS own FROM tfidf GROUP BY doc_id),
+  dot AS (SELECT doc_id, i, sum(weight * v) AS d FROM tfidf JOIN s USING (term) GROUP BY ALL)
+SELECT own.doc_id, round(sum(alpha * exp(-1.5::DOUBLE * (own + 1 - 2 * coalesce(d, 0)))) - 0.1::DOUBLE, 6) AS decision
+FROM own CROSS JOIN a LEFT JOIN dot ON dot.doc_id = own.doc_id AND dot.i = a.i GROUP BY own.doc_id""")
+def _(t):
+    """Decisions of an RBF model with given support vectors, as exact kernels."""
+    support = t.spark.createDataFrame(SUPPORT, "number int, term string, weight double")
+    return K.kernel_decision(cut_lineage(bigram_weights(t)), support, list(ALPHAS), "doc_id", "term", 1.5, -0.1)
+
+
 @query("cluster_collapsed_classifier", "J4 J5 C12 D26")
 def _(t):
     """Bigram weights of URLs collapsed to term clusters, then logistic regression; label: a query is present."""
@@ -224,12 +276,66 @@ def forest_and_model(t):
 @query("webscan_forest_detection", "J7 J8 D10 D18 F1")
 def _(t):
     forest, model = forest_and_model(t)
-    return detection.scored_in_parts(*detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600))
+    return detection.detect_webscans(t.flows, model, forest, t.owner, burst_seconds=3600)
+
+
+def _node_sql(nodes):
+    return ", ".join(f"({r[0]}, {r[1]}, {r[2]}, {r[3] or 0}::DOUBLE, {r[4]}, {r[5]}, {r[6]}::DOUBLE)" for r in nodes)
+
+
+def _walk_sql(nodes, keys, values, source):
+    """Recursive walk of all rows through all trees; ``source`` has the keys and the features of the model."""
+    return f"""item AS (SELECT {keys}, [{values}] AS x FROM ({source})),
+  n(tree, node, feature, threshold, l, r, p) AS (VALUES {_node_sql(nodes)}), walk AS (
+  SELECT {keys}, x, tree, 0 AS spot FROM item, (SELECT DISTINCT tree FROM n)
+  UNION ALL SELECT {keys}, x, walk.tree, CASE WHEN x[feature + 1] <= threshold THEN l ELSE r END FROM walk JOIN n ON n.tree = walk.tree AND n.node = spot WHERE feature >= 0)
+SELECT {keys}, round(sum(p) / count(*), 6) AS votes, (sum(p) > sum(1 - p))::INTEGER AS web_scan
+FROM walk JOIN n ON n.tree = walk.tree AND n.node = spot WHERE feature < 0 GROUP BY ALL"""
+
+
+NODE_FIELDS = "tree int, node int, feature int, threshold double, left int, right int, p double"
+#: A given web-scan forest over the six model columns, and a given attack forest over the three URL statistics.
+SCAN_NODES = [
+    (0, 0, 3, 0.05, 1, 2, 0.0), (0, 1, -1, None, -1, -1, 0.1), (0, 2, 5, 0.9, 3, 4, 0.0), (0, 3, -1, None, -1, -1, 0.8), (0, 4, -1, None, -1, -1, 0.6),
+    (1, 0, 2, 0.04, 1, 2, 0.0), (1, 1, -1, None, -1, -1, 0.2), (1, 2, 4, 0.2, 3, 4, 0.0), (1, 3, -1, None, -1, -1, 0.7), (1, 4, -1, None, -1, -1, 0.9),
+    (2, 0, 0, 2.0, 1, 2, 0.0), (2, 1, 1, 0.5, 3, 4, 0.0), (2, 2, -1, None, -1, -1, 0.55), (2, 3, -1, None, -1, -1, 0.3), (2, 4, -1, None, -1, -1, 0.45),
+]
+URL_NODES = [
+    (0, 0, 0, 0.5, 1, 2, 0.0), (0, 1, -1, None, -1, -1, 0.15), (0, 2, 2, 3.9, 3, 4, 0.0), (0, 3, -1, None, -1, -1, 0.75), (0, 4, -1, None, -1, -1, 0.9),
+    (1, 0, 2, 4.05, 1, 2, 0.0), (1, 1, 1, 0.5, 3, 4, 0.0), (1, 2, -1, None, -1, -1, 0.8), (1, 3, -1, None, -1, -1, 0.3), (1, 4, -1, None, -1, -1, 0.05),
+]
+
+
+def given_nodes(t, nodes):
+    return t.spark.createDataFrame(nodes, NODE_FIELDS).collect()
+
+
+@query("webscan_forest_of_given_nodes", "J7 J8 D16", "WITH RECURSIVE " + _walk_sql(
+    SCAN_NODES, "src_ip, dest_ip", ", ".join(f'coalesce("{c}", 0)::DOUBLE' for c in W.MODEL_COLUMNS), _webscan_sql("source", 1)))
+def _(t):
+    """The web-scan table scored by a given forest, from its table of nodes."""
+    from flowscope.operators.clean import clean_webscan
+
+    flows = clean_webscan(t.flows, drop_single=False)
+    malicious, _lists = detection.malicious_by_rule(flows, attack_rule(), ["src_ip", "dest_ip"])
+    table = W.webscan_features(flows, t.owner, malicious)
+    return R.score_with_nodes(table, given_nodes(t, SCAN_NODES), W.MODEL_COLUMNS).select("src_ip", "dest_ip", "votes", "web_scan")
+
+
+@query("attack_forest_of_given_nodes", "J3 J6 H23", "WITH RECURSIVE " + _walk_sql(URL_NODES, "params", "s[1], s[2], s[3]", with_parts("FLOWS", f"""
+, u AS (SELECT params, {NORMAL_SQL.format('(' + QUERY_SQL.format('params') + ')')} AS text FROM (SELECT DISTINCT params FROM flows)),
+  e AS (SELECT params, entropy(ch) AS h FROM (SELECT params, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM u) GROUP BY params)
+SELECT params, [len(regexp_extract_all(text, '(?i){WORDS_SQL}'))::DOUBLE, (text[-1:] = '/')::DOUBLE, coalesce(h, 0)] AS s FROM u LEFT JOIN e USING (params)""")))
+def _(t):
+    """Every distinct URL scored by a given attack forest, from its table of nodes."""
+    urls = L.attack_text(t.flows.select("params").distinct()).withColumn("_s", vector_to_array("statistics"))
+    table = urls.select("params", *[F.get("_s", F.lit(i)).alias(f"s{i}") for i in range(3)])
+    return R.score_with_nodes(table, given_nodes(t, URL_NODES), ["s0", "s1", "s2"]).select("params", "votes", "web_scan")
 
 
 @query("saved_forest", "A16 J7", with_parts("FLOWS WEBSCAN", "SELECT DISTINCT src_ip, dest_ip, true AS same FROM webscan"))
 def _(t):
-    """A forest saved and loaded again must score as the one in memory."""
+    """A forest saved and loaded again, and one scored from its table of nodes, must score as the one in memory."""
     from flowscope.operators.clean import clean_webscan
 
     path = scratch_path(t.spark, "forest")
@@ -238,8 +344,10 @@ def _(t):
     forest = L.fit_webscan_forest(table, W.MODEL_COLUMNS, trees=20)
     sinks.save_model(forest, path)
     saved = L.score_webscan(table, sinks.load_model(path), W.MODEL_COLUMNS).withColumnRenamed("web_scan", "saved")
-    both = saved.join(L.score_webscan(table, forest, W.MODEL_COLUMNS), ["src_ip", "dest_ip"])
-    return both.select("src_ip", "dest_ip", (F.col("saved") == F.col("web_scan")).alias("same"))
+    nodes = R.forest_nodes(forest, scratch_path(t.spark, "nodes")).collect()
+    walked = R.score_with_nodes(table, nodes, W.MODEL_COLUMNS, "walked").select("src_ip", "dest_ip", "walked")
+    both = saved.join(L.score_webscan(table, forest, W.MODEL_COLUMNS), ["src_ip", "dest_ip"]).join(walked, ["src_ip", "dest_ip"])
+    return both.select("src_ip", "dest_ip", ((F.col("saved") == F.col("web_scan")) & (F.col("walked") == F.col("web_scan"))).alias("same"))
 
 
 @query("basic_scan_vector_scored", "D19 D20", with_parts("FLOWS BASIC", f"""

@@ -23,7 +23,9 @@ from flowscope.functions.text import (
     statistic_vector,
     word_ngrams,
 )
-from flowscope.operators.scale import kth_smallest, lists_by_key
+from flowscope.operators import tfidf
+from flowscope.operators.kernel import fourier_features
+from flowscope.operators.scale import cut_lineage, kth_smallest, lists_by_key
 
 
 def split(df: DataFrame, test_share: float, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -50,14 +52,13 @@ def attack_text(urls: DataFrame, column: str = "params", whole: bool = False) ->
     ).drop("_text")
 
 
-def tfidf_stages(train: DataFrame, tokens: str, vocab_size: int | None, out: str = "tfidf") -> list:
+def tfidf_stages(train: DataFrame, tokens: str, vocab_size: int, out: str = "tfidf") -> list:
     """Fitted stages: term counts, weights tf * (ln((1+n)/(1+df)) + 1) and L2 norm.
 
-    The vocabulary has all terms or the ``vocab_size`` most frequent, ties by the term. It is held by the model, on the
-    driver and in each task, so an unlimited one is for terms of which there are not too many, such as bigrams.
+    The vocabulary has the ``vocab_size`` most frequent terms, ties by the term, and is held by the model.
     """
     totals = train.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term")
-    terms = [r["term"] for r in (totals if vocab_size is None else totals.limit(vocab_size)).select("term").collect()]
+    terms = [r["term"] for r in totals.limit(vocab_size).select("term").collect()]
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(train)).idf
     scale = ElementwiseProduct(
@@ -110,15 +111,41 @@ def bigram_features(texts: DataFrame, column: str = "text", n: int = 2) -> DataF
     return texts.withColumn("grams", char_ngrams(F.lower(percent_decode(column)), n))
 
 
-def fit_url_classifier(train: DataFrame, kind: str = "logistic", vocab_size: int | None = None, label: str = "label"):
-    """Logistic regression or linear SVM over character-bigram TF-IDF, over all bigrams unless ``vocab_size`` is given.
+class TermClassifier:
+    """A classifier over the TF-IDF weights of the array column ``grams``; its vocabulary is a stored table."""
 
-    Spark ML has no kernel SVM, so the linear one takes its place.
+    def __init__(self, vocab: DataFrame, size: int, key: str, kernel: tuple[float, int, int] | None):
+        self.vocab, self.size, self.key, self.kernel, self.model = vocab, size, key, kernel, None
+
+    def features(self, texts: DataFrame) -> DataFrame:
+        """The rows with ``features``: sparse weights of the numbered terms, or random Fourier features of them."""
+        weights = tfidf.tfidf(texts, F.col("grams"), vocab=self.vocab.select("term", "idf"), key=self.key)
+        if self.kernel is None:
+            return tfidf.sparse_vectors(texts, weights, self.vocab, self.size, self.key)
+        gamma, places, seed = self.kernel
+        waves = fourier_features(weights, self.key, "term", gamma, places, seed)
+        nothing = F.array_repeat(F.lit(0.0), places)
+        return texts.join(waves, self.key, "left").withColumn("features", array_to_vector(F.coalesce("fourier", nothing))).drop("fourier")
+
+    def transform(self, texts: DataFrame) -> DataFrame:
+        return self.model.transform(self.features(texts))
+
+
+def fit_url_classifier(
+    train: DataFrame, kind: str = "logistic", vocab_size: int | None = None, label: str = "label", key: str = "doc_id", gamma: float = 1.0,
+    places: int = 512, seed: int = 42,
+) -> TermClassifier:
+    """Logistic regression, linear SVM (``svm``) or SVM with an RBF kernel (``kernel``) over character-bigram TF-IDF.
+
+    ``key`` is unique. All bigrams are used unless ``vocab_size`` is given; they are numbered in a table. The kernel
+    ``exp(-gamma * |x - y|^2)`` is approximated by ``places`` random Fourier features.
     """
-    stages = tfidf_stages(train, "grams", vocab_size, "features")
-    ready = PipelineModel(stages=stages).transform(train)
-    learner = LogisticRegression(labelCol=label, maxIter=50) if kind == "logistic" else LinearSVC(labelCol=label, maxIter=50)
-    return PipelineModel(stages=[*stages, learner.fit(ready)])
+    counts = cut_lineage(tfidf.term_counts(train, F.col("grams"), key), "term-counts")
+    vocab = cut_lineage(tfidf.numbered(cut_lineage(tfidf.vocabulary(counts, train.count(), vocab_size), "idf")), "vocabulary")
+    fitted = TermClassifier(vocab, vocab.count(), key, (gamma, places, seed) if kind == "kernel" else None)
+    ready = cut_lineage(fitted.features(train), "features")
+    fitted.model = fit_vector_classifier(ready, "logistic" if kind == "logistic" else "svm", label)
+    return fitted
 
 
 def fit_vector_classifier(train: DataFrame, kind: str = "logistic", label: str = "label"):

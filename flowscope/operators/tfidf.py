@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowscope.operators.scale import cut_lineage, salted_join
+from flowscope.operators.kernel import weighted_sums
+from flowscope.operators.scale import cut_lineage, rank_by, salted_join, scratch_path
 
 
 def term_counts(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
@@ -40,20 +43,115 @@ def tfidf(docs: DataFrame, terms: Column, max_terms: int | None = None, vocab: D
     return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def term_clusters(weights: DataFrame, k: int = 80, buckets: int = 256, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """``(term, cluster)`` by k-means over the terms' document profiles.
+def numbered(vocab: DataFrame, term: str = "term") -> DataFrame:
+    """The terms with ``number`` 0, 1, ..., in the order of a hash; no list of terms passes through the driver."""
+    hashed = vocab.withColumns({"_hash": F.xxhash64(term), "_tie": F.shiftrightunsigned(F.xxhash64(term, F.lit(1)), 1)})
+    ranked = rank_by(hashed, "_hash", "_tie", "_rank", descending=False)
+    return ranked.withColumn("number", (F.col("_rank") - 1).cast("int")).drop("_hash", "_tie", "_rank")
 
-    A term's profile over all documents has no bound; documents are hashed with a random sign into ``buckets``
-    coordinates, which keeps distances between profiles in expectation and each vector small.
+
+def sparse_vectors(docs: DataFrame, weights: DataFrame, numbers: DataFrame, size: int, key: str = "doc_id", out: str = "features") -> DataFrame:
+    """The rows of ``docs`` with a sparse ML vector of their weights; documents without known terms have an empty one.
+
+    Vectors are written as the struct that stores them and read back as vectors.
+    """
+    cells = salted_join(weights, numbers.select("term", "number"), "term", key, "inner")
+    lists = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "weight"))).alias("_cells"))
+    rows = docs.join(lists, key, "left")
+    indices, values = (F.coalesce(F.col(f"_cells.{c}"), F.array()).cast(f"array<{kind}>") for c, kind in (("number", "int"), ("weight", "double")))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    path = scratch_path(docs.sparkSession, "sparse-vectors")
+    table = rows.select(*docs.columns, stored.alias(out))
+    table.write.parquet(path)
+    schema = T.StructType([*[f for f in table.schema.fields if f.name != out], T.StructField(out, VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def profile_centres(weights: DataFrame, clusters: DataFrame, k: int, key: str = "doc_id") -> tuple[DataFrame, list[float | None]]:
+    """``(key, v)``, the mean weight of each cluster's terms per document as an array, and the squared centre lengths.
+
+    ``clusters`` is ``(term, cluster)``. An empty cluster has no centre and the length None.
+    """
+    sums = cut_lineage(salted_join(weights, clusters, "term", key, "inner").groupBy(key, "cluster").agg(F.sum("weight").alias("s")), "centre-sums")
+    sizes = dict(clusters.groupBy("cluster").count().collect())
+    squares = dict(sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s"))).collect())
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "s"))).alias("_m"))
+    count = F.array(*[F.lit(float(max(1, sizes.get(c, 0)))) for c in range(k)])
+    dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.get(count, i))
+    return maps.select(key, dense.alias("v")), [squares[c] / sizes[c] ** 2 if c in sizes else None for c in range(k)]
+
+
+def nearest_profile(weights: DataFrame, centres: DataFrame, lengths: list[float | None], key: str = "doc_id") -> DataFrame:
+    """``(term, cluster, distance)``: the centre nearest to each term's profile over all documents, and its squared distance.
+
+    The first of equally near centres (to ten digits) wins. Profiles stay in long form: a term's dot products with all
+    centres are sums over its documents, which are taken before the shuffle.
+    """
+    dots = weighted_sums(weights, centres, key, "term")
+    own = weights.groupBy("term").agg(F.sum(F.col("weight") * F.col("weight")).alias("_own"))
+    far = F.array(*[F.lit(float("inf") if n is None else float(n)) for n in lengths])
+    zero = F.array_repeat(F.lit(0.0), len(lengths))
+    square = F.zip_with(far, F.coalesce("sums", zero), lambda n, d: F.round(F.col("_own") + n - 2.0 * d, 10))
+    found = own.join(dots, "term", "left").withColumn("_d", square).withColumn("distance", F.greatest(F.array_min("_d"), F.lit(0.0)))
+    return found.select("term", (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("cluster"), "distance")
+
+
+def profile_seeds(weights: DataFrame, k: int, seed: int = 42, rounds: int = 4, key: str = "doc_id") -> list[str]:
+    """``k`` terms to start from, by k-means||: in each round a term is drawn with a chance in proportion to its squared
+    distance from the terms drawn before, about ``2 k`` of them; of these, ``k`` are drawn by their weights and distances.
+
+    Draws are hashes of the term. At most some ``2 k * rounds`` terms, whose number does not depend on the data, and their
+    mutual distances come to the driver.
+    """
+    terms = weights.select("term").distinct()
+    drawn = [r["term"] for r in terms.orderBy(F.xxhash64("term", F.lit(seed)), "term").limit(1).collect()]
+    for turn in range(rounds + 1):
+        numbers = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(drawn)], "term string, cluster int")
+        centres, lengths = profile_centres(weights, numbers, len(drawn), key)
+        near = cut_lineage(nearest_profile(weights, centres, lengths, key), "seed-distances")
+        if turn == rounds:
+            break
+        total = near.agg(F.sum("distance")).first()[0] or 0.0
+        chance = F.lit(2.0 * k) * F.col("distance") / F.lit(total or 1.0)
+        draw = F.pmod(F.xxhash64("term", F.lit(seed + 1 + turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        more = near.filter((draw < chance) & (F.col("distance") > 0)).select("term").collect()
+        drawn += sorted({r["term"] for r in more} - set(drawn))
+    if len(drawn) <= k:
+        return drawn
+    sizes = dict(near.groupBy("cluster").count().collect())
+    mutual = weighted_sums(weights.join(F.broadcast(numbers.select("term")), "term", "left_semi"), centres, key, "term").collect()
+    dot = {r["term"]: np.array(r["sums"]) for r in mutual}
+    matrix = np.array([dot.get(t, np.zeros(len(drawn))) for t in drawn])
+    square = np.maximum(np.diag(matrix)[:, None] + np.diag(matrix)[None, :] - 2 * matrix, 0.0)
+    weight, rng = np.array([sizes.get(i, 0) for i in range(len(drawn))], float), np.random.default_rng(seed)
+    chosen = [int(weight.argmax())]
+    while len(chosen) < k:
+        chance = weight * square[:, chosen].min(axis=1)
+        left = [i for i in range(len(drawn)) if i not in chosen]
+        chosen.append(int(rng.choice(len(drawn), p=chance / chance.sum())) if chance.sum() > 0 else left[0])
+    return [drawn[i] for i in chosen]
+
+
+def term_clusters(
+    weights: DataFrame, k: int = 80, seed: int = 42, key: str = "doc_id", max_rounds: int = 20, seeds: list[str] | None = None
+) -> DataFrame:
+    """``(term, cluster)`` by Lloyd rounds over the terms' whole sparse document profiles.
+
+    Starts from ``seeds`` or :func:`profile_seeds`; weights must not be negative. A centre is an array place per document
+    and cluster, a term one row per document it is in, so no row holds a profile. A cluster that loses all its terms stays
+    empty. Ends when no term changes its cluster, or after ``max_rounds``.
     """
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)).cast("int")
-    sign = F.when(F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(2)) == 0, F.col("weight")).otherwise(-F.col("weight"))
-    cells = weights.groupBy("term", bucket.alias("_b")).agg(F.sum(sign).alias("_w"))
-    maps = cells.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    vectors = maps.select("term", array_to_vector(dense).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(vectors)
-    return model.transform(vectors).select("term", F.col("prediction").alias("cluster"))
+    weights = cut_lineage(weights.select(key, "term", "weight"), "profiles")
+    start = seeds or profile_seeds(weights, k, seed, key=key)
+    clusters = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(start)], "term string, cluster int")
+    for _ in range(max_rounds):
+        centres, lengths = profile_centres(weights, clusters, len(start), key)
+        found = cut_lineage(nearest_profile(weights, centres, lengths, key).select("term", "cluster"), "term-clusters")
+        same = found.join(clusters.withColumnRenamed("cluster", "_old"), "term", "left").filter(~F.col("cluster").eqNullSafe(F.col("_old"))).isEmpty()
+        clusters = found
+        if same:
+            break
+    return clusters
 
 
 def collapse_terms(weights: DataFrame, clusters: DataFrame, key: str = "doc_id") -> DataFrame:

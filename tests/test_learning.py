@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from flowscope.functions.text import char_ngrams
+from flowscope.operators import forest as R
+from flowscope.operators import kernel as K
 from flowscope.operators import learning as L
 from flowscope.operators import tfidf as T
 
@@ -51,6 +53,105 @@ def test_term_clusters_and_collapse(docs):
     assert T.cluster_vectors(collapsed, 5).count() == docs.count()
 
 
+def plain_lloyd(points, start, rounds=20):
+    """Labels and cost of Lloyd rounds in NumPy, from the given rows."""
+    centres, labels = points[start], None
+    for _ in range(rounds):
+        distance = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        if labels is not None and (distance.round(10).argmin(axis=1) == labels).all():
+            break
+        labels = distance.round(10).argmin(axis=1)
+        centres = np.array([points[labels == c].mean(axis=0) if (labels == c).any() else np.full(points.shape[1], 1e9) for c in range(len(centres))])
+    return labels, sum(((points[labels == c] - centres[c]) ** 2).sum() for c in range(len(centres)))
+
+
+def test_term_clusters_cost_that_of_plain_lloyd(spark):
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 4, 120)
+    points = np.where(rng.random((120, 30)) < 0.25, rng.random((120, 30)), 0.0) + (np.arange(30)[None, :] % 4 == group[:, None]) * 0.8
+    points[rng.random((120, 30)) < 0.3] = 0.0
+    rows = [(d, f"t{i:03d}", float(w)) for i, row in enumerate(points) for d, w in enumerate(row) if w > 0]
+    weights = spark.createDataFrame(rows, "doc_id bigint, term string, weight double")
+    seeds = T.profile_seeds(weights, 4, rounds=2)
+    assert len(set(seeds)) == 4 and seeds == T.profile_seeds(weights.repartition(7), 4, rounds=2)
+    got = {r.term: r.cluster for r in T.term_clusters(weights, seeds=seeds).collect()}
+    labels, cost = plain_lloyd(points, [int(s[1:]) for s in seeds])
+    assert [got[f"t{i:03d}"] for i in range(120)] == labels.tolist()
+    centres, lengths = T.profile_centres(weights, spark.createDataFrame(list(got.items()), "term string, cluster int"), 4)
+    found = T.nearest_profile(weights, centres, lengths).agg(F.sum("distance")).first()[0]
+    assert found == pytest.approx(cost, rel=0.01)
+
+
+def ring(spark, n=240):
+    """Points on a small and on a large circle, as sparse rows."""
+    rng = np.random.default_rng(1)
+    out, points = [], {}
+    for i in range(n):
+        angle, label = rng.random() * 2 * math.pi, i % 2
+        radius = (0.4, 1.6)[label] + 0.1 * rng.standard_normal()
+        points[i] = (radius * math.cos(angle), radius * math.sin(angle))
+        out += [(i, term, x, label) for term, x in zip("xy", points[i])]
+    return spark.createDataFrame(out, "doc_id bigint, term string, weight double, label int"), points
+
+
+def test_fourier_features_approximate_the_kernel_and_part_a_ring(spark):
+    rows, points = ring(spark)
+    labels = rows.select("doc_id", "label").distinct()
+    waves = K.fourier_features(rows, "doc_id", "term", 0.7, 1024)
+    z = {r.doc_id: np.array(r.fourier) for r in waves.collect()}
+    rng = np.random.default_rng(2)
+    error = []
+    for _ in range(200):
+        i, j = (int(x) for x in rng.integers(0, len(points), 2))
+        exact = math.exp(-0.7 * sum((a - b) ** 2 for a, b in zip(points[i], points[j])))
+        error.append(float(z[i] @ z[j]) - exact)
+    assert np.sqrt(np.mean(np.square(error))) < 1.5 / math.sqrt(1024) and abs(np.mean(error)) < 0.02
+    again = K.fourier_features(rows.repartition(5), "doc_id", "term", 0.7, 1024).collect()
+    assert all(np.allclose(z[r.doc_id], r.fourier) for r in again)
+    scores = []
+    linear = rows.groupBy("doc_id").pivot("term", ["x", "y"]).agg(F.first("weight")).select("doc_id", array_to_vector(F.array("x", "y")).alias("features"))
+    for table in (waves.select("doc_id", array_to_vector("fourier").alias("features")), linear):
+        train, test = L.split(table.join(labels, "doc_id"), 0.3, "doc_id")
+        scored = L.fit_vector_classifier(train, "svm").transform(test)
+        scores.append(scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+    assert scores[0] > 0.95 and scores[1] < 0.75
+
+
+def test_kernel_decision_of_any_rows(spark):
+    rows, points = ring(spark, 30)
+    support = [(0, "x", 0.5), (0, "y", -0.5), (1, "x", -1.0), (2, "z", 1.0)]
+    got = K.kernel_decision(rows, spark.createDataFrame(support, "number int, term string, weight double"), [1.0, -2.0, 0.5], "doc_id", "term", 0.9, 0.1)
+    for r in got.collect():
+        x, y = points[r.doc_id]
+        want = sum(a * math.exp(-0.9 * ((x - s[0]) ** 2 + (y - s[1]) ** 2 + s[2] ** 2)) for a, s in zip([1.0, -2.0, 0.5], [(0.5, -0.5, 0), (-1.0, 0, 0), (0, 0, 1.0)]))
+        assert r.decision == pytest.approx(want + 0.1)
+
+
+def test_numbered_terms_and_sparse_vectors(docs, spark):
+    weights = T.tfidf(docs, char_ngrams("text"))
+    vocab = T.numbered(weights.select("term").distinct()).collect()
+    assert sorted(r.number for r in vocab) == list(range(len(vocab)))
+    more = docs.unionByName(spark.createDataFrame([(99, "", 0)], docs.schema))
+    got = T.sparse_vectors(more, weights, spark.createDataFrame(vocab), len(vocab)).collect()
+    long = {(r.doc_id, r.term): r.weight for r in weights.collect()}
+    names = {r.number: r.term for r in vocab}
+    assert {(r.doc_id, names[int(i)]): v for r in got for i, v in zip(r.features.indices, r.features.values)} == pytest.approx(long)
+    assert len(got) == docs.count() + 1 and all(r.features.size == len(vocab) for r in got)
+
+
+def test_nodes_score_like_the_forest(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, *map(float, rng.random(3)), int(rng.random() < 0.5)) for i in range(300)]
+    table = spark.createDataFrame(rows + [(300, None, 0.5, float("nan"), 1)], "id bigint, a double, b double, c double, label int").na.fill(0.0)
+    model = L.fit_webscan_forest(table, ["a", "b", "c"], trees=15)
+    nodes = R.forest_nodes(model, str(tmp_path / "forest")).collect()
+    assert len({r.tree for r in nodes}) == 15 and all((r.feature < 0) == (r.left < 0) for r in nodes)
+    want = {r.id: (r.probability[1], r.prediction) for r in model.transform(table).collect()}
+    got = R.score_with_nodes(table, nodes, ["a", "b", "c"]).collect()
+    for r in got:
+        assert r.votes == pytest.approx(want[r.id][0]) and r.web_scan == want[r.id][1]
+
+
 @pytest.mark.parametrize("mode", ["all", "tfidf", "statistic"])
 def test_attack_classifier(docs, mode):
     train = L.attack_text(docs, "text", whole=True)
@@ -58,7 +159,7 @@ def test_attack_classifier(docs, mode):
     assert scored.filter("prediction = label").count() >= 0.8 * docs.count()
 
 
-@pytest.mark.parametrize("kind", ["logistic", "svm"])
+@pytest.mark.parametrize("kind", ["logistic", "svm", "kernel"])
 def test_url_classifier(docs, kind):
     ready = L.bigram_features(docs)
     scored = L.fit_url_classifier(ready, kind, 500).transform(ready)
