@@ -252,7 +252,7 @@ def _(t):
     flows = clean_webscan(t.flows, drop_single=False)
     malicious, lists = malicious_by_rule(flows, attack_rule(), PAIR)
     table = webscan_plan.webscan_features(flows, t.owner, malicious)
-    return webscan_plan.webscan_features_in_parts(table, lists).drop("part")
+    return webscan_plan.webscan_features_with_urls(table, lists).drop("part")
 
 
 @query("defined_features", "B8", "SELECT src_ip, dest_ip, \"Sum_flow\" FROM (" + _webscan_sql("source", 1)
@@ -283,7 +283,7 @@ FROM ({HOST_SQL}) h JOIN (SELECT dest_ip, host, list(src_ip ORDER BY seq) AS src
   ON l.dest_ip = h.dest_ip AND l.host = h.host"""))
 def _(t):
     """Every part of the source lists; the features stand on the first part of a list."""
-    return domain_plan.domain_features_in_parts(t.domain, t.owner).drop("part")
+    return domain_plan.domain_features_with_sources(t.domain, t.owner).drop("part")
 
 
 def _train_sql(line):

@@ -14,7 +14,6 @@ from flowscope.plans.webscan import (
     MODEL_COLUMNS,
     training_features,
     webscan_features,
-    webscan_features_in_parts,
     webscan_features_with_urls,
 )
 
@@ -63,22 +62,16 @@ def holdout_accuracy(rows: DataFrame, columns, share: float = 0.4, seed: int = 4
 
 
 def detect_webscans(flows: DataFrame, url_model: PipelineModel, forest: PipelineModel, owner: DataFrame | None = None,
-                    burst_seconds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Clean, build features, score: ``(scored, urls)``.
-
-    ``scored`` is the web-scan table with ``web_scan``, one row per pair with the first part of its malicious URLs, most
-    suspicious first; ``urls`` holds every part of the lists.
-    """
+                    burst_seconds: int = 1) -> DataFrame:
+    """Clean, build features, score: the web-scan table with ``web_scan`` and every malicious URL, most suspicious first."""
     cleaned = clean_webscan(flows, drop_single=False)
     malicious, urls = malicious_by(cleaned, url_model, PAIR)
-    urls = cut_lineage(urls, "urls")
-    table = webscan_features_with_urls(webscan_features(cleaned, owner, malicious, burst_seconds=burst_seconds), urls)
-    scored = L.score_webscan(table, forest, MODEL_COLUMNS)
-    return scored.orderBy(F.desc("web_scan"), F.desc("Sum_xss"), "src_ip", "dest_ip"), urls
+    table = webscan_features(cleaned, owner, malicious, burst_seconds=burst_seconds)
+    return scored_with_urls(L.score_webscan(table, forest, MODEL_COLUMNS), cut_lineage(urls, "urls"))
 
 
-def scored_in_parts(scored: DataFrame, urls: DataFrame) -> DataFrame:
+def scored_with_urls(scored: DataFrame, urls: DataFrame) -> DataFrame:
     """The scored table with every part of the URL lists, keyed by ``part``; ``web_scan`` stands on each part."""
-    table = scored.drop("Malics_urls", "Malics_counts", "url_parts").withColumn("_xss", F.col("Sum_xss"))
-    whole = webscan_features_in_parts(table, urls, each=("is_cloud", "web_scan", "_xss"))
+    table = scored.withColumn("_xss", F.col("Sum_xss"))
+    whole = webscan_features_with_urls(table, urls, each=("is_cloud", "web_scan", "_xss"))
     return whole.orderBy(F.desc("web_scan"), F.desc("_xss"), *PAIR, "part").drop("_xss")

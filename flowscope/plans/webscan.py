@@ -103,7 +103,7 @@ def webscan_features(
     ``flows`` need not be freed of single-flow sources: ``min_source_flows`` drops them after aggregation, which
     spares a join over all flows. URL and size columns describe the whole source (``scope='source'``) or the pair.
     ``malicious`` holds Sum_xss and Feq_xss per pair; they are null without it. Malics_urls stays null here, see
-    :func:`webscan_features_in_parts`.
+    :func:`webscan_features_with_urls`.
     """
     pair = ["src_ip", "dest_ip"]
     counts = cut_lineage(facet_counts(flows, burst_seconds, methods), "facets")
@@ -135,7 +135,7 @@ def webscan_features(
     return table.select(*WEBSCAN_COLUMNS, "is_cloud")
 
 
-def webscan_features_in_parts(table: DataFrame, urls: DataFrame, each: Sequence[str] = ("is_cloud",)) -> DataFrame:
+def webscan_features_with_urls(table: DataFrame, urls: DataFrame, each: Sequence[str] = ("is_cloud",)) -> DataFrame:
     """The table with every malicious URL of each pair and how often each was requested.
 
     ``urls`` comes from :func:`flowscope.operators.learning.malicious_urls`. There is one row per pair and ``part`` of
@@ -153,14 +153,6 @@ def webscan_features_in_parts(table: DataFrame, urls: DataFrame, each: Sequence[
         **{c: F.when(F.coalesce("part", F.lit(0)) == 0, F.col(c)) for c in once}})
 
 
-def webscan_features_with_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
-    """Part 0 of :func:`webscan_features_in_parts`, one row per pair.
-
-    It lacks the URLs of a list beyond its first part; ``url_parts`` above one tells so.
-    """
-    return webscan_features_in_parts(table, urls).filter("part = 0").drop("part")
-
-
 def training_features(flows: DataFrame, malicious: DataFrame | None = None, size: int = 20, seconds: int = 1,
                       dense: bool = True) -> DataFrame:
     """Features of fixed 20-row chunks of the cleaned log, for training; URL features look at GET only.

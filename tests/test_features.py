@@ -152,7 +152,7 @@ def test_entropy_bounds_and_vectors(flows):
     assert {(r.src_ip, p, n) for r in parts for p, n in r.peers.items()} == {(r.src_ip, p, n) for r in whole for p, n in r.peers.items()}
 
 
-def test_url_parts_keep_one_row_per_pair(spark, flows):
+def test_url_lists_have_one_row_per_pair_and_part(spark, flows):
     df = flows([flow(i, params=f"/bad{i}") for i in range(7)] + [flow(9, dest="198.51.100.2", params="/fine")])
     from flowscope.operators import learning as L
     from flowscope.plans.detection import malicious_by_rule
@@ -165,22 +165,22 @@ def test_url_parts_keep_one_row_per_pair(spark, flows):
     assert got["198.51.100.1"].Sum_xss == 7 and len(got["198.51.100.1"].Malics_urls) == 7 and got["198.51.100.1"].url_parts == 1
     assert got["198.51.100.2"].Feq_xss == 0 and got["198.51.100.2"].url_parts == 0
     short = L.malicious_urls(L.score_urls_by(df, rule, ["src_ip", "dest_ip"]), ["src_ip", "dest_ip"], list_rows=3)
-    parted = {r.dest_ip: r for r in webscan_features_with_urls(webscan_features(df, malicious=statistics), short).collect()}
-    assert len(parted) == 2 and parted["198.51.100.1"].url_parts == 3
+    parted = webscan_features_with_urls(webscan_features(df, malicious=statistics), short).collect()
+    assert sorted((r.dest_ip, r.part, r.url_parts) for r in parted) == [("198.51.100.1", k, 3) for k in range(3)] + [("198.51.100.2", 0, 0)]
 
 
 def test_url_parts_hold_every_url(spark, flows):
     from flowscope.operators import learning as L
-    from flowscope.plans.detection import malicious_by_rule, scored_in_parts
-    from flowscope.plans.webscan import webscan_features_in_parts
+    from flowscope.plans.detection import malicious_by_rule, scored_with_urls
+    from flowscope.plans.webscan import webscan_features_with_urls
 
     pair, rule = ["src_ip", "dest_ip"], F.contains("params", F.lit("bad"))
     df = flows([flow(i, params=f"/bad{i}") for i in range(7)] + [flow(9, dest="198.51.100.2", params="/fine")])
     statistics, _ = malicious_by_rule(df, rule, pair)
     lists = L.malicious_urls(L.score_urls_by(df, rule, pair), pair, list_rows=3)
     table = webscan_features(df, malicious=statistics)
-    scored = table.withColumns({"web_scan": F.lit(1), "Malics_counts": F.lit(None), "url_parts": F.lit(0)})
-    for got in (webscan_features_in_parts(table, lists).orderBy("dest_ip", "part").collect(), scored_in_parts(scored, lists).collect()):
+    scored = table.withColumn("web_scan", F.lit(1))
+    for got in (webscan_features_with_urls(table, lists).orderBy("dest_ip", "part").collect(), scored_with_urls(scored, lists).collect()):
         hot = [r for r in got if r.dest_ip == "198.51.100.1"]
         assert [u for r in hot for u in r.Malics_urls] == [f"/bad{i}" for i in range(7)]
         assert sum(sum(r.Malics_counts) for r in hot) == 7 and [r.Sum_xss for r in hot] == [7, None, None]
@@ -223,14 +223,15 @@ def test_batches_keep_names(spark):
 def test_domain_table_keeps_null_hosts_and_long_lists(flows):
     rows = [flow(i, src=f"192.0.2.{i}") for i in range(5)] + [flow(9, host=None, dest="198.51.100.7")]
     whole = domain_features_with_sources(flows(rows), list_rows=2).collect()
-    assert {(r.Hostname, r.Flows, r.source_parts, len(r.src_ip)) for r in whole} == {("www.example.com", 5, 3, 2), (None, 1, 1, 1)}
+    assert {(r.Hostname, r.Flows, r.source_parts, len(r.src_ip)) for r in whole} == {
+        ("www.example.com", 5, 3, 2), ("www.example.com", None, 3, 2), ("www.example.com", None, 3, 1), (None, 1, 1, 1)}
 
 
 def test_domain_parts_hold_every_source(flows):
-    from flowscope.plans.domain import domain_features_in_parts
+    from flowscope.plans.domain import domain_features_with_sources
 
     rows = [flow(i, src=f"192.0.2.{i}") for i in range(5)] + [flow(9, host=None, dest="198.51.100.7")]
-    whole = domain_features_in_parts(flows(rows), list_rows=2).collect()
+    whole = domain_features_with_sources(flows(rows), list_rows=2).collect()
     hot = sorted((r for r in whole if r.Hostname), key=lambda r: r.part)
     assert [s for r in hot for s in r.src_ip] == [f"192.0.2.{i}" for i in range(5)]
     assert [(r.part, r.Flows, r.source_parts) for r in hot] == [(0, 5, 3), (1, None, 3), (2, None, 3)]
