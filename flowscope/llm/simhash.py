@@ -70,16 +70,21 @@ def _fingerprints(texts: Texts, size: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(id, fp)`` per row, the fingerprint as a signed 64-bit number."""
+    """``(id, hash, fp)`` per row: a hash of the text and the fingerprint, as signed 64-bit numbers."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 fp = _fingerprints(Texts(piece.column("text"), lower=True), shingle, seed)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("hash"), pa.array(fp.view(np.int64))], ["id", "hash", "fp"])
             release_memory()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    named = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), _text_hash(text_col).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+    return named.mapInArrow(run, "id bigint, hash bigint, fp bigint")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`"))
 
 
 def block_length(blocks: int) -> int:
@@ -217,13 +222,18 @@ def near_duplicates(
     seed: int = SEED, tile: int = TILE,
 ) -> DataFrame:
     """``(id, fp, component_id)`` per row: the component is named by the smallest id that can be reached."""
+    return _grouped(docs, id_col, text_col, shingle, max_bits, seed, tile).select("id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """``(id, hash, fp, root, component_id)`` per row; ``root`` is a fingerprint of the component."""
     held = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = cut_lineage(held.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
     parts = connected_components(near_links(distinct, max_bits, tile)).select(F.col("id").alias("fp"), "root")
     named = distinct.join(parts, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.filter("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
-    names = named.join(lows, "root").select("fp", "component_id")
-    return held.join(names, "fp").select("id", "fp", "component_id")
+    names = named.join(lows, "root").select("fp", "root", "component_id")
+    return held.join(names, "fp").select("id", "hash", "fp", "root", "component_id")
 
 
 def hex_digits(fp: str) -> Column:
@@ -231,15 +241,18 @@ def hex_digits(fp: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, with the input columns: the one with the smallest id, and of repeated rows any one.
+    """One row of each component, with the input columns: the one with the smallest id, of equal ids by a hash of the text.
 
-    A row without an id stands behind all others, by a hash of its text, and stays if nothing else is like it.
+    A row is known by its id and the hash of its text, so unlike texts that share an id are judged each on its own: one of
+    each of their components stays. Of repeated rows any one stays. A row without an id stands behind all others, by the
+    hash of its text, and stays if nothing else is like it.
     """
-    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`")), 2)
-    rows = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), stand_in))
-    found = cut_lineage(near_duplicates(rows, "__id", text_col, shingle, max_bits).select("id", "component_id"), "components")
-    best = cut_lineage(found.filter("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    kept = rows.join(checked_broadcast(best.select("__id"), best.count(), ID_ROWS), "__id", "left_semi")
-    if not best.filter("__n > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id"])
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(_text_hash(text_col), 2)
+    rows = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), stand_in), "__hash": _text_hash(text_col)})
+    found = _grouped(rows, "__id", text_col, shingle, max_bits).groupBy("root").agg(
+        F.min(F.struct("id", "hash")).alias("first"), F.count(F.lit(1)).alias("n"))
+    best = cut_lineage(found.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), "n"), "kept")
+    kept = rows.join(checked_broadcast(best.select("__id", "__hash"), best.count(), ID_ROWS), ["__id", "__hash"], "left_semi")
+    if not best.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__id", "__hash"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

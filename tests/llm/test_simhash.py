@@ -108,6 +108,15 @@ def test_one_of_each(spark):
     assert 0 in ids and 8 not in ids and 9 not in ids
 
 
+def test_one_of_each_with_clashing_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    data = [(1, a), (1, b), (2, b), (3, c), (3, c), (3, d), (4, a), (5, c), (2, d)]
+    docs = spark.createDataFrame([(*r, None, None, None, "x", 1) for r in data], SCHEMA)
+    kept = sorted((r.doc_id, r.text) for r in S.one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (3, c), (2, d)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(docs).count() == 0
