@@ -6,13 +6,14 @@ holds (presence, not number) and a few shares of the whole text. Fitting maximis
 batches; thresholds are kept in order by fitting the logarithms of their gaps. Words in fewer than ``MIN_TEXTS`` texts
 of the sample get no weight.
 
-The model is fitted on the driver on at most ``max_sample`` rated rows, drawn by a hash of the id; what the driver sees
-are hashes, not texts. It is a table of ``2^BITS`` weights, whose size does not depend on the data, and is sent to the
+The model is fitted on the driver on at most ``max_sample`` rated rows, drawn by a hash of id and text; what the driver
+sees are hashes of their distinct words, not texts. It is a table of ``2^BITS`` weights, whose size does not depend on the data, and is sent to the
 tasks with the scoring function, which reads whole texts.
 
 Defined cases: a null text has no words and is scored by the constant part; rows without a rating are scored but not
-fitted on; a rating that occurs with several rows of an id counts once for each; without any rated row the model predicts
-the middle; repeated rows are scored alike; an empty table gives an empty table; other columns are ignored.
+fitted on; different texts of an id count once each, repeated rows and repeated ratings once; without any rated row the
+model predicts the middle; a tail probability equal to the threshold is selected; a very long text is one piece of work;
+repeated rows are scored alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,10 +123,17 @@ def fit(grades: np.ndarray, places: list[np.ndarray], shares: np.ndarray, n_grad
 
 
 def rated_features(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, max_sample: int) -> DataFrame:
-    """``(grade, places, shares)`` of at most ``max_sample`` rated rows, drawn by a hash of the id."""
+    """``(id, grade, places, shares)`` of at most ``max_sample`` rated rows, drawn by a hash of id and text.
+
+    Equal rows of an id with the same grade count once, so that a draw is the same each time.
+    """
     drawn = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
-    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(max_sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(checked_broadcast(drawn, max_sample), "id")
+    drawn = drawn.distinct().orderBy(F.xxhash64("id"), "id", "grade").limit(max_sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
+    rated = texts.select("id", "hash").join(checked_broadcast(drawn, max_sample), "id").distinct()
+    rows = rated.orderBy(F.xxhash64("hash", "grade"), "hash", "id", "grade").limit(max_sample)
+    found = texts.join(checked_broadcast(rows.select("id", "hash").distinct(), max_sample), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    texts = found.join(checked_broadcast(rows, max_sample), ["id", "hash"])
 
     def run(batches):
         for batch in batches:
@@ -134,16 +142,16 @@ def rated_features(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: s
                 cut = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(place.astype(np.int32)))
                 dense = pa.ListArray.from_arrays(pa.array((np.arange(piece.num_rows + 1) * SHARES).astype(np.int32)), pa.array(shares.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("grade"), lists, dense], ["id", "grade", "places", "shares"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("hash"), piece.column("grade"), lists, dense], ["id", "hash", "grade", "places", "shares"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "grade", "text").mapInArrow(run, f"id {kind}, grade int, places array<int>, shares array<double>")
+    return texts.select("id", "hash", "grade", "text").mapInArrow(run, f"id {kind}, hash bigint, grade int, places array<int>, shares array<double>")
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
           max_sample: int = MAX_SAMPLE) -> OrdinalModel:
-    held = rated_features(docs, ratings, id_col, text_col, grade_col, max_sample).limit(2 * max_sample).toArrow()
-    held = held.sort_by([("id", "ascending"), ("grade", "ascending")])
+    held = rated_features(docs, ratings, id_col, text_col, grade_col, max_sample).toArrow()
+    held = held.sort_by([("hash", "ascending"), ("id", "ascending"), ("grade", "ascending")])
     places = [np.asarray(x, np.int64) for x in held.column("places").to_pylist()]
     shares = np.array(held.column("shares").to_pylist(), np.float64).reshape(-1, SHARES)
     return fit(np.asarray(held.column("grade").to_pylist(), np.int64), places, shares, n_grades)
