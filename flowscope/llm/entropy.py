@@ -146,10 +146,11 @@ def _scored(chunk_table: pa.Table, told: pa.Table, ranges: int, types: int, toke
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU,
-                             background: str = "drawn") -> DataFrame:
+                             background: str = "all") -> DataFrame:
     """``(id, n_words, loss_target, loss_background, difference)`` per row; ``target`` marks the target documents.
 
-    ``background`` is ``"all"`` for counts over all documents or ``"drawn"`` for a draw of the size of the target.
+    ``background`` is ``"all"`` for counts over all documents. ``"drawn"`` counts a draw of the size of the target only and
+    leaves out the rest.
     """
     if background == "all":
         counted = F.lit(True)
