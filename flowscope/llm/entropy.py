@@ -19,8 +19,8 @@ table of counts is ever held in one place, no pair is cut off, and a frequent wo
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, held as 64-bit hashes, of which a range compares 40 bits.
 Defined cases: a document without words (a null text among them) has no loss and null scores; a null id is scored like
-any other; repeated rows are scored and counted one by one; without target documents the
-target model is flat and the background is not scaled; an empty table gives an empty table; other columns are ignored.
+any other; repeated rows are scored once, counted with their number and all get the score; a very long text is one chunk;
+without target documents the target model is flat and the background is not scaled; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ TOLD = pa.schema([
     ("types", pa.int64()), ("n_target", pa.int64()), ("n_background", pa.int64())])
 TOLD_DDL = "chunk int, part int, target binary, background binary, types bigint, n_target bigint, n_background bigint"
 SCORES = pa.schema([
-    ("id", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
-SCORES_DDL = "id bigint, n_words bigint, loss_target double, loss_background double"
+    ("id", pa.int64()), ("hash", pa.int64()), ("copies", pa.int64()), ("n_words", pa.int64()), ("loss_target", pa.float64()),
+    ("loss_background", pa.float64())])
+SCORES_DDL = "id bigint, hash bigint, copies bigint, n_words bigint, loss_target double, loss_background double"
 
 
 def _counts(values: np.ndarray) -> bytes:
@@ -80,7 +81,7 @@ def _asked(chunk_table: pa.Table, ranges: int) -> pa.Table:
     first = packed.runs(keys)
     counts = []
     for role in ("target", "background"):
-        flag = chunk_table.column(role).to_numpy().astype(np.int64)
+        flag = chunk_table.column(role).to_numpy().astype(np.int64) * chunk_table.column("copies").to_numpy()
         counts.append(np.add.reduceat(flag[owner], first) if len(first) else np.empty(0, np.int64))
     keys = keys[first]
     chunk = chunk_table.column("chunk")[0].as_py()
@@ -131,7 +132,7 @@ def _scored(chunk_table: pa.Table, told: pa.Table, ranges: int, types: int, toke
     told = told.sort_by("part")
     owner = texts.text_of_word()
     second = np.flatnonzero(valid) + 1
-    columns = [chunk_table.column("id").combine_chunks(), pa.array(texts.n_words)]
+    columns = [*[chunk_table.column(c).combine_chunks() for c in ("id", "hash", "copies")], pa.array(texts.n_words)]
     for role, n, scale in zip(("target", "background"), tokens, scales):
         blobs = told.column(role).to_pylist()
         counts = np.concatenate([_uncounts(b) for b in blobs]) if blobs else np.empty(0, np.int64)
@@ -162,8 +163,8 @@ def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc
     else:
         raise ValueError(f"unknown background {background!r}")
     roles = {"target": F.coalesce(target, F.lit(False)), "background": counted}
-    chunks, ranges = packed.chunked(docs, id_col, text_col, roles)
-    whole = chunks.groupBy("chunk")
+    corpus = packed.Corpus(docs, id_col, text_col, roles)
+    ranges, whole = corpus.ranges, corpus.chunks.groupBy("chunk")
     asked = whole.applyInArrow(lambda t: _asked(t, ranges), ASKED_DDL)
     told = cut_lineage(asked.groupBy("part").applyInArrow(_told, TOLD_DDL), "counts")
     types, n_target, n_background = (x or 0 for x in told.agg(F.sum("types"), F.sum("n_target"), F.sum("n_background")).first())
@@ -172,4 +173,4 @@ def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc
     answers = told.select("chunk", "part", "target", "background").groupBy("chunk")
     scored = whole.cogroup(answers).applyInArrow(
         lambda t, a: _scored(t, a, ranges, types, (n_target, n_background), mu, scales), SCORES_DDL)
-    return scored.withColumn("difference", F.col("loss_target") - F.col("loss_background"))
+    return corpus.given_back(scored).withColumn("difference", F.col("loss_target") - F.col("loss_background"))

@@ -12,7 +12,8 @@ document of the chunk. No pairs of documents are formed, so a passage shared by
 per chunk.
 
 Defined cases: a null or short text has no window and keeps all its words; a null id counts as larger than all others;
-rows with equal ids never remove each other's words; an empty table gives an empty table; other columns are ignored.
+rows with equal ids never remove each other's words; repeated rows are worked on once and all get the result; a very long
+text is one chunk; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ ASKED = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.bina
 FOUND = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
 ASKED_DDL = "chunk int, part int, keys binary, checks binary, ids binary"
 FOUND_DDL = "chunk int, part int, keys binary"
-SPANS_DDL = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<struct<first:int,words:int>>, kept string"
+SPANS_DDL = "id bigint, hash bigint, copies bigint, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<struct<first:int,words:int>>, kept string"
 SPANS = pa.schema([
-    ("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
+    ("id", pa.int64()), ("hash", pa.int64()), ("copies", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
     ("repeats", pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), ("kept", pa.string()),
 ])
 
@@ -174,7 +175,7 @@ def _removed(chunk_table: pa.Table, found: pa.Table, window: int, with_texts: bo
     n_removed = texts.words_per_text(gone)
     digests, repeats, kept = _describe(texts, gone, n_removed, with_texts)
     return pa.Table.from_arrays(
-        [chunk_table.column("id").combine_chunks(), pa.array(texts.n_words), pa.array(n_removed), pa.array(digests, pa.string()),
+        [*[chunk_table.column(c).combine_chunks() for c in ("id", "hash", "copies")], pa.array(texts.n_words), pa.array(n_removed), pa.array(digests, pa.string()),
          pa.array(repeats, SPANS.field("repeats").type), pa.array(kept, pa.string())], schema=SPANS)
 
 
@@ -219,11 +220,12 @@ def remove_repeats(
     ``repeats`` lists the maximal removed runs of words; it and ``kept`` are null without ``with_texts``.
     """
     block = (window + 1) // 2
-    chunks, ranges = packed.chunked(docs, id_col, text_col)
-    whole = chunks.groupBy("chunk")
+    corpus = packed.Corpus(docs, id_col, text_col)
+    ranges, whole = corpus.ranges, corpus.chunks.groupBy("chunk")
     probes = whole.applyInArrow(lambda t: _probes(t, block, ranges), ASKED_DDL)
     anchored = probes.select("chunk", "part", "keys").groupBy("part").applyInArrow(_anchored, FOUND_DDL)
     windows = whole.cogroup(anchored.groupBy("chunk")).applyInArrow(
         lambda t, f: _extended(t, f, window, block, ranges), ASKED_DDL)
     earlier = cut_lineage(windows.groupBy("part").applyInArrow(_earlier, FOUND_DDL), "repeats")
-    return whole.cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, f: _removed(t, f, window, with_texts), SPANS_DDL)
+    left = whole.cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, f: _removed(t, f, window, with_texts), SPANS_DDL)
+    return corpus.given_back(left)

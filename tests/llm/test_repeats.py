@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowscope.llm import packed
 from flowscope.llm.repeats import remove_repeats
@@ -43,6 +44,19 @@ def test_against_brute_force(spark, monkeypatch, window):
         assert sum(x["words"] for x in r.repeats) == r.n_removed
 
 
+def test_many_equal_rows_make_no_large_chunk(spark, monkeypatch):
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 4000)
+    text, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    docs = spark.range(20_000).selectExpr("7L AS doc_id", f"'{text}' AS text").unionByName(
+        spark.createDataFrame([(i, f"{other} {text} c{i}") for i in range(5)] + [(None, text)] * 30 + [(7, other)] * 3, "doc_id bigint, text string"))
+    corpus = packed.Corpus(docs, "doc_id", "text")
+    sizes = corpus.chunks.selectExpr("chunk", "octet_length(text) AS n", "copies").groupBy("chunk").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 4000 and corpus.chunks.agg(F.sum("copies")).first()[0] == docs.count()
+    got = remove_repeats(docs, with_texts=False).groupBy("id", "n_words", "n_removed").count().collect()
+    assert {(r.id, r.n_words, r.n_removed): r["count"] for r in got} == {
+        (7, 40, 40): 20_003, (None, 40, 40): 30, (0, 81, 0): 1, **{(i, 81, 80): 1 for i in range(1, 5)}}
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
