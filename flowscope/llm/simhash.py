@@ -249,9 +249,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     stand_in = F.lit(1 << 62) + F.shiftrightunsigned(_text_hash(text_col), 2)
     rows = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), stand_in), "__hash": _text_hash(text_col)})
-    found = _grouped(rows, "__id", text_col, shingle, max_bits).groupBy("root").agg(
-        F.min(F.struct("id", "hash")).alias("first"), F.count(F.lit(1)).alias("n"))
-    best = cut_lineage(found.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), "n"), "kept")
+    found = _grouped(rows, "__id", text_col, shingle, max_bits).groupBy("root", "id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("root").agg(F.min(F.struct("id", "hash", "n")).alias("first"))
+    best = cut_lineage(found.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("first.n").alias("n")), "kept")
     kept = rows.join(checked_broadcast(best.select("__id", "__hash"), best.count(), ID_ROWS), ["__id", "__hash"], "left_semi")
     if not best.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["__id", "__hash"])
