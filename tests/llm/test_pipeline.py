@@ -29,7 +29,7 @@ def test_query_against_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
