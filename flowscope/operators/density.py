@@ -21,9 +21,31 @@ def density_key(rho) -> Column:
     return F.format_string("%.10e", F.col(rho)).cast("double")
 
 
-def local_density(points: DataFrame, dc: float, kernel: str = "gaussian", block_rows: int = 1024) -> DataFrame:
-    """``(id, rho)`` of distinct weighted points: sum of exp(-(d/dc)^2), or the number of points nearer than dc."""
-    radius = dc * KERNEL_REACH if kernel == "gaussian" else dc
+def kernel_reach(weight: float, error: float) -> float:
+    """Distance in units of dc beyond which points of total weight ``weight`` add at most ``error`` to a density.
+
+    Each adds less than exp(-r^2), so r^2 = ln(weight / error) is enough; without an allowed error the kernel has to be
+    zero in double precision.
+    """
+    if error <= 0:
+        return KERNEL_REACH
+    return min(KERNEL_REACH, math.sqrt(max(0.0, math.log(max(weight, 1.0) / error))))
+
+
+def local_density(
+    points: DataFrame, dc: float, kernel: str = "gaussian", block_rows: int = 1024, error: float = 0.0
+) -> DataFrame:
+    """``(id, rho)`` of distinct weighted points: sum of exp(-(d/dc)^2), or the number of points nearer than dc.
+
+    With an ``error`` the Gaussian sums leave out points so far away that they add at most that much to a density, all
+    of them together: densities are then at most ``error`` too small, never too large. The reach is 27.3 dc for 0 and
+    6.5 dc for 1e-6 and 10^12 points. Points with less density than ``error`` may come to have equal densities.
+    """
+    if kernel == "gaussian":
+        weight = points.agg(F.sum("weight")).first()[0] or 1 if error > 0 else 1
+        radius = dc * kernel_reach(weight, error)
+    else:
+        radius = dc
 
     def partial(tile: Tile) -> dict:
         if kernel == "gaussian":
@@ -110,15 +132,18 @@ def _with_top(rho: DataFrame, nearest: DataFrame, ceiling: float | None = None)
     return rho.join(nearest, "id", "left").select("id", "rho", F.coalesce("delta", F.lit(fill)).alias("delta"), "nneigh")
 
 
-def density_peaks(points: DataFrame, percent: float = 2.0, dc: float | None = None, block_rows: int = 1024) -> DataFrame:
+def density_peaks(
+    points: DataFrame, percent: float = 2.0, dc: float | None = None, block_rows: int = 1024, error: float = 0.0
+) -> DataFrame:
     """``(id, rho, delta, nneigh)`` of all points ``(id, features)``.
 
     Copies of a vector are counted as weights. The first copy stands for all; the others follow it at distance 0.
+    Densities are at most ``error`` too small, see :func:`local_density`.
     """
     unique = cut_lineage(distinct_points(points), "distinct")
     if dc is None:
         dc = cutoff_distance(unique, percent, block_rows)
-    rho = cut_lineage(local_density(unique, dc, block_rows=block_rows), "rho")
+    rho = cut_lineage(local_density(unique, dc, block_rows=block_rows, error=error), "rho")
     scores = _with_top(rho, cut_lineage(nearest_denser(unique, rho, block_rows), "denser"))
     members = copies_of(points, unique)
     spread = salted_join(members, scores.withColumnRenamed("id", "point"), "point", "id", "inner")

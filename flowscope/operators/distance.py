@@ -33,8 +33,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", "d").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
-def block_neighbours(tiles: Tiles) -> DataFrame:
-    """The nearest other point of each point inside its own block: true pairs, though not always the nearest."""
+def block_neighbours(tiles: Tiles, every: bool = False) -> DataFrame:
+    """The nearest other point of each point inside its own block (or ``every`` other): true pairs, not always the nearest."""
 
     def nearest(tile: Tile) -> dict | None:
         d = tile.d.copy()
@@ -43,10 +43,9 @@ def block_neighbours(tiles: Tiles) -> DataFrame:
             return None
         ids, _ = tile.column("id")
         w, _ = tile.column("weight")
-        j = d.argmin(axis=1)
-        i = np.arange(len(d))
-        low, high = np.minimum(ids, ids[j]), np.maximum(ids, ids[j])
-        return {"i": low, "j": high, "d": d[i, j], "w": w * w[j]}
+        i, j = np.triu_indices(len(d), 1) if every else (np.arange(len(d)), d.argmin(axis=1))
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return {"i": low, "j": high, "d": d[i, j], "w": w[i] * w[j]}
 
     return tiles.map(nearest, "i bigint, j bigint, d double, w bigint", own_block=True).distinct()
 
@@ -55,12 +54,16 @@ def cutoff_distance(points: DataFrame, percent: float = 2.0, block_rows: int = 1
     """The k-th smallest positive distance with k = round(N * percent / 100) over N points (0-based).
 
     ``points`` are distinct and weighted by their copies. Neighbours inside blocks are true pairs, so their k-th
-    smallest distance bounds the wanted one; only the pairs within that bound are then listed.
+    smallest distance bounds the wanted one; only the pairs within that bound are then listed. If there are not
+    enough nearest neighbours, all pairs inside blocks give the bound; a rank beyond those too, that is above about half
+    of ``block_rows`` times the number of points, lists every pair.
     """
     n = points.agg(F.sum("weight")).first()[0]
     k = round(n * percent / 100)
-    near = cut_lineage(block_neighbours(Tiles(points, 0.0, block_rows)), "neighbours")
-    bound = kth_smallest(near, "d", k, "w")
+    tiles = Tiles(points, 0.0, block_rows)
+    bound = kth_smallest(cut_lineage(block_neighbours(tiles), "neighbours"), "d", k, "w")
+    if bound is None:
+        bound = kth_smallest(cut_lineage(block_neighbours(tiles, every=True), "neighbours"), "d", k, "w")
     radius = float("inf") if bound is None else bound
 
     def pairs(tile: Tile) -> dict:

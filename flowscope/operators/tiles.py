@@ -4,6 +4,11 @@ Points are assigned to their nearest pivot. A point also visits a cell of lower
 radius of the plane which separates both pivots; every pair within the radius then meets in exactly one cell, and
 pairs of distant cells are never formed. Cells are cut into blocks, and one task sees two blocks at a time, however
 full a cell is. What a task returns is an aggregate (counts, sums, a spanning forest), never all pairs of its tile.
+
+Cells with more than ``cell_rows`` points of their own are split again by pivots of their own, level by level, so the
+number of cells grows with the points. The pivots of a level are a table. Points at home in a split cell go on as at
+the first level; a visitor goes on to every part its ball meets, so a pair still meets where its paths divide, once.
+A cell whose points are all alike cannot be split and is only cut into blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +24,12 @@ from pyspark.sql import functions as F
 
 from flowscope.operators.scale import cut_lineage, salted_join
 
+#: Pivots of the first level, the only ones the driver sees.
 MAX_PIVOTS = 1024
+#: Pivots by which a crowded cell is split at each further level.
+FANOUT = 32
 PLACE_ROWS = 1024
+CHUNK_ROWS = 4096
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -78,16 +87,50 @@ class Tile:
         return tuple(np.asarray(t.column(name).to_pylist()) for t in (self.left, self.right))
 
 
-class Tiles:
-    """Points ``(id, features, ...)`` laid out for pairwise work within ``radius``."""
+def visits(points: np.ndarray, pivots: np.ndarray, reach: float, at_home: np.ndarray, all_cells: bool):
+    """``(row, cell, home)`` of every cell each point belongs to or visits.
+
+    A point at home goes to its nearest pivot and visits the cells in reach, of lower number or all of them; one that
+    is a visitor already visits all cells in reach, the nearest included.
+    """
+    apart = distances(pivots, pivots)
+    np.fill_diagonal(apart, 1.0)
+    d = distances(points, pivots)
+    home, row, cell = d.argmin(axis=1), np.arange(len(d)), np.arange(len(pivots))[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        margin = (d**2 - (d[row, home] ** 2)[:, None]) / (2.0 * apart[home])
+    visit = margin <= reach * (1 + 1e-9) + 1e-9
+    visit &= (cell != home[:, None]) if all_cells else (cell < home[:, None]) | ~at_home[:, None]
+    visit[row, home] = True
+    rows, cells = np.nonzero(visit)
+    return rows, cells, at_home[rows] & (cells == home[rows])
+
+
+def _copied(table: pa.Table | pa.RecordBatch, rows: np.ndarray, cells: list[str], home: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    taken = table.select(names).take(pa.array(rows))
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.string()), pa.array(home)], [*names, "cell", "home"])
+
 
-    def __init__(self, points: DataFrame, radius: float = math.inf, block_rows: int = 1024):
-        self.radius, self.block_rows, self.points = float(radius), block_rows, points
+class Tiles:
+    """Points ``(id, features, ...)`` laid out for pairwise work within ``radius``.
+
+    ``cell_rows`` bounds the points at home in a cell (8 blocks if not given) and ``first`` the pivots of the first
+    level; neither changes a result.
+    """
+
+    def __init__(
+        self, points: DataFrame, radius: float = math.inf, block_rows: int = 1024, cell_rows: int | None = None,
+        first: int = MAX_PIVOTS, fanout: int = FANOUT,
+    ):
+        self.radius, self.block_rows, self.points, self.fanout = float(radius), block_rows, points, fanout
+        self.cell_rows = cell_rows or 8 * block_rows
         count = points.count()
-        wanted = max(1, min(MAX_PIVOTS, math.ceil(count / block_rows)))
+        wanted = max(1, min(first, MAX_PIVOTS, math.ceil(count / block_rows)))
         chosen = points.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
         self.pivots = np.array([r["features"] for r in chosen], dtype=np.float64)
-        self.placed = cut_lineage(self._place(points), "cells")
+        self.levels: list[DataFrame] = []
+        self.placed = self._split(cut_lineage(self._first_level(points, self.radius, False), "cells"))
         self.sizes = (
             self.placed.groupBy("cell")
             .agg(F.count_if("home").alias("_homes"), F.count_if(~F.col("home")).alias("_guests"))
@@ -98,51 +141,107 @@ class Tiles:
             )
         )
 
-    def _place(self, points: DataFrame, radius: float | None = None, all_cells: bool = False) -> DataFrame:
-        """Rows at their home cell and at the cells in reach: those of lower number, or all of them."""
-        pivots, reach = self.pivots, self.radius if radius is None else radius
-        apart = distances(pivots, pivots)
-        np.fill_diagonal(apart, 1.0)
+    def _first_level(self, points: DataFrame, reach: float, all_cells: bool) -> DataFrame:
+        """Rows at their home cell and at the cells in reach."""
+        pivots, names = self.pivots, points.columns
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
-                    d = distances(matrix(batch), pivots)
-                    home = d.argmin(axis=1)
-                    row = np.arange(len(d))
-                    margin = (d**2 - (d[row, home] ** 2)[:, None]) / (2.0 * apart[home])
-                    visit = margin <= reach * (1 + 1e-9) + 1e-9
-                    cell = np.arange(len(pivots))[None, :]
-                    visit &= (cell != home[:, None]) if all_cells else (cell < home[:, None])
-                    rows, cells = np.nonzero(visit)
-                    take = np.concatenate([row, rows])
-                    cell = np.concatenate([home, cells]).astype(np.int32)
-                    at_home = np.concatenate([np.ones(len(row), bool), np.zeros(len(rows), bool)])
-                    copied = batch.take(pa.array(take))
-                    yield pa.RecordBatch.from_arrays(
-                        [*copied.columns, pa.array(cell), pa.array(at_home)], [*batch.schema.names, "cell", "home"]
-                    )
-
-        schema = ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cell int, home boolean"
-        return points.mapInArrow(place, schema)
+                    rows, cells, home = visits(matrix(batch), pivots, reach, np.ones(batch.num_rows, bool), all_cells)
+                    yield _copied(batch, rows, [str(c) for c in cells], home, names)
+
+        return points.mapInArrow(place, _placed_schema(points))
+
+    def _split(self, placed: DataFrame) -> DataFrame:
+        """Split crowded cells until none is left that has two different points."""
+        settled = []
+        while True:
+            homes = placed.filter("home")
+            crowded = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.cell_rows)
+            crowded = cut_lineage(crowded, "crowded")
+            if crowded.isEmpty():
+                break
+            inside = salted_join(homes, crowded, "cell", "id", "inner")
+            # equal vectors share a bucket, so pivots differ
+            bucket = F.pmod(F.xxhash64("features", F.lit(len(self.levels))), F.lit(self.fanout))
+            drawn = F.struct(F.xxhash64("features"), "features")
+            picked = inside.groupBy("cell", bucket.alias("_bucket")).agg(F.min(drawn)["features"].alias("_pivot"))
+            pivots = picked.groupBy("cell").agg(F.sort_array(F.collect_list("_pivot")).alias("_pivots"))
+            pivots = cut_lineage(pivots.filter(F.size("_pivots") > 1), "pivots")
+            if pivots.isEmpty():
+                break
+            self.levels.append(pivots)
+            settled.append(cut_lineage(salted_join(placed, pivots.select("cell"), "cell", "id", "left_anti"), "settled"))
+            placed = cut_lineage(self._descend(placed, pivots, self.radius, False), "cells")
+        for part in settled:
+            placed = placed.unionByName(part)
+        return placed
+
+    def _descend(self, placed: DataFrame, pivots: DataFrame, reach: float, all_cells: bool) -> DataFrame:
+        """The rows of split cells at the parts of these; the rows of other cells are left out.
+
+        Rows of a cell are dealt into chunks, each of which meets one copy of the cell's pivots.
+        """
+        names = [c for c in placed.columns if c not in ("cell", "home")]
+        counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("_chunks"))
+        cut = cut_lineage(pivots.join(counts, "cell"), "chunks")
+        chunk = F.pmod(F.xxhash64("id", F.lit(11)), F.col("_chunks")).cast("int")
+        moving = salted_join(placed, cut.select("cell", "_chunks"), "cell", "id", "inner")
+        moving = moving.select(*names, "home", F.col("cell").alias("_cell"), chunk.alias("_chunk"))
+        copies = cut.select(
+            F.col("cell").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_pivots"
+        )
+
+        def place(rows: pa.Table, split: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return pa.Table.from_batches([_copied(rows, np.zeros(0, int), [], np.zeros(0, bool), names)])
+            prefix = rows.column("_cell")[0].as_py()
+            centres = np.array(split.column("_pivots")[0].as_py(), dtype=np.float64)
+            out = []
+            for part in (rows.slice(i, PLACE_ROWS) for i in range(0, rows.num_rows, PLACE_ROWS)):
+                home = part.column("home").to_numpy(zero_copy_only=False).astype(bool)
+                row, cells, home = visits(matrix(part), centres, reach, home, all_cells)
+                out.append(_copied(part, row, [f"{prefix}/{c}" for c in cells], home, names))
+            return pa.Table.from_batches(out)
+
+        both = moving.groupBy("_cell", "_chunk").cogroup(copies.groupBy("_cell", "_chunk"))
+        return both.applyInArrow(place, _placed_schema(placed.select(*names)))
+
+    def _place(self, points: DataFrame, radius: float) -> DataFrame:
+        """Rows at every final cell within ``radius``."""
+        placed = self._first_level(points, radius, True)
+        settled = []
+        for pivots in self.levels:
+            placed = cut_lineage(placed, "asked")
+            settled.append(salted_join(placed, pivots.select("cell"), "cell", "id", "left_anti"))
+            placed = self._descend(placed, pivots, radius, True)
+        for part in settled:
+            placed = placed.unionByName(part)
+        return placed
+
+    def _sized(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Rows with the sizes of their cell. Without further levels there are at most MAX_PIVOTS cells."""
+        if not self.levels:
+            return rows.join(F.broadcast(sizes), "cell")
+        return salted_join(rows, sizes, "cell", "id", "inner")
 
     def probe(self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame) -> DataFrame:
         """Apply ``fn`` to tiles of ``asking`` points (left) and all points of a cell (right) within ``radius``.
 
         Only the asking points visit other cells; ``extra`` adds columns by ``id`` to both sides.
         """
-        asked = self._place(asking, radius, all_cells=True).drop("home")
+        asked = self._place(asking, radius).drop("home")
         homes = self.placed.filter("home").drop("home").join(extra, "id")
         left = asked.join(extra, "id")
         rows = left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block_rows)).cast("int").alias("_ab"))
-        # both at most MAX_PIVOTS rows
-        sizes = F.broadcast(self.sizes.join(rows, "cell").select("cell", "_hb", "_ab"))
+        sizes = self.sizes.join(rows, "cell").select("cell", "_hb", "_ab")
 
         def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
             mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own)).cast("int").alias("a" if side == 0 else "b")
             every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("b" if side == 0 else "a")
             columns = [c for c in df.columns if c != "cell"]
-            dealt = df.join(sizes, "cell").filter((F.col("_hb") > 0) & (F.col("_ab") > 0))
+            dealt = self._sized(df, sizes).filter((F.col("_hb") > 0) & (F.col("_ab") > 0))
             return dealt.select("cell", mine, every, F.lit(side).alias("side"), *columns).select("cell", "a", "b", "side", *columns)
 
         names = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -163,8 +262,7 @@ class Tiles:
         """
         placed = self.placed if extra is None else self.placed.join(extra, "id")
         blocks = F.when(F.col("home"), F.col("_hb")).otherwise(F.col("_gb"))
-        # at most MAX_PIVOTS rows
-        rows = placed.join(F.broadcast(self.sizes), "cell").withColumn(
+        rows = self._sized(placed, self.sizes).withColumn(
             "_b", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
         )
         columns = [c for c in placed.columns if c not in ("home", "cell")]
@@ -204,6 +302,10 @@ class Tiles:
         return spread.groupBy("cell", "kind", "a", "b").applyInArrow(run, schema)
 
 
+def _placed_schema(points: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", cell string, home boolean"
+
+
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
 

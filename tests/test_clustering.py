@@ -170,3 +170,90 @@ def test_outliers(spark):
     for r in rows[:40]:
         d = np.sqrt(((centres - x[r.id]) ** 2).sum(1))
         assert r.score == pytest.approx(d.min() if d.argmin() in model.large else d[model.large].min())
+
+
+def tree_of(points, radius):
+    """Tiles with several levels of pivots, also for few points."""
+    return Tiles(points, radius, block_rows=16, cell_rows=24, first=3, fanout=3)
+
+
+@pytest.mark.parametrize("radius", [0.3, float("inf")])
+def test_every_pair_meets_once_in_a_deep_tree(points, cloud, radius):
+    unique = distinct_points(points).cache()
+    tiles = tree_of(unique, radius)
+    assert len(tiles.levels) >= 2
+
+    def pairs(tile):
+        rows, cols = np.nonzero(tile.within(radius))
+        left, right = tile.column("id")
+        return {"i": np.minimum(left[rows], right[cols]), "j": np.maximum(left[rows], right[cols])}
+
+    got = [(r.i, r.j) for r in tiles.map(pairs, "i bigint, j bigint").collect()]
+    ids = sorted(r.id for r in unique.collect())
+    d = matrix(cloud)
+    want = {(i, j) for i in ids for j in ids if i < j and d[i, j] <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+    homes = tiles.placed.filter("home")
+    assert homes.count() == homes.select("id").distinct().count() == len(ids)
+    assert max(r["count"] for r in homes.groupBy("cell").count().collect()) <= 24
+
+
+def test_asking_points_meet_all_in_reach_in_a_deep_tree(points, cloud):
+    unique = distinct_points(points).cache()
+    tiles = tree_of(unique, 0.0)
+
+    def near(tile):
+        rows, cols = np.nonzero(tile.d <= 0.5)
+        return {"i": tile.column("id")[0][rows], "j": tile.column("id")[1][cols]}
+
+    asking = unique.filter("id % 3 = 0")
+    got = [(r.i, r.j) for r in tiles.probe(asking, 0.5, near, "i bigint, j bigint", unique.select("id", F.lit(1).alias("one"))).collect()]
+    ids = sorted(r.id for r in unique.collect())
+    d = matrix(cloud)
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in ids for j in ids if i % 3 == 0 and d[i, j] <= 0.5}
+
+
+def test_equal_points_end_the_tree(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(80)] + [(99, [5.0, 5.0])], "id bigint, features array<double>")
+    tiles = tree_of(same, 0.1)
+    assert sum(r.n for r in tiles.map(lambda t: {"n": [int(t.within(0.1).sum())]}, "n bigint").collect()) == 80 * 79 // 2
+    empty = tree_of(same.limit(0), 0.1)
+    assert empty.map(lambda t: {"n": [1]}, "n bigint").count() == 0
+
+
+def test_visits_grow_with_the_points(spark):
+    def grid(n):
+        rng = np.random.default_rng(1)
+        x = rng.uniform(0, n**0.5, (n, 2))
+        return spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, features array<double>")
+
+    def work(n):
+        tiles = Tiles(grid(n), 0.5, block_rows=32, cell_rows=64, first=4, fanout=8)
+        homes = tiles.placed.filter("home").groupBy("cell").count()
+        tasks = tiles.map(lambda t: {"n": [1]}, "n bigint").count()
+        assert homes.agg(F.max("count")).first()[0] <= 64
+        return tiles.placed.count() / n, tasks / n
+
+    (few_visits, few_tiles), (many_visits, many_tiles) = work(600), work(6000)
+    assert many_visits < 1.5 * few_visits and many_tiles < 1.5 * few_tiles
+
+
+def test_densities_within_an_error(points, cloud):
+    unique = distinct_points(points).cache()
+    dc = 0.05
+    exact = {r.id: r.rho for r in density.local_density(unique, dc, block_rows=32).collect()}
+    assert density.kernel_reach(1e12, 1e-6) < 6.5 < density.kernel_reach(1e12, 0.0) == density.KERNEL_REACH
+    for error in (1e-9, 0.01):
+        got = {r.id: r.rho for r in density.local_density(unique, dc, block_rows=32, error=error).collect()}
+        assert got.keys() == exact.keys()
+        assert all(-1e-9 <= exact[k] - got[k] <= error + 1e-9 * exact[k] for k in exact)
+
+
+def test_cutoff_beyond_the_nearest_neighbours(points, cloud):
+    unique = distinct_points(points).cache()
+    d = matrix(cloud)
+    upper = np.sort(d[np.triu_indices(len(d), 1)])
+    positive = upper[upper > 0]
+    for percent in (120.0, 900.0):
+        assert distance.cutoff_distance(unique, percent, 16) == pytest.approx(positive[round(len(cloud) * percent / 100)])
