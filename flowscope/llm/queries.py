@@ -48,44 +48,76 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quoting(messages: DataFrame) -> DataFrame:
-    """Messages as in a mail exchange: each quotes the one before it, and in that the one before."""
+    """Messages as in a mail exchange, in three styles which change with conversation and turn.
 
-    def lines(text: str, mark: str):
-        return F.regexp_replace(F.concat(F.lit(mark), F.coalesce(F.col(text), F.lit(""))), "\n", f"\n{mark}")
+    In the first a message quotes the one before it whole, and in that the one before; in the second it leaves out the
+    first line of the one before; in the third it stands between that line and the others. Messages of one line are
+    always quoted whole.
+    """
+
+    def marked(text, mark: str):
+        return F.regexp_replace(F.concat(F.lit(mark), text), "\n", f"\n{mark}")
 
     def earlier(n: int, name: str) -> DataFrame:
-        return messages.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(name))
+        text = F.coalesce("text", F.lit("")).alias(name)
+        return messages.select("conv_id", (F.col("turn") + n).alias("turn"), text)
 
     joined = messages.join(earlier(1, "one"), ["conv_id", "turn"], "left").join(earlier(2, "two"), ["conv_id", "turn"], "left")
-    one, two = F.concat(lines("one", "> "), F.lit("\n")), F.concat(lines("two", ">> "), F.lit("\n"))
-    quoted = F.when(F.col("one").isNull(), "").when(F.col("two").isNull(), one).otherwise(F.concat(two, one))
-    return joined.select("conv_id", "turn", "role", F.concat(quoted, F.coalesce("text", F.lit(""))).alias("text"))
+    one, two = F.concat(marked(F.col("one"), "> "), F.lit("\n")), F.concat(marked(F.col("two"), ">> "), F.lit("\n"))
+    whole = F.when(F.col("one").isNull(), "").when(F.col("two").isNull(), one).otherwise(F.concat(two, one))
+    own = F.coalesce("text", F.lit(""))
+    lines = F.split("one", "\n", -1)
+    first = marked(F.element_at(lines, 1), "> ")
+    others = marked(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), "> ")
+    style = F.when(F.size(lines) > 1, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))).otherwise(0)
+    mail = F.when(style == 1, F.concat(others, F.lit("\n"), own)).when(
+        style == 2, F.concat(first, F.lit("\n"), own, F.lit("\n"), others)).otherwise(F.concat(whole, own))
+    return joined.select("conv_id", "turn", "role", mail.alias("text"))
 
 
 OP3_SQL = """WITH RECURSIVE m AS (
-  SELECT conv_id, turn, text, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS norm FROM conversations
+  SELECT conv_id, turn, text, string_split(text, '\n') AS raw,
+    trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS norm,
+    list_filter(list_transform(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\n'),
+      lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines
+  FROM conversations
 ), first_of AS (
   SELECT conv_id, norm, min(turn) AS turn FROM m WHERE norm <> '' GROUP BY conv_id, norm
 ), q AS (
-  SELECT m.conv_id, m.turn, m.text, a.turn AS one, b.turn AS two, f.turn AS parent
+  SELECT m.conv_id, m.turn, m.text, a.turn AS one, b.turn AS two,
+    CASE WHEN len(a.raw) > 1 THEN (m.conv_id + m.turn) % 3 ELSE 0 END AS style, a.norm AS whole,
+    array_to_string(list_filter(list_transform(a.raw[2:], lambda x: trim(regexp_replace(
+      translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\f\v]+', ' ', 'g'), ' ')), lambda x: x <> ''), '\n') AS cut
   FROM m LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1
   LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2 AND a.turn IS NOT NULL
-  LEFT JOIN first_of f ON f.conv_id = a.conv_id AND f.norm = a.norm
+), asked AS (
+  SELECT *, CASE WHEN one IS NULL THEN NULL WHEN style = 0 THEN whole ELSE replace(cut, '\n', ' ') END AS norm FROM q
+), inside AS (
+  SELECT asked.conv_id, asked.turn, f.turn AS parent FROM asked JOIN first_of f USING (conv_id, norm) WHERE f.turn < asked.turn
+), outside AS (
+  SELECT asked.conv_id, asked.turn, arg_min(f.conv_id, (f.conv_id, f.turn)) AS parent_conv, min((f.conv_id, f.turn))[2] AS parent
+  FROM asked JOIN first_of f ON f.norm = asked.norm AND f.conv_id <> asked.conv_id GROUP BY ALL
+), stretch AS (
+  SELECT asked.conv_id, asked.turn, min(m.turn) AS parent FROM asked JOIN m ON m.conv_id = asked.conv_id AND m.turn < asked.turn
+    AND asked.style > 0 AND contains('\n' || array_to_string(m.lines, '\n') || '\n', '\n' || asked.cut || '\n') GROUP BY ALL
+), linked AS (
+  SELECT asked.*, CASE WHEN i.parent IS NOT NULL THEN asked.conv_id WHEN o.parent IS NOT NULL THEN o.parent_conv
+      WHEN s.parent IS NOT NULL THEN asked.conv_id END AS parent_conv, coalesce(i.parent, o.parent, s.parent) AS parent
+  FROM asked LEFT JOIN inside i USING (conv_id, turn) LEFT JOIN outside o USING (conv_id, turn) LEFT JOIN stretch s USING (conv_id, turn)
 ), t AS (
-  SELECT conv_id, turn, turn AS root, 0 AS depth FROM q WHERE parent IS NULL
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM linked WHERE parent_conv IS DISTINCT FROM conv_id
   UNION ALL
-  SELECT q.conv_id, q.turn, t.root, t.depth + 1 FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent
+  SELECT q.conv_id, q.turn, t.root, t.depth + 1 FROM linked q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent AND q.parent_conv = q.conv_id
 )
-SELECT q.conv_id, q.turn, CASE WHEN parent IS NOT NULL THEN q.conv_id END AS parent_conv, parent AS parent_turn, t.root, t.depth,
-  ((one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER)::INTEGER AS n_quotes,
-  ((one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER)::INTEGER AS max_level, md5(q.text) AS own_md5
-FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
+SELECT q.conv_id, q.turn, parent_conv, parent AS parent_turn, t.root, t.depth,
+  (CASE WHEN style > 0 THEN style ELSE (one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER END)::INTEGER AS n_quotes,
+  (CASE WHEN style > 0 THEN 1 ELSE (one IS NOT NULL)::INTEGER + (two IS NOT NULL)::INTEGER END)::INTEGER AS max_level, md5(q.text) AS own_md5
+FROM linked q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
 
 
 @query(OP3_SQL)
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reply order of all conversations, sent as messages which quote up to two earlier ones."""
+    """Reply order of all conversations, sent as messages which quote earlier ones whole, trimmed or in two parts."""
     ordered = quotes.reply_order(quoting(table(spark, sf_dir, "conversations")))
     return ordered.select(
         F.col("conv").alias("conv_id"), "turn", "parent_conv", "parent_turn", "root", "depth", "n_quotes", "max_level",

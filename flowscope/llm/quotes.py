@@ -10,16 +10,18 @@ of its shallowest passage that has one; among equals, of its last.
 
 A passage that equals no whole own text is looked for among the lines: it is joined to a stretch of successive lines of an
 own text which are, normalised and without empty ones, exactly its lines, so trimmed quotes and answers put between quoted
-parts find their source too. Stretches are only hashed where a line begins that begins such a passage, in the lengths that
-such passages have. Whole texts come first; among stretches the same order of sources holds. A part of a line, or a quote
-whose lines were wrapped anew and which is not a whole text, has no source.
+parts find their source too. Stretches are only hashed around a line that is the longest of such a passage (the first of
+equals), in the lengths that such passages have, so a greeting is looked up only if a passage has nothing longer. Whole texts
+come first; among stretches the same order of sources holds, but a stretch of another conversation counts only if the passage
+has at least ``foreign_words`` words, since "> thanks" says nothing about where it comes from. A part of a line, or a quote whose
+lines were wrapped anew and which is not a whole text, has no source.
 
 Sources are reduced to the earliest message per hash and conversation before they are joined, so a text that was sent any
 number of times is one row there; only passages without a source in their own conversation are joined by hash alone. Threads follow
 the parents inside a conversation by pointer doubling, in logarithmically many rounds, each written to the shared folder.
 
 Defined cases: a null or empty text has no lines, no own text and no passages, and is no source; a message that only
-quotes has an empty own text; a passage without source stays unlinked; null conversations or turns take no part in
+quotes has an empty own text; a very long text is parsed by one task, as one row; a passage without source stays unlinked; null conversations or turns take no part in
 threads and stand for themselves; rows with equal conversation and turn are one message for links (the smallest text
 first) but all are returned; an empty table gives an empty table; other columns are ignored.
 """
@@ -33,31 +35,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.operators.scale import cut_lineage, lists_by_key
+from flowscope.operators.scale import cut_lineage, lists_by_key, salted_join
 
 MARK = re.compile(r"^(?:[ \t]*>)+ ?")
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 PARSED = ("conv bigint, turn bigint, role string, own_text string, own_hash string, n_quotes int, max_level int, "
-          "passages array<struct<level:int,place:int,hash:string,n_lines:int,first_line:string,lines_hash:string>>, lines array<string>")
+          "passages array<struct<level:int,place:int,hash:string,n_lines:int,n_words:int,"
+          "anchor:string,offset:int,lines_hash:string>>, lines array<string>")
 PASSAGE = pa.list_(pa.struct([
     ("level", pa.int32()), ("place", pa.int32()), ("hash", pa.string()),
-    ("n_lines", pa.int32()), ("first_line", pa.string()), ("lines_hash", pa.string())]))
+    ("n_lines", pa.int32()), ("n_words", pa.int32()), ("anchor", pa.string()), ("offset", pa.int32()), ("lines_hash", pa.string())]))
+#: Least words of a stretch that is linked to another conversation.
+FOREIGN_WORDS = 5
+
+
+def normal(text: str) -> str:
+    return BLANK.sub(" ", text.translate(UPPER)).strip(" ")
+
+
+def text_hash(normalised: str) -> str:
+    return hashlib.md5(normalised.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def normal_hash(text: str) -> str | None:
     """Hash of a normalised text; none for an empty one."""
-    text = BLANK.sub(" ", text.translate(UPPER)).strip(" ")
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if text else None
+    text = normal(text)
+    return text_hash(text) if text else None
 
 
-def line_hashes(text: str) -> list[str]:
-    """Hashes of the normalised lines which are not empty."""
-    return [h for h in map(normal_hash, text.split("\n")) if h]
+def normal_lines(text: str) -> list[str]:
+    """The normalised lines which are not empty."""
+    return [n for n in map(normal, text.split("\n")) if n]
 
 
-def stretch_hash(hashes: list[str]) -> str:
-    return hashlib.md5(",".join(hashes).encode()).hexdigest()
+def as_passage(level: int, place: int, content: str) -> dict:
+    lines = normal_lines(content)
+    offset = max(range(len(lines)), key=lambda i: len(lines[i]))
+    hashes = [text_hash(n) for n in lines]
+    return {
+        "level": level, "place": place, "hash": normal_hash(content), "n_lines": len(lines),
+        "n_words": sum(n.count(" ") + 1 for n in lines), "anchor": hashes[offset], "offset": offset,
+        "lines_hash": hashlib.md5(",".join(hashes).encode()).hexdigest()}
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -99,17 +118,12 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         for batch in batches:
             found = [parse_lines(t) for t in batch.column("text").to_pylist()]
             own, quoted = [f[0] for f in found], [f[1] for f in found]
-            passages = []
-            for q in quoted:
-                cut = [line_hashes(c) for _, _, c in q]
-                passages.append([
-                    {"level": a, "place": b, "hash": normal_hash(c), "n_lines": len(h), "first_line": h[0], "lines_hash": stretch_hash(h)}
-                    for (a, b, c), h in zip(q, cut)])
+            passages = [[as_passage(*one) for one in q] for q in quoted]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv"), batch.column("turn"), batch.column("role"), pa.array(own, pa.string()),
                  pa.array([normal_hash(t) for t in own], pa.string()), pa.array([len(q) for q in quoted], pa.int32()),
                  pa.array([max((a for a, _, _ in q), default=0) for q in quoted], pa.int32()), pa.array(passages, PASSAGE),
-                 pa.array([line_hashes(t) for t in own], pa.list_(pa.string()))],
+                 pa.array([[text_hash(n) for n in normal_lines(t)] for t in own], pa.list_(pa.string()))],
                 ["conv", "turn", "role", "own_text", "own_hash", "n_quotes", "max_level", "passages", "lines"])
 
     return messages.select(
@@ -118,17 +132,19 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
 
 def stretches(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(hash, conv, turn)`` of the stretches of own lines that begin and are as long as a ``wanted`` passage."""
-    lines = named.select("conv", "turn", "own_hash", F.posexplode("lines").alias("at", "first_line"))
-    asked = wanted.select("first_line", "n_lines").distinct()
-    found = lines.join(asked, "first_line").groupBy("conv", "turn", "own_hash").agg(F.collect_set(F.struct("at", "n_lines")).alias("cuts"))
+    """``(hash, conv, turn)`` of the stretches of own lines around the anchor, and of the length, of a ``wanted`` passage."""
+    lines = named.select("conv", "turn", "own_hash", F.posexplode("lines").alias("at", "anchor"))
+    asked = wanted.select("anchor", "offset", "n_lines").distinct()
+    cut = F.struct((F.col("at") - F.col("offset")).alias("at"), "n_lines")
+    found = salted_join(lines, asked, "anchor", "conv", "inner").filter("at >= offset")
+    found = found.groupBy("conv", "turn", "own_hash").agg(F.collect_set(cut).alias("cuts"))
     own = named.filter("own_hash is not null").select("conv", "turn", "own_hash", "lines").dropDuplicates(["conv", "turn", "own_hash", "lines"])
     fitting = F.filter("cuts", lambda c: c["at"] + c["n_lines"] <= F.size("lines"))
     hashes = F.transform(fitting, lambda c: F.md5(F.array_join(F.slice("lines", c["at"] + 1, c["n_lines"]), ",").cast("binary")))
     return own.join(found, ["conv", "turn", "own_hash"]).select(F.explode(F.array_distinct(hashes)).alias("hash"), "conv", "turn")
 
 
-def links(held: DataFrame) -> DataFrame:
+def links(held: DataFrame, foreign_words: int = FOREIGN_WORDS) -> DataFrame:
     """``(conv, turn, level, place, parent_conv, parent_turn)`` of each passage with a source."""
     named = held.filter("conv is not null and turn is not null")
     sources = named.filter("own_hash is not null").select(F.col("own_hash").alias("hash"), "conv", "turn")
@@ -137,22 +153,27 @@ def links(held: DataFrame) -> DataFrame:
     left = cut_lineage(left, "trimmed")
     if left.isEmpty():
         return whole
-    left = left.select("conv", "turn", "level", "place", F.col("lines_hash").alias("hash"), "n_lines", "first_line", "lines_hash")
-    return whole.unionByName(joined_to(left, stretches(named, left))[0])
+    left = left.withColumn("hash", F.col("lines_hash"))
+    return whole.unionByName(joined_to(left, stretches(named, left), foreign_words)[0])
+
 
+def joined_to(asked: DataFrame, sources: DataFrame, foreign_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Links of the passages ``asked`` to the ``sources`` of the same hash, and the passages without one.
 
-def joined_to(asked: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of the passages ``asked`` to the ``sources`` of the same hash, and the passages without one."""
+    Passages of fewer than ``foreign_words`` words are linked inside their own conversation only.
+    """
     near = cut_lineage(sources.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn")), "sources")
     asked = cut_lineage(asked.join(near, ["hash", "conv"], "left"), "passages")
     inside = F.coalesce(F.col("near_turn") < F.col("turn"), F.lit(False))
     found = asked.filter(inside).select("conv", "turn", "level", "place", F.col("conv").alias("parent_conv"), F.col("near_turn").alias("parent_turn"))
     rest = asked.filter(~inside).drop("near_turn")
-    others = cut_lineage(near.join(rest.select("hash").distinct(), "hash", "left_semi"), "elsewhere")
+    far = rest.filter(F.col("n_words") >= foreign_words).select("hash").distinct()
+    others = cut_lineage(near.join(far, "hash", "left_semi"), "elsewhere")
     first = others.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("first"))
     second = others.join(first, "hash").filter("conv <> first.conv").groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("second"))
     met = rest.join(first.join(second, "hash", "left"), "hash", "left")
     other = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
+    other = F.when(F.col("n_words") >= foreign_words, other)
     met = met.withColumns({"parent_conv": other["conv"], "parent_turn": other["near_turn"]})
     elsewhere = met.filter("parent_conv is not null").select("conv", "turn", "level", "place", "parent_conv", "parent_turn")
     return found.unionByName(elsewhere), met.filter("parent_conv is null").select(*rest.columns)
@@ -178,13 +199,16 @@ def roots(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("replies did not end")
 
 
-def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
+def reply_order(
+    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role",
+    foreign_words: int = FOREIGN_WORDS,
+) -> DataFrame:
     """Every message with its own text, the parent it quotes and its place: thread ``root`` and ``depth``.
 
     Ordered by ``(conv, root, turn)`` a conversation reads thread by thread, each reply after what it replies to.
     """
     held = cut_lineage(parsed(messages, conv_col, turn_col, text_col, role_col), "parsed")
-    found = links(held).groupBy("conv", "turn").agg(
+    found = links(held, foreign_words).groupBy("conv", "turn").agg(
         F.min_by(F.struct("parent_conv", "parent_turn"), F.struct("level", (-F.col("place")).alias("place"))).alias("parent"), F.count(F.lit(1)).alias("n_linked"))
     found = cut_lineage(found.select("conv", "turn", "parent.*", "n_linked"), "parents")
     inside = found.filter("parent_conv = conv").select("conv", "turn", F.col("parent_turn").alias("up"))

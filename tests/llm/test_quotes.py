@@ -1,5 +1,6 @@
 import pytest
 
+from flowscope.llm import queries
 from flowscope.llm import quotes as Q
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, own_text string"
@@ -74,6 +75,31 @@ def test_trimmed_and_interleaved_quotes(spark):
     assert parent[1, 4] == (None, None, 0) and parent[2, 1] == (None, None, 0)
 
 
+def test_greetings_lead_to_no_other_conversation(spark):
+    rows = [
+        (1, 1, "u", "Some question\nThanks", None), (1, 2, "u", "> thanks\nwelcome", None),
+        (2, 0, "u", "> thanks\nyou too", None), (2, 1, "u", "> Some question\n> Thanks\nnot four words more", None),
+        (3, 0, "u", "Thanks\na line that only stands here once\nRegards", None),
+        (4, 0, "u", "> Thanks\n> a line that only stands here once\nlong enough", None),
+        (5, 0, "u", "> a line that only stands here once\n> Thanks\nanother order", None),
+    ]
+    got = {(r.conv, r.turn): (r.parent_conv, r.parent_turn) for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 2] == (1, 1) and got[2, 0] == (None, None) and got[4, 0] == (3, 0) and got[5, 0] == (None, None)
+    assert got[2, 1] == (1, 1), "the passage is the whole text of that message"
+    loose = {(r.conv, r.turn): r.parent_conv for r in Q.reply_order(spark.createDataFrame(rows, SCHEMA), foreign_words=1).collect()}
+    assert loose[2, 0] == 1
+
+
+def test_the_query_reaches_stretches(spark):
+    rows = [(1, t, "u", f"first {t}\nsecond {t}\nthird {t}", None) for t in range(6)]
+    held = Q.parsed(queries.quoting(spark.createDataFrame(rows, SCHEMA).select("conv_id", "turn", "role", "text")))
+    own = {r.own_hash for r in held.select("own_hash").collect()}
+    asked = [p.hash for r in held.select("passages").collect() for p in r.passages]
+    assert sum(h not in own for h in asked) >= 4
+    found = Q.links(held).collect()
+    assert len(found) == len(asked) and all(r.parent_conv == 1 and r.parent_turn < r.turn for r in found)
+
+
 def test_long_chain(spark):
     rows = [(1, i, "u", (f"> m{i - 1}\n" if i else "") + f"m{i}", None) for i in range(70)]
     got = Q.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()
