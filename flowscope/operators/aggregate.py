@@ -190,15 +190,20 @@ def source_destination_vectors(flows: DataFrame, list_rows: int = 100_000) -> Da
     return dealt.groupBy("src_ip", "part").agg(F.map_from_entries(entries).alias("peers"))
 
 
-def source_destination_matrix(flows: DataFrame, destinations: Sequence[str] | None = None) -> DataFrame:
+def source_destination_matrix(
+    flows: DataFrame, destinations: Sequence[str] | None = None, max_columns: int = 10_000
+) -> DataFrame:
     """The matrix with one column for each of the destinations asked for, or of all there are.
 
-    A table has a column in every row and on the driver; for many destinations use the sparse rows of
-    :func:`source_destination_vectors`.
+    A table has a column in every row and on the driver, so more than ``max_columns`` destinations have to be asked for by
+    name; for the others there are the sparse rows of :func:`source_destination_vectors`, which hold all of them.
     """
     counts = source_destination_counts(flows)
     if destinations is None:
-        destinations = [r[0] for r in counts.select("dest_ip").distinct().orderBy("dest_ip").collect()]
+        found = counts.select("dest_ip").distinct().limit(max_columns + 1).collect()
+        if len(found) > max_columns:
+            raise ValueError(f"more than {max_columns} destinations: name some, or use source_destination_vectors")
+        destinations = sorted((r[0] for r in found), key=lambda d: (d is not None, d))
     return counts.groupBy("src_ip").pivot("dest_ip", list(destinations)).agg(F.first("n")).na.fill(0)
 
 

@@ -52,11 +52,13 @@ def write_assignment(marked: DataFrame, path: str) -> None:
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A cached table: read when it is there, else built and stored; built once."""
+    """A cached table: read when it is there, else built and stored; built once. Nothing that is there is overwritten."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        build().write.parquet(path)
         return spark.read.parquet(path)
 
 
