@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, with_parts
+from catalog.base import ORACLES, query, with_parts
 from flowscope.functions import net as N
 from flowscope.functions import patterns as P
 from flowscope.functions import text as X
+from flowscope.operators.patterns import pattern_hits
 
 TOKEN_SQL = P.ATTACK_TOKEN.replace("'", "''")
 WORDS_SQL = "|".join(P.SUSPICIOUS_WORDS)
@@ -209,6 +210,14 @@ def _(t):
     return hits.select("seq", "h.end_index", "h.word_index", "h.word")
 
 
+@query("pattern_positions_of_table", "B12", ORACLES["pattern_positions"])
+def _(t):
+    """The same from a table of patterns, in one pass for all of them."""
+    words = t.spark.createDataFrame(list(enumerate(P.TRAVERSAL_WORDS)), "pattern int, word string")
+    hits = pattern_hits(t.flows, "seq", "params", words)
+    return hits.select(F.col("id").alias("seq"), "end_index", F.col("pattern").alias("word_index"), "word")
+
+
 @query("pattern_positions_text", "B12", """
 WITH words AS (SELECT unnest(['the', 'ththth', 'e']) AS word, unnest([0, 1, 2]) AS word_index)
 SELECT doc_id, word_index::INTEGER AS word_index, count(*) AS hits, sum(i + length(word) - 2)::BIGINT AS end_sum FROM (

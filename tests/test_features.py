@@ -146,6 +146,8 @@ def test_entropy_bounds_and_vectors(flows):
     matrix = A.source_destination_matrix(df)
     assert len(matrix.columns) == 5 and matrix.count() == 3
     assert A.source_destination_matrix(df, ["198.51.100.1", "198.51.100.9"]).columns == ["src_ip", "198.51.100.1", "198.51.100.9"]
+    with pytest.raises(ValueError, match="source_destination_vectors"):
+        A.source_destination_matrix(df, max_columns=1)
     whole = A.source_destination_vectors(df).collect()
     assert len(whole) == 3 and all(len(r.peers) == 4 and sum(r.peers.values()) == 20 for r in whole)
     parts = A.source_destination_vectors(df, list_rows=2).collect()
