@@ -9,6 +9,14 @@ Cells with more than ``cell_rows`` points of their own are split again by pivots
 number of cells grows with the points. The pivots of a level are a table. Points at home in a split cell go on as at
 the first level; a visitor goes on to every part its ball meets, so a pair still meets where its paths divide, once.
 A cell whose points are all alike cannot be split and is only cut into blocks.
+
+Cells save work only where points are in reach of few of them. In many dimensions, or with a wide radius, a point visits
+nearly every cell, and copying it there costs more than the distances it spares. So the visits are counted over all
+points first, without moving any, and the first level takes the number of pivots with the least work; a crowded cell is
+split only if that lowers its work, and a search meets all points in one cell if that is cheaper. Results are the same.
+
+What is moved is a dealt block, as many points as a few megabytes hold; inside a task it is cut into blocks of
+``block_rows`` points, which are what a function sees. All pairs of N points so move each point N / dealt block times.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.scale import cut_lineage, salted_join
@@ -30,6 +38,10 @@ MAX_PIVOTS = 1024
 FANOUT = 32
 PLACE_ROWS = 1024
 CHUNK_ROWS = 4096
+#: Size of a dealt block of points; a task holds two.
+DEALT_BYTES = 4 << 20
+#: A moved row counts as much work as this many distances.
+MOVED = 128
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -115,35 +127,77 @@ def _copied(table: pa.Table | pa.RecordBatch, rows: np.ndarray, cells: list[str]
 class Tiles:
     """Points ``(id, features, ...)`` laid out for pairwise work within ``radius``.
 
-    ``cell_rows`` bounds the points at home in a cell (8 blocks if not given) and ``first`` the pivots of the first
-    level; neither changes a result.
+    ``cell_rows`` bounds the points at home in a cell and ``first`` is the number of pivots of the first level; where one of
+    them is given, cells are laid out so, else by the least work (see above) with cells of 8 blocks. Neither changes a result.
     """
 
     def __init__(
         self, points: DataFrame, radius: float = math.inf, block_rows: int = 1024, cell_rows: int | None = None,
-        first: int = MAX_PIVOTS, fanout: int = FANOUT,
+        first: int | None = None, fanout: int = FANOUT,
     ):
         self.radius, self.block_rows, self.points, self.fanout = float(radius), block_rows, points, fanout
+        self.fixed = cell_rows is not None or first is not None
         self.cell_rows = cell_rows or 8 * block_rows
-        count = points.count()
-        wanted = max(1, min(first, MAX_PIVOTS, math.ceil(count / block_rows)))
+        self.count = points.count()
+        wanted = max(1, min(first or MAX_PIVOTS, MAX_PIVOTS, math.ceil(self.count / block_rows)))
         chosen = points.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
         self.pivots = np.array([r["features"] for r in chosen], dtype=np.float64)
+        self.dealt_rows = self._dealt_rows()
+        if not self.fixed:
+            self.pivots = self.pivots[: self._cheapest()]
         self.levels: list[DataFrame] = []
         self.placed = self._split(cut_lineage(self._first_level(points, self.radius, False), "cells"))
         self.sizes = (
             self.placed.groupBy("cell")
             .agg(F.count_if("home").alias("_homes"), F.count_if(~F.col("home")).alias("_guests"))
-            .select(
-                "cell",
-                F.ceil(F.col("_homes") / F.lit(block_rows)).cast("int").alias("_hb"),
-                F.ceil(F.col("_guests") / F.lit(block_rows)).cast("int").alias("_gb"),
-            )
+            .select("cell", "_homes", self._blocks("_homes").alias("_hb"), self._blocks("_guests").alias("_gb"))
         )
 
-    def _first_level(self, points: DataFrame, reach: float, all_cells: bool) -> DataFrame:
-        """Rows at their home cell and at the cells in reach."""
-        pivots, names = self.pivots, points.columns
+    def _dealt_rows(self) -> int:
+        """As many points as fit, but not so many that cores would be without a tile."""
+        cores = self.points.sparkSession.sparkContext.defaultParallelism
+        row_bytes = 8 * (self.pivots.shape[1] if self.pivots.ndim == 2 else 1) + 64
+        return max(self.block_rows, min(math.ceil(self.count / math.isqrt(8 * cores)), DEALT_BYTES // row_bytes))
+
+    def _blocks(self, rows: str) -> Column:
+        return F.ceil(F.col(rows) / F.lit(self.dealt_rows)).cast("int")
+
+    def _work(self, homes: str, guests: str) -> Column:
+        """Work of a cell: its distances, and the rows stored and dealt for them."""
+        h, g, hb, gb = F.col(homes).cast("double"), F.col(guests).cast("double"), self._blocks(homes), self._blocks(guests)
+        return h * (h / 2 + g) + F.lit(MOVED) * (h * (hb + gb + 1) + g * (hb + 1))
+
+    def _cheapest(self) -> int:
+        """The number of first pivots with the least work, from the visits of all points."""
+        most, pivots, reach = len(self.pivots), self.pivots, self.radius
+        if math.isinf(reach) or most < 2:
+            return 1
+        if reach == 0:
+            return most
+        steps = sorted({min(4**k, most) for k in range(most.bit_length())})
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            homes, guests = ({n: np.zeros(n, np.int64) for n in steps} for _ in range(2))
+            for whole in batches:
+                for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
+                    x = matrix(batch)
+                    for n in steps:
+                        _, cells, home = visits(x, pivots[:n], reach, np.ones(len(x), bool), False)
+                        homes[n] += np.bincount(cells[home], minlength=n)
+                        guests[n] += np.bincount(cells[~home], minlength=n)
+            for n in steps:
+                yield pa.RecordBatch.from_pydict({
+                    "pivots": pa.array([n] * n, pa.int32()), "cell": pa.array(range(n), pa.int32()),
+                    "homes": pa.array(homes[n]), "guests": pa.array(guests[n])})
+
+        counted = self.points.select("features").mapInArrow(tally, "pivots int, cell int, homes bigint, guests bigint")
+        cells = counted.groupBy("pivots", "cell").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests"))
+        work = cells.groupBy("pivots").agg(F.sum(self._work("homes", "guests")).alias("work"))
+        return work.orderBy("work", F.desc("pivots")).first()["pivots"]
+
+    def _first_level(self, points: DataFrame, reach: float, all_cells: bool, names: list[str] | None = None) -> DataFrame:
+        """Rows at their home cell and at the cells in reach, with all columns or those of ``names``."""
+        pivots, names = self.pivots, names or points.columns
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -151,10 +205,10 @@ class Tiles:
                     rows, cells, home = visits(matrix(batch), pivots, reach, np.ones(batch.num_rows, bool), all_cells)
                     yield _copied(batch, rows, [str(c) for c in cells], home, names)
 
-        return points.mapInArrow(place, _placed_schema(points))
+        return points.mapInArrow(place, _placed_schema(points.select(*names)))
 
     def _split(self, placed: DataFrame) -> DataFrame:
-        """Split crowded cells until none is left that has two different points."""
+        """Split crowded cells until none is left that has two different points and less work in parts."""
         settled = []
         while True:
             homes = placed.filter("home")
@@ -169,6 +223,8 @@ class Tiles:
             picked = inside.groupBy("cell", bucket.alias("_bucket")).agg(F.min(drawn)["features"].alias("_pivot"))
             pivots = picked.groupBy("cell").agg(F.sort_array(F.collect_list("_pivot")).alias("_pivots"))
             pivots = cut_lineage(pivots.filter(F.size("_pivots") > 1), "pivots")
+            if not self.fixed and self.radius > 0:
+                pivots = cut_lineage(self._worth_a_split(placed, pivots), "pivots")
             if pivots.isEmpty():
                 break
             self.levels.append(pivots)
@@ -178,17 +234,33 @@ class Tiles:
             placed = placed.unionByName(part)
         return placed
 
-    def _descend(self, placed: DataFrame, pivots: DataFrame, reach: float, all_cells: bool) -> DataFrame:
+    def _worth_a_split(self, placed: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The pivots of those cells whose parts come to less work than the whole."""
+        def work(rows: DataFrame, name: str) -> DataFrame:
+            homes, guests = F.count_if("home").alias("_homes"), F.count_if(~F.col("home")).alias("_guests")
+            cells = rows.groupBy("cell").agg(homes, guests).withColumn("_work", self._work("_homes", "_guests"))
+            cell = F.regexp_replace("cell", "/[0-9]+$", "") if name == "_parts" else F.col("cell")
+            return cells.groupBy(cell.alias("cell")).agg(F.sum("_work").alias(name))
+
+        parts = work(self._descend(placed, pivots, self.radius, False, ["id"]), "_parts")
+        better = parts.join(work(placed.select("cell", "home"), "_whole"), "cell").filter("_parts < _whole")
+        return pivots.join(better.select("cell"), "cell", "left_semi")
+
+    def _descend(
+        self, placed: DataFrame, pivots: DataFrame, reach: float, all_cells: bool, names: list[str] | None = None
+    ) -> DataFrame:
         """The rows of split cells at the parts of these; the rows of other cells are left out.
 
-        Rows of a cell are dealt into chunks, each of which meets one copy of the cell's pivots.
+        Rows of a cell are dealt into chunks, each of which meets one copy of the cell's pivots. Returns all columns or
+        those of ``names``.
         """
-        names = [c for c in placed.columns if c not in ("cell", "home")]
+        names = names or [c for c in placed.columns if c not in ("cell", "home")]
+        sent = list(dict.fromkeys(["features", *names]))
         counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("_chunks"))
         cut = cut_lineage(pivots.join(counts, "cell"), "chunks")
         chunk = F.pmod(F.xxhash64("id", F.lit(11)), F.col("_chunks")).cast("int")
         moving = salted_join(placed, cut.select("cell", "_chunks"), "cell", "id", "inner")
-        moving = moving.select(*names, "home", F.col("cell").alias("_cell"), chunk.alias("_chunk"))
+        moving = moving.select(*sent, "home", F.col("cell").alias("_cell"), chunk.alias("_chunk"))
         copies = cut.select(
             F.col("cell").alias("_cell"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_pivots"
         )
@@ -231,11 +303,9 @@ class Tiles:
 
         Only the asking points visit other cells; ``extra`` adds columns by ``id`` to both sides.
         """
-        asked = self._place(asking, radius).drop("home")
-        homes = self.placed.filter("home").drop("home").join(extra, "id")
+        asked, homes, sizes = self._met(asking, radius)
+        homes = homes.join(extra, "id")
         left = asked.join(extra, "id")
-        rows = left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.block_rows)).cast("int").alias("_ab"))
-        sizes = self.sizes.join(rows, "cell").select("cell", "_hb", "_ab")
 
         def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
             mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own)).cast("int").alias("a" if side == 0 else "b")
@@ -244,16 +314,29 @@ class Tiles:
             dealt = self._sized(df, sizes).filter((F.col("_hb") > 0) & (F.col("_ab") > 0))
             return dealt.select("cell", mine, every, F.lit(side).alias("side"), *columns).select("cell", "a", "b", "side", *columns)
 
-        names = [part.strip().split(" ")[0] for part in schema.split(",")]
-
-        def run(table: pa.Table) -> pa.Table:
-            side = table.column("side").to_numpy()
-            left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-            out = fn(Tile(left, right, False)) if left.num_rows and right.num_rows else None
-            return _as_table(out, names, schema)
-
         both = spread(left, "_ab", "_hb", 0).unionByName(spread(homes, "_hb", "_ab", 1))
-        return both.groupBy("cell", "a", "b").applyInArrow(run, schema)
+        return both.groupBy("cell", "a", "b").applyInArrow(_over_blocks(fn, schema, self.block_rows), schema)
+
+    def _met(self, asking: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Asking points and points with the cells where they meet, and the numbers of blocks of these cells."""
+        if self.levels:
+            visiting = self._place(asking, radius)
+        else:
+            visiting = self._first_level(asking.select("id", "features"), radius, True, ["id"])
+        visiting = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("_asked"))
+        met = self.sizes.join(visiting, "cell").withColumn("_ab", self._blocks("_asked"))
+        met = cut_lineage(met.select("cell", "_homes", "_asked", "_hb", "_ab"), "met")
+        if not self.fixed:
+            number = asking.count()
+            whole = _probing(number, self.count, math.ceil(number / self.dealt_rows), math.ceil(self.count / self.dealt_rows))
+            a, h = F.col("_asked").cast("double"), F.col("_homes").cast("double")
+            if whole < (met.agg(F.sum(_probing(a, h, F.col("_ab"), F.col("_hb")))).first()[0] or 0):
+                one = met.limit(1).select(
+                    F.lit("").alias("cell"), F.lit(math.ceil(self.count / self.dealt_rows)).alias("_hb"),
+                    F.lit(math.ceil(number / self.dealt_rows)).alias("_ab"))
+                return asking.withColumn("cell", F.lit("")), self.points.withColumn("cell", F.lit("")), one
+        homes = self.placed.filter("home").drop("home")
+        return self._place(asking, radius).drop("home"), homes, met.select("cell", "_hb", "_ab")
 
     def map(self, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None, own_block: bool = False):
         """Apply ``fn`` to every tile; it returns columns in the order of ``schema``.
@@ -288,18 +371,36 @@ class Tiles:
             guest = F.transform(F.sequence(F.lit(0), F.col("_hb") - 1), lambda h: tile(1, h, mine, F.lit(1)))
             spots = F.when(F.col("home"), F.concat(inner, met)).otherwise(guest)
         spread = rows.select("cell", *columns, F.explode(spots).alias("_t")).select("cell", "_t.*", *columns)
-        names = [part.strip().split(" ")[0] for part in schema.split(",")]
+        run = _over_blocks(fn, schema, self.block_rows, own_block)
+        return spread.groupBy("cell", "kind", "a", "b").applyInArrow(run, schema)
 
-        def run(table: pa.Table) -> pa.Table:
-            side = table.column("side").to_numpy()
-            left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-            same = table.column("kind")[0].as_py() == 0 and table.column("a")[0] == table.column("b")[0]
-            if same:
-                right = left
-            out = fn(Tile(left, right, same)) if left.num_rows and right.num_rows else None
-            return _as_table(out, names, schema)
 
-        return spread.groupBy("cell", "kind", "a", "b").applyInArrow(run, schema)
+def _probing(asked, homes, asked_blocks, home_blocks):
+    """Work of a cell of a search, of numbers or columns."""
+    return asked * homes + MOVED * (asked * (home_blocks + 1) + homes * asked_blocks)
+
+
+def _over_blocks(fn: Callable[[Tile], dict], schema: str, block_rows: int, own_block: bool = False):
+    """Apply ``fn`` to the pairs of blocks of two dealt blocks, or of one with itself; a pair's result leaves at once."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def cut(table: pa.Table) -> list[pa.Table]:
+        whole = table.combine_chunks()
+        return [whole.slice(i, block_rows) for i in range(0, whole.num_rows, block_rows)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        side = table.column("side").to_numpy()
+        left = cut(table.filter(pa.array(side == 0)))
+        same = "kind" in table.column_names and table.column("kind")[0].as_py() == 0 and table.column("a")[0] == table.column("b")[0]
+        right = left if same else cut(table.filter(pa.array(side == 1)))
+        for i, a in enumerate(left):
+            for j in range(i if same else 0, i + 1 if own_block else len(right)):
+                out = fn(Tile(a, right[j], same and i == j))
+                if out is not None:
+                    yield from _as_table(out, names, schema).to_batches()
+
+    return run
 
 
 def _placed_schema(points: DataFrame) -> str:
@@ -309,10 +410,8 @@ def _placed_schema(points: DataFrame) -> str:
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
-def _as_table(out: dict | None, names: list[str], schema: str) -> pa.Table:
+def _as_table(out: dict, names: list[str], schema: str) -> pa.Table:
     kinds = [_ARROW[part.strip().split(" ")[1]] for part in schema.split(",")]
     fields = pa.schema(list(zip(names, kinds)))
-    if out is None:
-        return fields.empty_table()
     return pa.Table.from_arrays([pa.array(np.asarray(out[n]), k) for n, k in zip(names, kinds)], schema=fields)
 

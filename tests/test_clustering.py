@@ -257,3 +257,62 @@ def test_cutoff_beyond_the_nearest_neighbours(points, cloud):
     positive = upper[upper > 0]
     for percent in (120.0, 900.0):
         assert distance.cutoff_distance(unique, percent, 16) == pytest.approx(positive[round(len(cloud) * percent / 100)])
+
+
+def wide(spark, n, dims=24):
+    """Small groups far from each other in many directions, where every cell is in reach of every point."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(n // 12 + 1, dims))
+    x = centres[np.arange(n) % len(centres)] + rng.normal(scale=0.35, size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, features array<double>"), x
+
+
+def test_cells_are_left_out_where_they_save_nothing(spark, points):
+    df, x = wide(spark, 300)
+    tiles = Tiles(distinct_points(df), 0.9, block_rows=32)
+    assert len(tiles.pivots) == 1 and not tiles.levels
+    assert tiles.placed.count() == 300
+    assert len(Tiles(distinct_points(points), 0.05, block_rows=32).pivots) > 1
+    label, core = brute_dbscan(matrix(x), 0.9, 4)
+    got = {r.id: (r.label, r.core) for r in dbscan(df, 0.9, 4, 32).collect()}
+    assert got == {i: (label[i], core[i]) for i in range(300)}
+    _, rho, delta, _ = brute_peaks(x)
+    rows = {r.id: r for r in density.density_peaks(df, block_rows=32).collect()}
+    assert [rows[i].rho for i in range(300)] == pytest.approx(list(rho), rel=1e-9)
+    assert [rows[i].delta for i in range(300)] == pytest.approx(list(delta))
+
+
+def test_crowded_cells_are_split_only_where_it_saves_work(spark, monkeypatch):
+    monkeypatch.setattr("flowscope.operators.tiles.MAX_PIVOTS", 2)
+    monkeypatch.setattr("flowscope.operators.tiles.MOVED", 8)
+    rng = np.random.default_rng(4)
+    flat = spark.createDataFrame(
+        [(i, [float(v) for v in p]) for i, p in enumerate(rng.uniform(0, 100, (900, 2)))], "id bigint, features array<double>")
+    tiles = Tiles(flat, 1.0, block_rows=8)
+    assert tiles.levels and tiles.placed.count() < 2000
+    rows = tiles.map(lambda t: {"n": [int(t.within(1.0).sum())]}, "n bigint").agg(F.sum("n")).first()[0]
+    x = np.array([r.features for r in flat.orderBy("id").collect()])
+    assert rows == np.triu(matrix(x) <= 1.0, 1).sum()
+    df, y = wide(spark, 600)
+    tiles = Tiles(df, 0.9, block_rows=8)
+    assert not tiles.levels
+    rows = tiles.map(lambda t: {"n": [int(t.within(0.9).sum())]}, "n bigint").agg(F.sum("n")).first()[0]
+    assert rows == np.triu(matrix(y) <= 0.9, 1).sum()
+
+
+def test_a_search_meets_all_points_at_once_where_cells_save_nothing(spark):
+    df, x = wide(spark, 400)
+    tiles = Tiles(df, 0.0, block_rows=16)
+    assert len(tiles.pivots) > 1
+
+    def near(tile):
+        rows, cols = np.nonzero(tile.d <= 0.9)
+        return {"i": tile.column("id")[0][rows], "j": tile.column("id")[1][cols]}
+
+    extra = df.select("id", F.lit(1).alias("one"))
+    d = matrix(x)
+    for asking, step in ((df, 1), (df.filter("id % 3 = 0"), 3), (df.filter("id < 0"), 1000)):
+        got = [(r.i, r.j) for r in tiles.probe(asking, 0.9, near, "i bigint, j bigint", extra).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(i, j) for i in range(0, 400, step) for j in range(400) if d[i, j] <= 0.9 and step < 1000}
