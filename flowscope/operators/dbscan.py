@@ -48,10 +48,10 @@ def dbscan(points: DataFrame, eps: float = 1.2, min_samples: int = 10, block_row
 
     def links(tile: Tile) -> dict | None:
         (ia, ib), (ca, cb) = tile.column("id"), tile.column("core")
-        hit = tile.d <= eps
+        hit = tile.within(eps)
         if tile.same:
             ids, core = ia, ca
-            adjacent = hit
+            adjacent = hit | hit.T
         else:
             ids, core = np.concatenate([ia, ib]), np.concatenate([ca, cb])
             adjacent = np.zeros((len(ids), len(ids)), bool)

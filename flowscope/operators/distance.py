@@ -20,10 +20,10 @@ def pairs_within(points: DataFrame, radius: float, block_rows: int = 1024) -> Da
     """Pairs ``(i, j, d)`` with ``i < j`` and distance at most ``radius``; the output is as large as the answer."""
 
     def pairs(tile: Tile) -> dict:
-        rows, cols = np.nonzero(tile.within(radius))
+        rows, cols, d = tile.pairs(radius)
         left, right = tile.column("id")
         a, b = left[rows], right[cols]
-        return {"i": np.minimum(a, b), "j": np.maximum(a, b), "d": tile.d[rows, cols]}
+        return {"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d}
 
     return Tiles(points.select("id", "features"), radius, block_rows).map(pairs, "i bigint, j bigint, d double")
 
@@ -67,9 +67,9 @@ def cutoff_distance(points: DataFrame, percent: float = 2.0, block_rows: int = 1
     radius = float("inf") if bound is None else bound
 
     def pairs(tile: Tile) -> dict:
-        rows, cols = np.nonzero(tile.within(radius))
+        rows, cols, d = tile.pairs(radius)
         left, right = tile.column("weight")
-        return {"d": tile.d[rows, cols], "w": left[rows] * right[cols]}
+        return {"d": d, "w": left[rows] * right[cols]}
 
     listed = Tiles(points, radius, block_rows).map(pairs, "d double, w bigint")
     found = kth_smallest(listed, "d", k, "w")

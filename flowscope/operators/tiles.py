@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -80,21 +81,61 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def near(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+    """Which distances are at most ``radius``, as :func:`distances` would find them.
+
+    Squares and products tell it for nearly all pairs; those within the rounding error of the radius, or without a finite
+    value, are told by direct differences.
+    """
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), bool)
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = a.mean(axis=0)
+        x, y = a - middle, b - middle
+        norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+        squares = norms - 2.0 * (x @ y.T)
+        margin = 8 * (a.shape[1] + 8) * np.finfo(np.float64).eps * norms
+        hit = squares <= radius * radius - margin
+        rows, cols = np.nonzero(~hit & ~(squares > radius * radius + margin))
+    hit[rows, cols] = apart(a, b, rows, cols) <= radius
+    return hit
+
+
+def apart(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of single pairs by direct differences."""
+    out = np.empty(len(rows))
+    step = max(1, 2_000_000 // max(1, a.shape[1]))
+    for start in range(0, len(rows), step):
+        diff = a[rows[start : start + step]] - b[cols[start : start + step]]
+        out[start : start + step] = np.sqrt((diff * diff).sum(axis=1))
+    return out
+
+
 @dataclass
 class Tile:
-    """Two blocks of points and their distances; for ``same`` tiles only pairs with row < column count."""
+    """Two blocks of points; for ``same`` tiles only pairs with row < column count."""
 
     left: pa.Table
     right: pa.Table
     same: bool
 
-    def __post_init__(self):
-        self.d = distances(matrix(self.left), matrix(self.right))
+    @cached_property
+    def vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        return matrix(self.left), matrix(self.right)
+
+    @cached_property
+    def d(self) -> np.ndarray:
+        return distances(*self.vectors)
 
     def within(self, radius: float) -> np.ndarray:
-        hit = self.d <= radius
+        hit = near(*self.vectors, radius)
         return np.triu(hit, 1) if self.same else hit
 
+    def pairs(self, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and distances of the pairs within ``radius``."""
+        rows, cols = np.nonzero(self.within(radius))
+        return rows, cols, apart(*self.vectors, rows, cols)
+
     def column(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.asarray(t.column(name).to_pylist()) for t in (self.left, self.right))
 

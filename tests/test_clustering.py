@@ -6,7 +6,7 @@ from flowscope.operators import density, distance
 from flowscope.operators.components import connected_components, follow_to_root
 from flowscope.operators.dbscan import dbscan
 from flowscope.operators.outlier import fit_outliers, large_clusters
-from flowscope.operators.tiles import Tiles, copies_of, distinct_points
+from flowscope.operators.tiles import Tiles, copies_of, distances, distinct_points, near
 
 
 @pytest.fixture(scope="module")
@@ -316,3 +316,19 @@ def test_a_search_meets_all_points_at_once_where_cells_save_nothing(spark):
         got = [(r.i, r.j) for r in tiles.probe(asking, 0.9, near, "i bigint, j bigint", extra).collect()]
         assert len(got) == len(set(got))
         assert set(got) == {(i, j) for i in range(0, 400, step) for j in range(400) if d[i, j] <= 0.9 and step < 1000}
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_pairs_in_reach_are_those_of_direct_differences(shift):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-3, 4, (70, 5)) + shift, rng.integers(-3, 4, (50, 5)) + shift
+    b[:9] = a[:9]
+    for radius in (0.0, 1.0, 2.0**0.5, 3.0, 5.0**0.5, np.inf):
+        assert (near(a, b, radius) == (distances(a, b) <= radius)).all()
+    c = rng.normal(size=(40, 64)) + shift
+    for radius in np.unique(distances(c, c))[::97]:
+        assert (near(c, c, radius) == (distances(c, c) <= radius)).all()
+    a[0, 0], a[1, 1], b[2, 2] = np.nan, np.inf, 1e200
+    with np.errstate(all="ignore"):
+        assert (near(a, b, 3.0) == (distances(a, b) <= 3.0)).all()
+    assert near(a[:0], b, 1.0).shape == (0, 50)
