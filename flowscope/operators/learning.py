@@ -117,9 +117,18 @@ class TermClassifier:
     def __init__(self, vocab: DataFrame, size: int, key: str, kernel: tuple[float, int, int] | None):
         self.vocab, self.size, self.key, self.kernel, self.model = vocab, size, key, kernel, None
 
-    def features(self, texts: DataFrame) -> DataFrame:
-        """The rows with ``features``: sparse weights of the numbered terms, or random Fourier features of them."""
-        weights = tfidf.tfidf(texts, F.col("grams"), vocab=self.vocab.select("term", "idf"), key=self.key)
+    def features(self, texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        """The rows with ``features``: sparse weights of the numbered terms, or random Fourier features of them.
+
+        ``grams``, which is many times as large as its text, is only counted, unless ``counts`` are given; it is not carried
+        through the joins and not in the result.
+        """
+        vocab = self.vocab.select("term", "idf")
+        if counts is None:
+            weights = tfidf.tfidf(texts, F.col("grams"), vocab=vocab, key=self.key)
+        else:
+            weights = tfidf.weighted_counts(counts, vocab, self.key)
+        texts = texts.drop("grams")
         if self.kernel is None:
             return tfidf.sparse_vectors(texts, weights, self.vocab, self.size, self.key)
         gamma, places, seed = self.kernel
@@ -143,7 +152,7 @@ def fit_url_classifier(
     counts = cut_lineage(tfidf.term_counts(train, F.col("grams"), key), "term-counts")
     vocab = cut_lineage(tfidf.numbered(cut_lineage(tfidf.vocabulary(counts, train.count(), vocab_size), "idf")), "vocabulary")
     fitted = TermClassifier(vocab, vocab.count(), key, (gamma, places, seed) if kind == "kernel" else None)
-    ready = cut_lineage(fitted.features(train), "features")
+    ready = cut_lineage(fitted.features(train.select(key, label), counts), "features")
     fitted.model = fit_vector_classifier(ready, "logistic" if kind == "logistic" else "svm", label)
     return fitted
 

@@ -117,6 +117,30 @@ def test_fourier_features_approximate_the_kernel_and_part_a_ring(spark):
     assert scores[0] > 0.95 and scores[1] < 0.75
 
 
+def test_fourier_features_move_cells_and_not_arrays(spark, capsys):
+    rng = np.random.default_rng(6)
+    cells = [(i, f"{chr(97 + t % 26)}\u00e9{t}", float(rng.standard_normal())) for i in range(60) for t in rng.choice(400, 40, replace=False).tolist()]
+    rows = spark.createDataFrame(cells + [(60, "a", 0.0)], "doc_id bigint, term string, weight double")
+    sums = {r.doc_id: np.array(r.sums) for r in K.weighted_sums(rows.filter("weight <> 0"), K.gaussian_rows(rows, "term", 96, 5), "term", "doc_id").collect()}
+    sums[60] = np.zeros(96)
+    shift = spark.range(96).select(K._uniform(F.lit("shift"), F.col("id").cast("int"), F.lit(5)).alias("u")).orderBy("id").collect()
+    waves = K.fourier_features(rows, "doc_id", "term", 0.3, 96, 5)
+    got = {r.doc_id: r.fourier for r in waves.collect()}
+    assert got.keys() == sums.keys()
+    for i, s in sums.items():
+        want = math.sqrt(2 / 96) * np.cos(math.sqrt(0.6) * s + 2 * math.pi * np.array([r.u for r in shift]))
+        assert np.allclose(got[i], want, atol=1e-12)
+    waves.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Join" not in plan and "cos(" not in plan
+
+
+def test_classifier_features_leave_the_grams_behind(docs):
+    ready = L.bigram_features(docs)
+    fitted = L.fit_url_classifier(ready, "kernel", 500, places=16)
+    assert "grams" not in fitted.features(ready).columns and fitted.features(ready).count() == docs.count()
+
+
 def test_kernel_decision_of_any_rows(spark):
     rows, points = ring(spark, 30)
     support = [(0, "x", 0.5), (0, "y", -0.5), (1, "x", -1.0), (2, "z", 1.0)]
