@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,27 +13,38 @@ from flowscope.operators.scale import cut_lineage, rank_by, salted_join
 from flowscope.operators.tiles import Tile, Tiles, copies_of, distinct_points
 
 
-def _forest(adjacent: np.ndarray) -> np.ndarray:
-    """Root (smallest row number) of each row's component in a symmetric adjacency matrix."""
-    root = np.arange(len(adjacent))
-    far = len(adjacent)
+def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the components of linked rows; ``root`` holds the smallest row number of each row's component."""
     while True:
-        low = np.minimum(root, np.where(adjacent, root[None, :], far).min(axis=1))
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
 
 
 def neighbour_weights(tiles: Tiles, eps: float) -> DataFrame:
     """``(id, near)``: weight of the other points within ``eps``."""
 
-    def count(tile: Tile) -> dict:
-        hit = tile.within(eps).astype(np.int64)
-        ids, w = tile.column("id"), tile.column("weight")
-        return {"id": np.concatenate(ids), "near": np.concatenate([hit @ w[1], w[0] @ hit])}
+    def count(tile: Tile) -> Iterator[dict]:
+        ids, (wa, wb) = tile.column("id"), (w.astype(np.float64) for w in tile.column("weight"))
+        left, right = np.zeros(len(wa)), np.zeros(len(wb))
+        for rows, cols, hit in tile.hits(eps):
+            ones = hit.astype(np.float64)
+            left[rows] += ones @ wb[cols]
+            right[cols] += wa[rows] @ ones
+        if tile.same:
+            yield {"id": ids[0], "near": (left + right).astype(np.int64)}
+        else:
+            yield {"id": np.concatenate(ids), "near": np.concatenate([left, right]).astype(np.int64)}
 
-    return tiles.map(count, "id bigint, near bigint").groupBy("id").agg(F.sum("near").alias("near"))
+    return tiles.map(count, "id bigint, near bigint", whole=True).groupBy("id").agg(F.sum("near").alias("near"))
 
 
 def dbscan(points: DataFrame, eps: float = 1.2, min_samples: int = 10, block_rows: int = 1024) -> DataFrame:
@@ -46,26 +59,26 @@ def dbscan(points: DataFrame, eps: float = 1.2, min_samples: int = 10, block_row
     total = F.col("weight") + F.coalesce("near", F.lit(0))
     marks = cut_lineage(unique.join(near, "id", "left").select("id", (total >= min_samples).alias("core")), "core")
 
-    def links(tile: Tile) -> dict | None:
-        (ia, ib), (ca, cb) = tile.column("id"), tile.column("core")
-        hit = tile.within(eps)
+    def links(tile: Tile) -> Iterator[dict]:
+        ids, core, shift = *(np.concatenate(tile.column(n)) for n in ("id", "core")), len(tile.left)
         if tile.same:
-            ids, core = ia, ca
-            adjacent = hit | hit.T
-        else:
-            ids, core = np.concatenate([ia, ib]), np.concatenate([ca, cb])
-            adjacent = np.zeros((len(ids), len(ids)), bool)
-            adjacent[: len(ia), len(ia) :] = hit
-            adjacent |= adjacent.T
-        inner = np.nonzero(core)[0]
-        root = inner[_forest(adjacent[np.ix_(inner, inner)])] if len(inner) else inner
-        rows, cols = np.nonzero(adjacent & ~core[:, None] & core[None, :])
-        moved = root != inner
-        u = np.concatenate([ids[inner][moved], ids[rows]])
-        v = np.concatenate([ids[root][moved], ids[cols]])
-        return {"u": u, "v": v, "border": np.concatenate([np.zeros(moved.sum(), bool), np.ones(len(rows), bool)])}
+            ids, core, shift = ids[: len(tile.left)], core[: len(tile.left)], 0
+        core, root, us, vs = core.astype(bool), np.arange(len(ids)), [], []
+        for rows, cols, hit in tile.hits(eps):
+            sides = np.arange(len(tile.left))[rows], np.arange(len(tile.right))[cols] + shift
+            ca, cb = core[sides[0]], core[sides[1]]
+            i, j = np.nonzero(hit & ca[:, None] & cb[None, :] & (root[sides[0]][:, None] != root[sides[1]][None, :]))
+            _unite(root, sides[0][i], sides[1][j])
+            for (a, b), part, inner, outer in (((0, 1), hit, ca, cb), ((1, 0), hit.T, cb, ca)):
+                lone, met = np.flatnonzero(~inner), np.flatnonzero(outer)
+                i, j = np.nonzero(part[np.ix_(lone, met)])
+                us.append(sides[a][lone[i]])
+                vs.append(sides[b][met[j]])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        u, v = (np.concatenate([x, *y]) for x, y in ((moved, us), (root[moved], vs)))
+        yield {"u": ids[u], "v": ids[v], "border": np.arange(len(u)) >= len(moved)}
 
-    edges = cut_lineage(tiles.map(links, "u bigint, v bigint, border boolean", extra=marks), "links")
+    edges = cut_lineage(tiles.map(links, "u bigint, v bigint, border boolean", extra=marks, whole=True), "links")
     roots = connected_components(edges.filter("not border").select("u", "v"))
     core_roots = (
         marks.filter("core").select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))

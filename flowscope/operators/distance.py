@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.scale import cut_lineage, kth_smallest
-from flowscope.operators.tiles import Tile, Tiles
+from flowscope.operators.tiles import Tile, Tiles, apart
+
+#: Pairs of a tile that leave it together.
+LISTED_ROWS = 1 << 18
 
 
 def euclidean(a, b):
@@ -19,13 +24,32 @@ def euclidean(a, b):
 def pairs_within(points: DataFrame, radius: float, block_rows: int = 1024) -> DataFrame:
     """Pairs ``(i, j, d)`` with ``i < j`` and distance at most ``radius``; the output is as large as the answer."""
 
-    def pairs(tile: Tile) -> dict:
-        rows, cols, d = tile.pairs(radius)
+    def pairs(tile: Tile) -> Iterator[dict]:
         left, right = tile.column("id")
-        a, b = left[rows], right[cols]
-        return {"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d}
+        for i, j, d in _listed(tile, radius):
+            a, b = left[i], right[j]
+            yield {"i": np.minimum(a, b), "j": np.maximum(a, b), "d": d}
+
+    return Tiles(points.select("id", "features"), radius, block_rows).map(pairs, "i bigint, j bigint, d double", whole=True)
+
+
+def _listed(tile: Tile, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and distances of the pairs of a whole tile within ``radius``, some pieces at a time."""
+    held, size = [], 0
+    for rows, cols, hit in tile.hits(radius):
+        i, j = np.nonzero(hit)
+        held.append((i + rows.start, j + cols.start))
+        size += len(i)
+        if size >= LISTED_ROWS:
+            yield _measured(tile, held)
+            held, size = [], 0
+    if size:
+        yield _measured(tile, held)
+
 
-    return Tiles(points.select("id", "features"), radius, block_rows).map(pairs, "i bigint, j bigint, d double")
+def _measured(tile: Tile, held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = (np.concatenate(x) for x in zip(*held))
+    return i, j, apart(*tile.vectors, i, j)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -66,12 +90,12 @@ def cutoff_distance(points: DataFrame, percent: float = 2.0, block_rows: int = 1
         bound = kth_smallest(cut_lineage(block_neighbours(tiles, every=True), "neighbours"), "d", k, "w")
     radius = float("inf") if bound is None else bound
 
-    def pairs(tile: Tile) -> dict:
-        rows, cols, d = tile.pairs(radius)
+    def pairs(tile: Tile) -> Iterator[dict]:
         left, right = tile.column("weight")
-        return {"d": d, "w": left[rows] * right[cols]}
+        for i, j, d in _listed(tile, radius):
+            yield {"d": d, "w": left[i] * right[j]}
 
-    listed = Tiles(points, radius, block_rows).map(pairs, "d double, w bigint")
+    listed = Tiles(points, radius, block_rows).map(pairs, "d double, w bigint", whole=True)
     found = kth_smallest(listed, "d", k, "w")
     if found is None:
         raise ValueError("fewer positive distances than the wanted rank")

@@ -15,8 +15,10 @@ nearly every cell, and copying it there costs more than the distances it spares.
 points first, without moving any, and the first level takes the number of pivots with the least work; a crowded cell is
 split only if that lowers its work, and a search meets all points in one cell if that is cheaper. Results are the same.
 
-What is moved is a dealt block, as many points as a few megabytes hold; inside a task it is cut into blocks of
+What is moved is a dealt block, as many points as some megabytes hold; inside a task it is cut into blocks of
 ``block_rows`` points, which are what a function sees. All pairs of N points so move each point N / dealt block times.
+A function that is asked for ``whole`` tiles sees two dealt blocks, goes over their pairs piece by piece and returns its
+sums once for all of them, so what leaves a task is a row per point and dealt tile, not per point and block.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ FANOUT = 32
 PLACE_ROWS = 1024
 CHUNK_ROWS = 4096
 #: Size of a dealt block of points; a task holds two.
-DEALT_BYTES = 4 << 20
+DEALT_BYTES = 16 << 20
+#: Rows and columns of a piece of a whole tile.
+PIECE_ROWS = 768
 #: A moved row counts as much work as this many distances.
 MOVED = 128
 
@@ -136,6 +140,53 @@ class Tile:
         rows, cols = np.nonzero(self.within(radius))
         return rows, cols, apart(*self.vectors, rows, cols)
 
+    @cached_property
+    def _framed(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Both sides such that products are squares of distances, the largest norms and the rounding error of a square."""
+        a, b = self.vectors
+        with np.errstate(all="ignore"):
+            middle = a.mean(axis=0) if len(a) else 0.0
+            x, y = a - middle, b - middle
+            nx, ny = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[:, None]
+            norms = float(nx.max(initial=0.0) + ny.max(initial=0.0))
+            left, right = np.hstack([-2.0 * x, nx, np.ones_like(nx)]), np.hstack([y, np.ones_like(ny), ny])
+        return left, right, norms, 8 * (a.shape[1] + 8) * np.finfo(np.float64).eps * norms
+
+    @property
+    def norms(self) -> float:
+        return self._framed[2]
+
+    @property
+    def margin(self) -> float:
+        return self._framed[3]
+
+    def pieces(self) -> Iterator[tuple[slice, slice, bool]]:
+        """Rows and columns of the pieces with pairs, and whether a piece lies on the diagonal of a ``same`` tile."""
+        for i in range(0, self.left.num_rows, PIECE_ROWS):
+            for j in range(i if self.same else 0, self.right.num_rows, PIECE_ROWS):
+                yield slice(i, i + PIECE_ROWS), slice(j, j + PIECE_ROWS), self.same and i == j
+
+    def squares(self, rows: slice, cols: slice) -> np.ndarray:
+        """Squared distances of a piece from products, exact up to ``margin``, or by differences if that is not finite."""
+        if not np.isfinite(self.margin):
+            return distances(self.vectors[0][rows], self.vectors[1][cols]) ** 2
+        return self._framed[0][rows] @ self._framed[1][cols].T
+
+    def hits(self, radius: float, strict: bool = False) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Pieces, and which of their distances are at most ``radius`` (``strict``: less) by direct differences."""
+        a, b = self.vectors
+        for rows, cols, diagonal in self.pieces():
+            if np.isfinite(self.margin):
+                square = self.squares(rows, cols)
+                hit = square <= radius * radius + self.margin
+                i, j = np.nonzero(hit & (square > radius * radius - self.margin))
+                d = apart(a[rows], b[cols], i, j)
+                hit[i, j] = d < radius if strict else d <= radius
+            else:
+                d = distances(a[rows], b[cols])
+                hit = d < radius if strict else d <= radius
+            yield rows, cols, np.triu(hit, 1) if diagonal else hit
+
     def column(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.asarray(t.column(name).to_pylist()) for t in (self.left, self.right))
 
@@ -184,6 +235,7 @@ class Tiles:
         chosen = points.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
         self.pivots = np.array([r["features"] for r in chosen], dtype=np.float64)
         self.dealt_rows = self._dealt_rows()
+        self._last: tuple | None = None
         if not self.fixed:
             self.pivots = self.pivots[: self._cheapest()]
         self.levels: list[DataFrame] = []
@@ -339,7 +391,14 @@ class Tiles:
             return rows.join(F.broadcast(sizes), "cell")
         return salted_join(rows, sizes, "cell", "id", "inner")
 
-    def probe(self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame) -> DataFrame:
+    def reach(self, asking: DataFrame, radius: float) -> float:
+        """How far a search within ``radius`` sees: without limit if asking points and points all meet in one cell."""
+        _, _, met = self._met(asking, radius)
+        return math.inf if self._last[2] else radius
+
+    def probe(
+        self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame, whole: bool = False
+    ) -> DataFrame:
         """Apply ``fn`` to tiles of ``asking`` points (left) and all points of a cell (right) within ``radius``.
 
         Only the asking points visit other cells; ``extra`` adds columns by ``id`` to both sides.
@@ -356,10 +415,17 @@ class Tiles:
             return dealt.select("cell", mine, every, F.lit(side).alias("side"), *columns).select("cell", "a", "b", "side", *columns)
 
         both = spread(left, "_ab", "_hb", 0).unionByName(spread(homes, "_hb", "_ab", 1))
-        return both.groupBy("cell", "a", "b").applyInArrow(_over_blocks(fn, schema, self.block_rows), schema)
+        return both.groupBy("cell", "a", "b").applyInArrow(_over_blocks(fn, schema, self.block_rows, whole=whole), schema)
 
     def _met(self, asking: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Asking points and points with the cells where they meet, and the numbers of blocks of these cells."""
+        if self._last is None or self._last[0] is not asking or self._last[1] != radius:
+            found = self._meeting(asking, radius)
+            self._last = (asking, radius, "_asked" not in found[2].columns, found)
+        asked, homes, met = self._last[3]
+        return asked, homes, met.select("cell", "_hb", "_ab")
+
+    def _meeting(self, asking: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
         if self.levels:
             visiting = self._place(asking, radius)
         else:
@@ -377,12 +443,15 @@ class Tiles:
                     F.lit(math.ceil(number / self.dealt_rows)).alias("_ab"))
                 return asking.withColumn("cell", F.lit("")), self.points.withColumn("cell", F.lit("")), one
         homes = self.placed.filter("home").drop("home")
-        return self._place(asking, radius).drop("home"), homes, met.select("cell", "_hb", "_ab")
+        return self._place(asking, radius).drop("home"), homes, met
 
-    def map(self, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None, own_block: bool = False):
+    def map(
+        self, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None, own_block: bool = False, whole: bool = False
+    ):
         """Apply ``fn`` to every tile; it returns columns in the order of ``schema``.
 
-        ``extra`` adds columns by ``id``. ``own_block`` only visits the tiles of a block with itself.
+        ``extra`` adds columns by ``id``. ``own_block`` only visits the tiles of a block with itself. With ``whole``, a tile is
+        two dealt blocks, and ``fn`` yields any number of results.
         """
         placed = self.placed if extra is None else self.placed.join(extra, "id")
         blocks = F.when(F.col("home"), F.col("_hb")).otherwise(F.col("_gb"))
@@ -412,7 +481,7 @@ class Tiles:
             guest = F.transform(F.sequence(F.lit(0), F.col("_hb") - 1), lambda h: tile(1, h, mine, F.lit(1)))
             spots = F.when(F.col("home"), F.concat(inner, met)).otherwise(guest)
         spread = rows.select("cell", *columns, F.explode(spots).alias("_t")).select("cell", "_t.*", *columns)
-        run = _over_blocks(fn, schema, self.block_rows, own_block)
+        run = _over_blocks(fn, schema, self.block_rows, own_block, whole)
         return spread.groupBy("cell", "kind", "a", "b").applyInArrow(run, schema)
 
 
@@ -421,8 +490,11 @@ def _probing(asked, homes, asked_blocks, home_blocks):
     return asked * homes + MOVED * (asked * (home_blocks + 1) + homes * asked_blocks)
 
 
-def _over_blocks(fn: Callable[[Tile], dict], schema: str, block_rows: int, own_block: bool = False):
-    """Apply ``fn`` to the pairs of blocks of two dealt blocks, or of one with itself; a pair's result leaves at once."""
+def _over_blocks(fn: Callable[[Tile], dict], schema: str, block_rows: int, own_block: bool = False, whole: bool = False):
+    """Apply ``fn`` to the pairs of blocks of two dealt blocks, or of one with itself; a pair's result leaves at once.
+
+    With ``whole``, ``fn`` sees the dealt blocks and yields its results.
+    """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def cut(table: pa.Table) -> list[pa.Table]:
@@ -432,9 +504,18 @@ def _over_blocks(fn: Callable[[Tile], dict], schema: str, block_rows: int, own_b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         side = table.column("side").to_numpy()
-        left = cut(table.filter(pa.array(side == 0)))
+        sides = [table.filter(pa.array(side == i)) for i in (0, 1)]
         same = "kind" in table.column_names and table.column("kind")[0].as_py() == 0 and table.column("a")[0] == table.column("b")[0]
-        right = left if same else cut(table.filter(pa.array(side == 1)))
+        if whole:
+            left = sides[0].combine_chunks()
+            right = left if same else sides[1].combine_chunks()
+            del table, sides
+            if left.num_rows and right.num_rows:
+                for out in fn(Tile(left, right, same)):
+                    yield from _as_table(out, names, schema).to_batches()
+            return
+        left = cut(sides[0])
+        right = left if same else cut(sides[1])
         for i, a in enumerate(left):
             for j in range(i if same else 0, i + 1 if own_block else len(right)):
                 out = fn(Tile(a, right[j], same and i == j))

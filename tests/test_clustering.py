@@ -332,3 +332,21 @@ def test_pairs_in_reach_are_those_of_direct_differences(shift):
     with np.errstate(all="ignore"):
         assert (near(a, b, 3.0) == (distances(a, b) <= 3.0)).all()
     assert near(a[:0], b, 1.0).shape == (0, 50)
+
+
+def test_whole_tiles_give_a_row_per_point_and_the_same_results(points, cloud, monkeypatch):
+    monkeypatch.setattr("flowscope.operators.tiles.PIECE_ROWS", 7)
+    monkeypatch.setattr("flowscope.operators.distance.LISTED_ROWS", 5)
+    d = matrix(cloud)
+    label, core = brute_dbscan(d, 0.25, 6)
+    assert {r.id: (r.label, r.core) for r in dbscan(points, 0.25, 6, 24).collect()} == {i: (label[i], core[i]) for i in range(len(cloud))}
+    listed = [(r.i, r.j) for r in distance.pairs_within(points, 0.6, block_rows=16).collect()]
+    assert sorted(listed) == [(i, j) for i in range(len(d)) for j in range(i + 1, len(d)) if d[i, j] <= 0.6]
+    _, rho, delta, nearest = brute_peaks(cloud)
+    for r in density.density_peaks(points, block_rows=16).collect():
+        assert r.rho == pytest.approx(rho[r.id], rel=1e-9) and r.delta == pytest.approx(delta[r.id])
+        assert (-1 if r.nneigh is None else r.nneigh) == nearest[r.id]
+    unique = distinct_points(points)
+    tiles = Tiles(unique, float("inf"), block_rows=4)
+    sums = tiles.map(lambda t: iter([{"n": [t.left.num_rows]}]), "n bigint", whole=True).count()
+    assert sums < tiles.map(lambda t: {"n": [1]}, "n bigint").count() / 4
