@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.llm.scale import ID_ROWS, checked_broadcast
-from flowscope.llm.words import Texts, pieces, release_memory
+from flowscope.llm.words import Texts, pieces, release_memory, release_tables
 from flowscope.operators.components import connected_components
 from flowscope.operators.scale import cut_lineage
 
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, hash, fp)`` per row: a hash of the text and the fingerprint, as signed 64-bit numbers."""
 
     def run(batches):
+        release_tables()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 fp = _fingerprints(Texts(piece.column("text"), lower=True), shingle, seed)

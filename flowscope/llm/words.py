@@ -36,6 +36,14 @@ def release_memory() -> None:
         pass
 
 
+def release_tables() -> None:
+    """Forget the tables of :func:`worker_store`; for a stage that needs none after one that built them in this worker."""
+    store = worker_store()
+    for name in [k for k in store if not (isinstance(k, str) and k.startswith("__"))]:
+        del store[name]
+    release_memory()
+
+
 def space_separated() -> np.ndarray:
     """Bytes of words ``[^\\x20\\x09-\\x0D]+``."""
     table = np.ones(256, bool)

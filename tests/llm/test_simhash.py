@@ -128,3 +128,11 @@ def test_home_is_a_codeword_and_copies_are_bounded(spark):
     per = S.anchors(df, 3).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     assert per.agg(F.max("n")).first()[0] <= 32
     assert S.block_length(2) == 31 and S.block_length(1) == 63 and S.block_length(3) == 15
+
+
+def test_tables_of_an_earlier_stage_are_given_back():
+    from flowscope.llm.words import release_tables, worker_store
+
+    worker_store()["encoder", "some"] = [0] * 1000
+    release_tables()
+    assert ("encoder", "some") not in worker_store()
