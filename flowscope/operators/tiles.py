@@ -397,15 +397,16 @@ class Tiles:
         return math.inf if self._last[2] else radius
 
     def probe(
-        self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame, whole: bool = False
+        self, asking: DataFrame, radius: float, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None,
+        whole: bool = False,
     ) -> DataFrame:
         """Apply ``fn`` to tiles of ``asking`` points (left) and all points of a cell (right) within ``radius``.
 
         Only the asking points visit other cells; ``extra`` adds columns by ``id`` to both sides.
         """
-        asked, homes, sizes = self._met(asking, radius)
-        homes = homes.join(extra, "id")
-        left = asked.join(extra, "id")
+        left, homes, sizes = self._met(asking, radius)
+        if extra is not None:
+            left, homes = left.join(extra, "id"), homes.join(extra, "id")
 
         def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
             mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own)).cast("int").alias("a" if side == 0 else "b")
@@ -485,6 +486,11 @@ class Tiles:
         return spread.groupBy("cell", "kind", "a", "b").applyInArrow(run, schema)
 
 
+def one_cell(points: DataFrame, block_rows: int = 1024) -> Tiles:
+    """All points in one cell, cut into dealt blocks only; for searches by few points."""
+    return Tiles(points, math.inf, block_rows, cell_rows=1 << 62, first=1)
+
+
 def _probing(asked, homes, asked_blocks, home_blocks):
     """Work of a cell of a search, of numbers or columns."""
     return asked * homes + MOVED * (asked * (home_blocks + 1) + homes * asked_blocks)

@@ -350,3 +350,27 @@ def test_whole_tiles_give_a_row_per_point_and_the_same_results(points, cloud, mo
     tiles = Tiles(unique, float("inf"), block_rows=4)
     sums = tiles.map(lambda t: iter([{"n": [t.left.num_rows]}]), "n bigint", whole=True).count()
     assert sums < tiles.map(lambda t: {"n": [1]}, "n bigint").count() / 4
+
+
+def crowds():
+    """Crowded boxes of 1/sqrt(2): a large blob, boxes linked only by points other than their first, and loose points."""
+    rng = np.random.default_rng(6)
+    blob = rng.normal(0, 0.6, (400, 2)) + [-9, 0]
+    first, second = [[0.01, 0.3]] + [[0.69, 0.3 + k / 100] for k in range(9)], [[2.1, 0.3]] + [[1.45, 0.3 + k / 100] for k in range(9)]
+    corner = [[5.05, 0.65]] + [[5.6, 0.05 + k / 100] for k in range(9)]
+    beyond = [[5.7, 1.68]] + [[6.3, 1.5 + k / 100] for k in range(9)]
+    loose = [[0.69, 1.3], [0.69, 1.5], [2.9, 0.2], [30.0, 30.0], [-40.0, 2.0], [np.nan, 0.0]]
+    return np.concatenate([first, second, corner, beyond, blob, loose, np.repeat([[50.0, 50.0]], 12, 0)])
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_dbscan_of_crowded_boxes_compares_one_point_of_each(spark, monkeypatch, order):
+    x = crowds()[::order]
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, features array<double>")
+    compared, init = [], Tiles.__init__
+    monkeypatch.setattr(Tiles, "__init__", lambda self, points, *a, **k: (compared.append((points.count(), a, k)), init(self, points, *a, **k))[1])
+    label, core = brute_dbscan(np.nan_to_num(matrix(x), nan=np.inf), 1.0, 10)
+    got = {r.id: (r.label, r.core) for r in dbscan(df, 1.0, 10, 32).collect()}
+    assert got == {i: (label[i], core[i]) for i in range(len(x))}
+    assert label.max() == 4 and (label == -1).any() and ((label >= 0) & ~core).any()
+    assert compared[0][0] < len(x) / 3 and compared[0][1][0] == 1.0
