@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.text import (
     attack_tokens,
-    char_ngrams,
+    counted_ngrams,
     normalise_query,
     normalise_url,
     percent_decode,
@@ -107,12 +107,15 @@ def malicious_urls(scored: DataFrame, keys: Sequence[str], list_rows: int = 100_
 
 
 def bigram_features(texts: DataFrame, column: str = "text", n: int = 2) -> DataFrame:
-    """Character n-grams of the decoded, lower-cased text, as the vectoriser of the URL classifiers sees it."""
-    return texts.withColumn("grams", char_ngrams(F.lower(percent_decode(column)), n))
+    """Character n-grams of the decoded, lower-cased text and their counts, as the vectoriser of the URL classifiers sees it.
+
+    ``grams`` holds each distinct n-gram once: the list of all of them is many times as large as the text.
+    """
+    return texts.withColumn("grams", counted_ngrams(F.lower(percent_decode(column)), n))
 
 
 class TermClassifier:
-    """A classifier over the TF-IDF weights of the array column ``grams``; its vocabulary is a stored table."""
+    """A classifier over the TF-IDF weights of the array column ``grams``, counted or not; its vocabulary is a stored table."""
 
     def __init__(self, vocab: DataFrame, size: int, key: str, kernel: tuple[float, int, int] | None):
         self.vocab, self.size, self.key, self.kernel, self.model = vocab, size, key, kernel, None
@@ -120,8 +123,7 @@ class TermClassifier:
     def features(self, texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         """The rows with ``features``: sparse weights of the numbered terms, or random Fourier features of them.
 
-        ``grams``, which is many times as large as its text, is only counted, unless ``counts`` are given; it is not carried
-        through the joins and not in the result.
+        ``grams`` is only counted, unless ``counts`` are given; it is not carried through the joins and not in the result.
         """
         vocab = self.vocab.select("term", "idf")
         if counts is None:

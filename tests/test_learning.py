@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from flowscope.functions.text import char_ngrams
+from flowscope.functions.text import char_ngrams, percent_decode
 from flowscope.operators import forest as R
 from flowscope.operators import kernel as K
 from flowscope.operators import learning as L
@@ -162,6 +162,19 @@ def test_classifier_features_leave_the_grams_behind(docs):
     assert "grams" not in fitted.features(ready).columns and fitted.features(ready).count() == docs.count()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_grams_are_counted_within_each_text(spark, capsys, n):
+    texts = ["", "a", "ab", "abc", "abab" * 500, "\U0001f600\U0001f600é\U0001f600\U0001f600é%41 \n\t", "Ünï%C3%A9+%zz" * 3, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ready = L.bigram_features(docs, n=n)
+    plain = docs.withColumn("grams", char_ngrams(F.lower(percent_decode("text")), n))
+    assert all(len(r.grams) == len({g.term for g in r.grams}) for r in ready.collect())
+    counts = T.term_counts(ready, F.col("grams"))
+    assert sorted(counts.collect()) == sorted(T.term_counts(plain, F.col("grams")).collect())
+    counts.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_kernel_decision_of_any_rows(spark):
     rows, points = ring(spark, 30)
     support = [(0, "x", 0.5), (0, "y", -0.5), (1, "x", -1.0), (2, "z", 1.0)]
