@@ -62,9 +62,12 @@ def salted_join(
 
     Each left row gets one of ``salts`` salts from its ``spread`` column and the right side is copied once per
     salt, so a hot key meets its partner in ``salts`` partitions. No hint is given: when the right side is under
-    the broadcast threshold by its own statistics, Spark broadcasts it, otherwise the salted shuffle stands.
+    the broadcast threshold by its own statistics, Spark broadcasts it, otherwise the salted shuffle stands. Statistics do
+    not count copies, so a side that Spark broadcasts is not copied: the driver would hold all of them.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if how in ("inner", "left", "left_semi", "left_anti") and _is_broadcast(right):
+        return null_safe_join(left, right, on, how) if null_safe else left.join(right, on, how)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("_salt", salt)
@@ -73,6 +76,13 @@ def salted_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's statistics put a table under the broadcast threshold."""
+    execution = df._jdf.queryExecution()
+    threshold = execution.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return execution.optimizedPlan().stats().sizeInBytes() <= threshold
+
+
 def _block(order: str, block_rows: int) -> Column:
     return F.floor(F.col(order) / F.lit(block_rows)).cast("bigint")
 

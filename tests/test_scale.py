@@ -119,3 +119,24 @@ def test_no_executor_local_lineage_is_used():
     root = Path(S.__file__).parents[1]
     text = "".join(p.read_text() for p in root.rglob("*.py"))
     assert "localCheckpoint" not in text and "crossJoin" not in text and ".toPandas" not in text
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_side_that_is_broadcast_is_not_copied(spark, tmp_path, how):
+    rows = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 40).alias("k"))
+    spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(str(tmp_path / "dim"))
+    dim = spark.read.parquet(str(tmp_path / "dim"))
+
+    def planned():
+        joined = S.salted_join(rows, dim, "k", "seq", how)
+        return joined.count(), joined._jdf.queryExecution().executedPlan().toString()
+
+    want = rows.join(dim, "k", how).count()
+    number, plan = planned()
+    assert number == want and "BroadcastHashJoin" in plan and "explode" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        number, plan = planned()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert number == want and "BroadcastHashJoin" not in plan and "explode" in plan
