@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowscope.operators.scale import cut_lineage, kth_smallest
-from flowscope.operators.tiles import Tile, Tiles, apart
+from flowscope.operators.tiles import Tile, Tiles, apart, where
 
 #: Pairs of a tile that leave it together.
 LISTED_ROWS = 1 << 18
@@ -37,7 +37,7 @@ def _listed(tile: Tile, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray,
     """Rows, columns and distances of the pairs of a whole tile within ``radius``, some pieces at a time."""
     held, size = [], 0
     for rows, cols, hit in tile.hits(radius):
-        i, j = np.nonzero(hit)
+        i, j = where(hit)
         held.append((i + rows.start, j + cols.start))
         size += len(i)
         if size >= LISTED_ROWS:

@@ -45,6 +45,8 @@ CHUNK_ROWS = 4096
 DEALT_BYTES = 16 << 20
 #: Rows and columns of a piece of a whole tile.
 PIECE_ROWS = 768
+#: One pair in so many is measured by itself rather than all pairs of its piece in double precision.
+FEW = 32
 #: A moved row counts as much work as this many distances.
 MOVED = 128
 
@@ -61,10 +63,17 @@ def distinct_points(points: DataFrame) -> DataFrame:
 
 
 def copies_of(points: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(id, point)``: the distinct point each row is a copy of."""
+    """``(id, point)``: the distinct point each row is a copy of.
+
+    Only vectors with copies are looked up, by a hash unless two of them share it, so that vectors are not moved.
+    """
     clean = F.transform("features", lambda x: x.cast("double") + F.lit(0.0))
-    keys = distinct.select("features", F.col("id").alias("point"))
-    return salted_join(points.select("id", clean.alias("features")), keys, "features", "id", "inner").select("id", "point")
+    rows = points.select("id", clean.alias("features")).filter("features IS NOT NULL")
+    keys = distinct.filter("weight > 1 AND features IS NOT NULL")
+    rows, keys = (t.withColumn("_hash", F.xxhash64("features")) for t in (rows, keys))
+    on = ["_hash"] if keys.groupBy("_hash").count().filter("count > 1").isEmpty() else ["_hash", "features"]
+    rows, keys = rows.select("id", *on), cut_lineage(keys.select(*on, F.col("id").alias("point")), "copied")
+    return salted_join(rows, keys, on, "id", "left").select("id", F.coalesce("point", "id").alias("point"))
 
 
 def matrix(table: pa.Table | pa.RecordBatch, column: str = "features") -> np.ndarray:
@@ -108,13 +117,21 @@ def near(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
 def apart(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Distances of single pairs by direct differences."""
     out = np.empty(len(rows))
-    step = max(1, 2_000_000 // max(1, a.shape[1]))
+    step = max(1, 131_072 // max(1, a.shape[1]))
     for start in range(0, len(rows), step):
         diff = a[rows[start : start + step]] - b[cols[start : start + step]]
         out[start : start + step] = np.sqrt((diff * diff).sum(axis=1))
     return out
 
 
+_row_products = getattr(np, "vecdot", None) or (lambda x, y: (x * y).sum(axis=1))
+
+
+def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the hits of a contiguous mask, several times as fast as ``nonzero`` if there are few."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 @dataclass
 class Tile:
     """Two blocks of points; for ``same`` tiles only pairs with row < column count."""
@@ -160,6 +177,50 @@ class Tile:
     def margin(self) -> float:
         return self._framed[3]
 
+    @cached_property
+    def _screen(self) -> tuple | None:
+        """Both sides in single precision such that products are at most the scaled squares of distances; the scale of a
+        square, and for each point the part of it that may be missing. None without finite values."""
+        a, b = self.vectors
+        with np.errstate(all="ignore"):
+            middle = a.mean(axis=0) if len(a) else 0.0
+            x, y = a - middle, b - middle
+            nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            largest = max(nx.max(initial=0.0), ny.max(initial=0.0))
+            if not 1e-250 < largest < 1e250:
+                return None
+            scale = 2.0 ** -round(math.log2(largest) / 2)
+        # twice what the rounding of the factors and of a sum of that length can come to; 1e-36 for what underflows
+        rounding = 4 * (a.shape[1] + 8) * float(np.finfo(np.float32).eps)
+        x, y, nx, ny = x * scale, y * scale, nx * scale**2, ny * scale**2
+        left = np.column_stack([-2.0 * x, (1 - rounding) * nx - 1e-36, np.ones(len(x))]).astype(np.float32)
+        right = np.column_stack([y, np.ones(len(y)), (1 - rounding) * ny - 1e-36]).astype(np.float32)
+        return left, right, scale**2, 2 * rounding * nx + 2e-36, 2 * rounding * ny + 2e-36
+
+    @property
+    def screened(self) -> bool:
+        return self._screen is not None
+
+    def least(self, rows: slice, cols: slice) -> np.ndarray:
+        """Squared distances of a piece, scaled and in single precision, each at most as large as it is exactly.
+
+        By products as well, at less than half the cost of :meth:`squares`; what may be missing is told by :meth:`missing`.
+        """
+        return self._screen[0][rows] @ self._screen[1][cols].T
+
+    @property
+    def scale(self) -> float:
+        return self._screen[2]
+
+    def missing(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of both sides' numbers is the most by which :meth:`least` is too small."""
+        return self._screen[3], self._screen[4]
+
+    def scaled(self, square):
+        """Squares of distances on the scale of :meth:`least`, in single precision and not smaller."""
+        with np.errstate(over="ignore", under="ignore"):
+            return np.nextafter(np.asarray(square * self.scale).astype(np.float32), np.float32(np.inf))
+
     def pieces(self) -> Iterator[tuple[slice, slice, bool]]:
         """Rows and columns of the pieces with pairs, and whether a piece lies on the diagonal of a ``same`` tile."""
         for i in range(0, self.left.num_rows, PIECE_ROWS):
@@ -172,14 +233,38 @@ class Tile:
             return distances(self.vectors[0][rows], self.vectors[1][cols]) ** 2
         return self._framed[0][rows] @ self._framed[1][cols].T
 
+    def squares_of(self, rows: slice, cols: slice, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The squares of :meth:`squares` of single pairs of a piece."""
+        out, (x, y, *_) = np.empty(len(i)), self._framed
+        x, y = x[rows], y[cols]
+        for start in range(0, len(i), 1024):
+            part = slice(start, start + 1024)
+            out[part] = _row_products(x[i[part]], y[j[part]])
+        return out
+
     def hits(self, radius: float, strict: bool = False) -> Iterator[tuple[slice, slice, np.ndarray]]:
         """Pieces, and which of their distances are at most ``radius`` (``strict``: less) by direct differences."""
         a, b = self.vectors
+        full = 0
         for rows, cols, diagonal in self.pieces():
-            if np.isfinite(self.margin):
+            hit = None
+            if self.screened and full < 3:
+                # few pairs in reach are found in single precision and measured; a tile that is full of them goes on in double
+                hit = self.least(rows, cols) <= self.scaled(radius * radius)
+                few = np.count_nonzero(hit) * FEW <= hit.size
+                full = 0 if few else full + 1
+                if few:
+                    i, j = where(hit)
+                    d = apart(a[rows], b[cols], i, j)
+                    hit[i, j] = d < radius if strict else d <= radius
+                else:
+                    hit = None
+            if hit is not None:
+                pass
+            elif np.isfinite(self.margin):
                 square = self.squares(rows, cols)
                 hit = square <= radius * radius + self.margin
-                i, j = np.nonzero(hit & (square > radius * radius - self.margin))
+                i, j = where(hit & (square > radius * radius - self.margin))
                 d = apart(a[rows], b[cols], i, j)
                 hit[i, j] = d < radius if strict else d <= radius
             else:
@@ -191,25 +276,40 @@ class Tile:
         return tuple(np.asarray(t.column(name).to_pylist()) for t in (self.left, self.right))
 
 
-def visits(points: np.ndarray, pivots: np.ndarray, reach: float, at_home: np.ndarray, all_cells: bool):
+def visits(points: np.ndarray, pivots: np.ndarray, reach: float, at_home: np.ndarray, all_cells: bool, between: np.ndarray | None = None):
     """``(row, cell, home)`` of every cell each point belongs to or visits.
 
     A point at home goes to its nearest pivot and visits the cells in reach, of lower number or all of them; one that
-    is a visitor already visits all cells in reach, the nearest included.
+    is a visitor already visits all cells in reach, the nearest included. Squares come from products; by their rounding
+    error a point visits more cells, so none is missed. ``between`` are the distances of the pivots, if they are known.
     """
-    apart = distances(pivots, pivots)
-    np.fill_diagonal(apart, 1.0)
-    d = distances(points, pivots)
-    home, row, cell = d.argmin(axis=1), np.arange(len(d)), np.arange(len(pivots))[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        margin = (d**2 - (d[row, home] ** 2)[:, None]) / (2.0 * apart[home])
+    between = distances(pivots, pivots) if between is None else between
+    home, margin = _nearest_pivot(points, pivots, between)
+    row, cell = np.arange(len(points)), np.arange(len(pivots))[None, :]
     visit = margin <= reach * (1 + 1e-9) + 1e-9
     visit &= (cell != home[:, None]) if all_cells else (cell < home[:, None]) | ~at_home[:, None]
     visit[row, home] = True
-    rows, cells = np.nonzero(visit)
+    rows, cells = where(visit)
     return rows, cells, at_home[rows] & (cells == home[rows])
 
 
+def _nearest_pivot(points: np.ndarray, pivots: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each point, and how far the planes to the other pivots are at least."""
+    row = np.arange(len(points))
+    with np.errstate(all="ignore"):
+        middle = pivots.mean(axis=0)
+        x, y = points - middle, pivots - middle
+        nx, ny = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
+        error = 16 * (points.shape[1] + 8) * np.finfo(np.float64).eps * (nx + ny.max(initial=0.0))
+        squares = nx + ny - 2.0 * (x @ y.T)
+        if not np.isfinite(error).all():
+            squares, error = distances(points, pivots) ** 2, np.zeros((len(points), 1))
+        home = squares.argmin(axis=1)
+        planes = 2.0 * np.where(between > 0, between, 1.0)[home]
+        planes[row, home] = 2.0
+        return home, (squares - squares[row, home][:, None] - error) / planes
+
+
 def _copied(table: pa.Table | pa.RecordBatch, rows: np.ndarray, cells: list[str], home: np.ndarray, names: list[str]) -> pa.RecordBatch:
     taken = table.select(names).take(pa.array(rows))
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
@@ -270,12 +370,13 @@ class Tiles:
         steps = sorted({min(4**k, most) for k in range(most.bit_length())})
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            between = distances(pivots, pivots)
             homes, guests = ({n: np.zeros(n, np.int64) for n in steps} for _ in range(2))
             for whole in batches:
                 for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
                     x = matrix(batch)
                     for n in steps:
-                        _, cells, home = visits(x, pivots[:n], reach, np.ones(len(x), bool), False)
+                        _, cells, home = visits(x, pivots[:n], reach, np.ones(len(x), bool), False, between[:n, :n])
                         homes[n] += np.bincount(cells[home], minlength=n)
                         guests[n] += np.bincount(cells[~home], minlength=n)
             for n in steps:
@@ -293,9 +394,10 @@ class Tiles:
         pivots, names = self.pivots, names or points.columns
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            between = distances(pivots, pivots)
             for whole in batches:
                 for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
-                    rows, cells, home = visits(matrix(batch), pivots, reach, np.ones(batch.num_rows, bool), all_cells)
+                    rows, cells, home = visits(matrix(batch), pivots, reach, np.ones(batch.num_rows, bool), all_cells, between)
                     yield _copied(batch, rows, [str(c) for c in cells], home, names)
 
         return points.mapInArrow(place, _placed_schema(points.select(*names)))
@@ -428,10 +530,9 @@ class Tiles:
 
     def _meeting(self, asking: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
         if self.levels:
-            visiting = self._place(asking, radius)
+            visiting = self._place(asking, radius).groupBy("cell").agg(F.count(F.lit(1)).alias("_asked"))
         else:
-            visiting = self._first_level(asking.select("id", "features"), radius, True, ["id"])
-        visiting = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("_asked"))
+            visiting = self._counted(asking, radius)
         met = self.sizes.join(visiting, "cell").withColumn("_ab", self._blocks("_asked"))
         met = cut_lineage(met.select("cell", "_homes", "_asked", "_hb", "_ab"), "met")
         if not self.fixed:
@@ -446,6 +547,22 @@ class Tiles:
         homes = self.placed.filter("home").drop("home")
         return self._place(asking, radius).drop("home"), homes, met
 
+    def _counted(self, asking: DataFrame, radius: float) -> DataFrame:
+        """How many asking points come to each cell of the first level; the visits are not listed."""
+        pivots = self.pivots
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            between, asked = distances(pivots, pivots), np.zeros(len(pivots), np.int64)
+            for whole in batches:
+                for batch in (whole.slice(i, PLACE_ROWS) for i in range(0, whole.num_rows, PLACE_ROWS)):
+                    _, cells, _ = visits(matrix(batch), pivots, radius, np.ones(batch.num_rows, bool), True, between)
+                    asked += np.bincount(cells, minlength=len(pivots))
+            hit = np.flatnonzero(asked)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([str(c) for c in hit], pa.string()), "asked": pa.array(asked[hit])})
+
+        counted = asking.select("features").mapInArrow(tally, "cell string, asked bigint")
+        return counted.groupBy("cell").agg(F.sum("asked").alias("_asked"))
+
     def map(
         self, fn: Callable[[Tile], dict], schema: str, extra: DataFrame | None = None, own_block: bool = False, whole: bool = False
     ):
