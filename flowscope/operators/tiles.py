@@ -529,21 +529,31 @@ class Tiles:
         return asked, homes, met.select("cell", "_hb", "_ab")
 
     def _meeting(self, asking: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+        number, blocks = asking.count(), math.ceil(self.count / self.dealt_rows)
+        whole = _probing(number, self.count, math.ceil(number / self.dealt_rows), blocks)
+
+        def cheaper(cells: DataFrame) -> bool:
+            a, h = F.col("_asked").cast("double"), F.col("_homes").cast("double")
+            return whole < (cells.agg(F.sum(_probing(a, h, self._blocks("_asked"), self._blocks("_homes")))).first()[0] or 0)
+
+        def at_once() -> tuple[DataFrame, DataFrame, DataFrame]:
+            one = asking.sparkSession.range(1).select(
+                F.lit("").alias("cell"), F.lit(blocks).alias("_hb"), F.lit(math.ceil(number / self.dealt_rows)).alias("_ab"))
+            return asking.withColumn("cell", F.lit("")), self.points.withColumn("cell", F.lit("")), one
+
+        if self.levels and not self.fixed:
+            # counted before any point is moved: who meets nearly all cells of the first level would be copied to all their parts
+            first = self.sizes.groupBy(F.substring_index("cell", "/", 1).alias("cell")).agg(F.sum("_homes").alias("_homes"))
+            if cheaper(first.join(self._counted(asking, radius), "cell")):
+                return at_once()
         if self.levels:
             visiting = self._place(asking, radius).groupBy("cell").agg(F.count(F.lit(1)).alias("_asked"))
         else:
             visiting = self._counted(asking, radius)
         met = self.sizes.join(visiting, "cell").withColumn("_ab", self._blocks("_asked"))
         met = cut_lineage(met.select("cell", "_homes", "_asked", "_hb", "_ab"), "met")
-        if not self.fixed:
-            number = asking.count()
-            whole = _probing(number, self.count, math.ceil(number / self.dealt_rows), math.ceil(self.count / self.dealt_rows))
-            a, h = F.col("_asked").cast("double"), F.col("_homes").cast("double")
-            if whole < (met.agg(F.sum(_probing(a, h, F.col("_ab"), F.col("_hb")))).first()[0] or 0):
-                one = met.limit(1).select(
-                    F.lit("").alias("cell"), F.lit(math.ceil(self.count / self.dealt_rows)).alias("_hb"),
-                    F.lit(math.ceil(number / self.dealt_rows)).alias("_ab"))
-                return asking.withColumn("cell", F.lit("")), self.points.withColumn("cell", F.lit("")), one
+        if not self.fixed and cheaper(met):
+            return at_once()
         homes = self.placed.filter("home").drop("home")
         return self._place(asking, radius).drop("home"), homes, met
 

@@ -132,3 +132,33 @@ def test_visits_of_a_search_are_counted_in_the_task(spark):
     counted = tiles._counted(points, 0.4)
     assert "MapInArrow" in counted._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_a_search_that_meets_all_cells_moves_no_point_to_their_parts(spark, monkeypatch):
+    """With further levels too, the work is counted before points are placed."""
+    monkeypatch.setattr("flowscope.operators.tiles.MAX_PIVOTS", 8)
+    x = sphere(400)
+    points = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, features array<double>")
+    tiles = Tiles(points, 0.0, block_rows=4)
+    assert tiles.levels
+    monkeypatch.setattr(Tiles, "_place", lambda *_: pytest.fail("points were placed"))
+    assert tiles.reach(points, 1.2) == np.inf
+    asked, homes, met = tiles._met(points, 1.2)
+    assert asked.count() == homes.count() == 400 and met.count() == 1
+
+
+def test_a_search_within_few_cells_still_visits_their_parts(spark, monkeypatch):
+    monkeypatch.setattr("flowscope.operators.tiles.MAX_PIVOTS", 8)
+    monkeypatch.setattr("flowscope.operators.tiles.MOVED", 1)
+    x = np.random.default_rng(6).uniform(0, 50, (600, 2))
+    points = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, features array<double>")
+    tiles = Tiles(points, 0.0, block_rows=4)
+    assert tiles.levels and tiles.reach(points, 1.0) == 1.0
+
+    def near(tile):
+        rows, cols = np.nonzero(tile.d <= 1.0)
+        return {"i": tile.column("id")[0][rows], "j": tile.column("id")[1][cols]}
+
+    got = [(r.i, r.j) for r in tiles.probe(points, 1.0, near, "i bigint, j bigint").collect()]
+    i, j = np.nonzero(distances(x, x) <= 1.0)
+    assert sorted(got) == sorted(zip(i.tolist(), j.tolist()))
